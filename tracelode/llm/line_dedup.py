@@ -10,35 +10,62 @@ are, but for ``text``; ``n_lines`` and ``n_dropped`` replace columns of these na
 
 from __future__ import annotations
 
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, NO_ID, ascii_lower, whole
+from .common import BLANKS, NO_ID, discard, materialise, whole
+
+_blanks = BLANKS.encode()
 
 
 def lines_of(text: Column) -> Column:
     return F.split(whole(text), "\n", -1)
 
 
-def line_key(line: Column) -> Column:
-    return ascii_lower(F.btrim(line, F.lit(BLANKS)))
+def line_key(line: bytes) -> bytes:
+    """A line in UTF-8 without ASCII white space at its ends, and A-Z lower-cased (what bytes.lower() does)."""
+    return line.strip(_blanks).lower()
+
+
+def code_points(data: bytes) -> int:
+    return len(data) if data.isascii() else len(data.decode())
+
+
+def line_hashes(docs: DataFrame, min_chars: int) -> DataFrame:
+    """A row (document, text, place, hash) for each line with a key of min_chars code points; 128 bits tell keys apart."""
+
+    def run(batches):
+        for batch in batches:
+            owner, place, hashes = [], [], []
+            for i, text in enumerate(batch.column(2).cast(pa.binary())):
+                for k, line in enumerate(text.as_py().split(b"\n")):
+                    key = line_key(line)
+                    if len(key) >= min_chars and code_points(key) >= min_chars:
+                        owner.append(i)
+                        place.append(k)
+                        hashes.append(xxhash.xxh3_128_digest(key))
+            at = pa.array(owner, pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(place, pa.int32()), pa.array(hashes, pa.binary())], names=["__ld_doc", "__ld_text", "__ld_pos", "__ld_hash"])
+
+    return docs.mapInArrow(run, "__ld_doc long, __ld_text long, __ld_pos int, __ld_hash binary")
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = 2, min_chars: int = 10) -> DataFrame:
     """docs, text without repeated lines, and n_lines (before) and n_dropped."""
-    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    # Rows of one document can have different texts, so positions belong to a document and a text.
-    keyed = docs.select(doc.alias("__ld_doc"), F.xxhash64("text").alias("__ld_text"), F.posexplode(lines_of(F.col("text"))).alias("__ld_pos", "__ld_line"))
-    keyed = keyed.withColumn("__ld_key", line_key(F.col("__ld_line"))).filter(F.length("__ld_key") >= min_chars)
-    keyed = keyed.select("__ld_doc", "__ld_text", "__ld_pos", F.unhex(F.md5("__ld_key")).alias("__ld_hash"))
+    # Rows of one document can have different texts, so places belong to a document and a text.
+    doc, own = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), F.xxhash64("text")
+    keyed = materialise(line_hashes(docs.select(doc.alias("__ld_doc"), own.alias("__ld_text"), whole(F.col("text"))), min_chars), "lines")
     if min_docs == 2:  # two documents differ in their least and greatest id: sums of a fixed size for each key
         found = keyed.groupBy("__ld_hash").agg(F.min("__ld_doc").alias("__ld_keep"), F.max("__ld_doc").alias("__ld_last")).filter("__ld_keep < __ld_last")
     else:
         pairs = keyed.select("__ld_hash", "__ld_doc").distinct()
         found = pairs.groupBy("__ld_hash").agg(F.min("__ld_doc").alias("__ld_keep"), F.count("*").alias("__ld_docs")).filter(F.col("__ld_docs") >= min_docs)
     gone = keyed.join(found.select("__ld_hash", "__ld_keep"), "__ld_hash").filter("__ld_doc != __ld_keep")
-    gone = gone.groupBy("__ld_doc", "__ld_text").agg(F.collect_set("__ld_pos").alias("__ld_gone"))
-    out = docs.withColumns({"__ld_doc": doc, "__ld_text": F.xxhash64("text")}).join(gone, ["__ld_doc", "__ld_text"], "left")
+    gone = materialise(gone.groupBy("__ld_doc", "__ld_text").agg(F.collect_set("__ld_pos").alias("__ld_gone")), "gone")
+    discard(keyed)
+    out = docs.withColumns({"__ld_doc": doc, "__ld_text": own}).join(gone, ["__ld_doc", "__ld_text"], "left")
     lines, gone_at = lines_of(F.col("text")), F.coalesce("__ld_gone", F.array().cast("array<int>"))
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone_at)
     text = F.when(F.col("__ld_gone").isNull(), whole(F.col("text"))).otherwise(F.array_join(F.transform(stay, lambda i: lines[i]), "\n"))
