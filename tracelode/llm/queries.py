@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, line_dedup, sharding, toxicity
+from . import bpe, decontaminate, license_scan, line_dedup, quality_mcd, sharding, toxicity, warc
 from .common import table, whole
 
 
@@ -21,6 +21,11 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(toxicity.held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", "predicted", F.size("segments").alias("n_segments"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = warc.capture_histories(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured_at")
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     digest = F.sha2(F.array_join(F.array_sort("items"), ",").cast("binary"), 256)
@@ -43,11 +48,24 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_paragraphs", "n_candidates", F.size("licences").cast("long").alias("n_licences"), F.array_join("families", ",").alias("families"))
+
+
+def op10_quality_mcd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality_mcd.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.round("distance", 3).alias("distance"), "kept")
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_toxicity": op2_toxicity,
+    "op3_warc": op3_warc,
     "op4_decontaminate": op4_decontaminate,
     "op6_hypergeometric_shards": op6_hypergeometric_shards,
     "op7_bpe": op7_bpe,
+    "op9_license_scan": op9_license_scan,
+    "op10_quality_mcd": op10_quality_mcd,
 }
 ORACLES: dict[str, str] = {}
