@@ -62,9 +62,12 @@ def dedup_lines(docs: DataFrame, min_docs: int = 2, min_chars: int = 10) -> Data
     else:
         pairs = keyed.select("__ld_hash", "__ld_doc").distinct()
         found = pairs.groupBy("__ld_hash").agg(F.min("__ld_doc").alias("__ld_keep"), F.count("*").alias("__ld_docs")).filter(F.col("__ld_docs") >= min_docs)
-    gone = keyed.join(found.select("__ld_hash", "__ld_keep"), "__ld_hash").filter("__ld_doc != __ld_keep")
+    # As a table of its own, so that the join can split the lines of a hot key.
+    found = materialise(found.select("__ld_hash", "__ld_keep"), "repeated")
+    gone = keyed.join(found, "__ld_hash").filter("__ld_doc != __ld_keep")
     gone = materialise(gone.groupBy("__ld_doc", "__ld_text").agg(F.collect_set("__ld_pos").alias("__ld_gone")), "gone")
     discard(keyed)
+    discard(found)
     out = docs.withColumns({"__ld_doc": doc, "__ld_text": own}).join(gone, ["__ld_doc", "__ld_text"], "left")
     lines, gone_at = lines_of(F.col("text")), F.coalesce("__ld_gone", F.array().cast("array<int>"))
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone_at)
