@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -51,6 +52,13 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 def discard(df: DataFrame) -> None:
     """Removes what materialise() wrote, once nothing reads it any more."""
     remove(df.sparkSession, df.tracelode_path)
+    tidy(df.sparkSession)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Lets go of the shuffle files of tables that nothing refers to any more; else they stay until the driver happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def remove(spark: SparkSession, path: str) -> None:

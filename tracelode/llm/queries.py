@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, license_scan, line_dedup, quality_mcd, sharding, toxicity, warc
+from . import bpe, decontaminate, license_scan, line_dedup, minhash, quality_mcd, sharding, suffix_dedup, toxicity, warc
 from .common import table, whole
 
 
@@ -33,6 +33,10 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), "contaminated", longest)
 
 
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.with_components(minhash.near_duplicates(table(spark, sf_dir, "documents"), n=2, percent=80))
+
+
 def op6_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = whole(F.col("text"))
     docs = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
@@ -48,6 +52,11 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), 400)
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_paragraphs", "n_candidates", F.size("licences").cast("long").alias("n_licences"), F.array_join("families", ",").alias("families"))
@@ -63,8 +72,10 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_warc": op3_warc,
     "op4_decontaminate": op4_decontaminate,
+    "op5_minhash": op5_minhash,
     "op6_hypergeometric_shards": op6_hypergeometric_shards,
     "op7_bpe": op7_bpe,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_license_scan": op9_license_scan,
     "op10_quality_mcd": op10_quality_mcd,
 }
