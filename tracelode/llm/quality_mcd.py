@@ -102,22 +102,8 @@ def _pairs() -> list[tuple[int, int]]:
     return [(i, j) for i in range(DIM) for j in range(i + 1)]
 
 
-def distance2() -> Column:
-    """The squared Mahalanobis distance by the group's centre __m and the Cholesky factor __l of its covariance: one solve by substitution."""
-    y: list[Column] = []
-    for i in range(DIM):
-        rest = F.col(f"__x{i}") - F.col(f"__m{i}")
-        for j in range(i):
-            rest = rest - F.col(f"__l{i}{j}") * y[j]
-        y.append(rest / F.col(f"__l{i}{i}"))
-    out = y[0] * y[0]
-    for v in y[1:]:
-        out = out + v * v
-    return out
-
-
 def with_distance2(rows: DataFrame) -> DataFrame:
-    """Step by step, so that each term of the substitution is worked out once."""
+    """The squared Mahalanobis distance by the group's centre __m and the Cholesky factor __l of its covariance: a substitution, each term of which is worked out once."""
     for i in range(DIM):
         rest = F.col(f"__x{i}") - F.col(f"__m{i}")
         for j in range(i):
@@ -187,7 +173,8 @@ def judge(docs: DataFrame, alpha: float = 0.75, tail: float = 1e-5, min_rows: in
     own = with_counts(given).withColumn("base_failed", failed)
     tag = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-"))
     own = own.withColumns({"__lang": tag("lang"), "__source": tag("source")} | dict(zip(_xs(), statistics(), strict=True)))
-    own = materialise(own, "statistics")
+    # The narrow table goes to a few files of a fitting size, not to one for each piece of text that was read.
+    own = materialise(own.hint("rebalance"), "statistics")
     base = own.filter("not base_failed").select("__lang", "__source", *_xs())
     named = materialise(_grouped(base, min_rows), "groups")
     rows = base.join(named.filter("__g is not null"), ["__lang", "__source"]).select("__g", *_xs())
