@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from tracelode.plans import grading, groups, measures, pool
+
+_parts = (pool, groups, grading, measures)
+QUERIES = {k: v for p in _parts for k, v in p.QUERIES.items()}
+ORACLES = {k: v for p in _parts for k, v in p.ORACLES.items()}
