@@ -63,8 +63,7 @@ def test_against_all_pairs(spark):
         assert components(spark, texts, n) == brute(texts, n)
 
 
-def test_large_buckets_take_rounds(spark, monkeypatch):
-    monkeypatch.setattr(M, "SMALL", 3)
+def test_large_buckets_of_few_links(spark):
     texts = corpus(4)
     # one minhash for each key: buckets are large, and most of their pairs are no links
     assert components(spark, texts, 2, m=6, t=1) == brute(texts, 2)

@@ -7,9 +7,9 @@ values here 0.99993 at 0.8, and 0.99999 at 0.85.
 
 Documents with equal sets are one node from the start. In each bucket the node with the least number is the lead, and
 every other one is compared with it, on the sets of the whole texts; what holds are the links, and components come from
-them. Buckets whose nodes still belong to several components go on: all their pairs across components where they are
-small, and with a new lead on either side in each round where they are large, until no pair that could join two
-components is left untested. So no pair of a bucket is left out that matters, and none is written that doesn't.
+them. Nodes of buckets that still hold several components may have links that join them. These nodes go through an
+exact filter: any two of them, of different components, whose sets can be similar enough are compared too. So no pair
+of a bucket is left out that matters, and all pairs of a bucket are never written.
 
 No bucket is ever gathered: leads are minima, members find them by a join that splits hot keys.
 
@@ -30,7 +30,6 @@ from pyspark.sql import functions as F
 from .common import NO_ID, discard, materialise
 
 NEW = ["n_shingles", "component_id", "kept", "group"]
-SMALL = 48  # nodes of a bucket of which all pairs across components are tested at once
 
 
 class Words(dict):
@@ -110,11 +109,14 @@ def buckets(nodes: DataFrame, m: int) -> DataFrame:
     return both.select(F.xxhash64("i", "j", "g", "h").alias("key"), "node")
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) with 100 * intersection >= percent * union, by the sets of the whole texts."""
-    ids = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+def texts_of(nodes: DataFrame, ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """node, text for the nodes that are candidates: the only time that whole texts are shuffled."""
     wanted = nodes.join(ids, "node").select("node", "doc", "own")
-    texts = materialise(keyed(docs).join(wanted, ["doc", "own"]).select("node", "text").dropDuplicates(["node"]), "texts")
+    return materialise(keyed(docs).join(wanted, ["doc", "own"]).select("node", "text").dropDuplicates(["node"]), "texts")
+
+
+def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) with 100 * intersection >= percent * union, by the sets of the whole texts."""
     both = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("second")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("first")), "a").select("a", "b", "first", "second")
 
     def run(batches):
@@ -131,8 +133,52 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, percen
             at = pa.array(good, pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], names=["a", "b"])
 
-    out = materialise(both.mapInArrow(run, "a long, b long"), "links")
-    discard(texts)
+    return materialise(both.mapInArrow(run, "a long, b long"), "links")
+
+
+def shingles(texts: DataFrame, n: int) -> DataFrame:
+    """node, root, size, token: a row for each shingle of texts (node, text, root)."""
+
+    def run(batches):
+        words = Words()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                sets = [shingle_set(t.as_py(), n, words) for t in part.column(1)]
+                back = pa.array(np.repeat(np.arange(len(sets)), [len(x) for x in sets]), pa.int32())
+                sizes = pa.array([len(x) for x in sets], pa.int64()).take(back)
+                tokens = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(back), part.column(2).take(back), sizes, pa.array(tokens)], names=["node", "root", "size", "token"])
+
+    return texts.select("node", "text", "root").mapInArrow(run, "node long, root long, size long, token long")
+
+
+def across(texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of texts (node, text, root) of different components that can be similar enough: all that are, and few others.
+
+    Shingles are put in an order, rare ones first. Of two sets that are similar enough, the first shingles of each, a
+    share of 1 - percent / 100 of it and one more, have one in common. Shingles that only one set has can't be it, and
+    bound the intersection. Of the sets with a shingle in common, those of its most frequent component need no
+    comparison with each other: only the others are joined with all of them.
+    """
+    tokens = materialise(shingles(texts, n), "shingles")
+    common = materialise(tokens.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1"), "common")
+    rows = tokens.join(common, "token").groupBy("node", "root", "size").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("own"))
+    # size - ceil(percent * size / 100) + 1 shingles come first, those that no other set has at the front of them.
+    first = F.col("size") - F.ceil(F.col("size") * percent / 100) + 1 - (F.col("size") - F.size("own"))
+    rows = rows.withColumn("first", first.cast("int")).filter("first > 0")
+    rows = rows.select("node", "root", "size", F.size("own").cast("long").alias("most"), F.explode(F.slice("own", 1, F.col("first"))).alias("x")).select("node", "root", "size", "most", "x.token")
+    rows = materialise(rows, "first")
+    main = rows.groupBy("token", "root").agg(F.count("*").alias("c")).groupBy("token").agg(F.max(F.struct("c", "root")).alias("m"), F.count("*").alias("roots")).filter("roots > 1")
+    main = materialise(main.select("token", F.col("m.root").alias("main")), "main")
+    rows = materialise(rows.join(main, "token"), "first")
+    l, r = rows.filter("root != main").alias("l"), rows.alias("r")
+    least = F.least("l.most", "r.most")
+    fits = (F.col("l.root") != F.col("r.root")) & (100 * least >= percent * (F.col("l.size") + F.col("r.size") - least)) & ((F.col("r.root") == F.col("r.main")) | (F.col("l.node") < F.col("r.node")))
+    pairs = l.join(r, (F.col("l.token") == F.col("r.token")) & fits).select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")).distinct()
+    out = materialise(pairs, "pairs")
+    for t in (tokens, common, main, rows):
+        discard(t)
     return out
 
 
@@ -156,43 +202,30 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def _rooted(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
-    if roots is None:
-        return rows.withColumn("root", F.col("node"))
+def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
     return rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
-def linked(docs: DataFrame, nodes: DataFrame, n: int, m: int, percent: int) -> DataFrame | None:
+def linked(docs: DataFrame, nodes: DataFrame, n: int, m: int, percent: int) -> DataFrame:
     """node, root for the nodes that have links."""
     table = buckets(nodes, m)
     shared = materialise(table.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("last"), F.count("*").alias("n")).filter("n > 1"), "shared")
     # Two nodes are a pair at once; more are found again by their key.
     many = shared.filter("n > 2").select("key", "lead")
     active = materialise(table.join(many, "key").filter("node != lead"), "active")
-    pairs = shared.filter("n = 2").select(F.col("lead").alias("a"), F.col("last").alias("b")).union(active.select("lead", "node")).distinct()
-    pairs = materialise(pairs, "pairs")
+    pairs = materialise(shared.filter("n = 2").select(F.col("lead").alias("a"), F.col("last").alias("b")).union(active.select("lead", "node")).distinct(), "pairs")
     discard(shared)
-    links, tested = verified(pairs, nodes, docs, n, percent), pairs
-    active = active.select("key", "node")
+    texts = texts_of(nodes, pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), docs)
+    links = verified(pairs, texts, n, percent)
+    discard(pairs)
     roots = components(links)
-    while True:
-        rows = _rooted(active, roots)
-        open_ = rows.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("root", "node")).alias("low"), F.max(F.struct("root", "node")).alias("high")).filter("low.root != high.root")
-        open_ = materialise(open_.select("key", "n", F.col("low.node").alias("low"), F.col("high.node").alias("high")), "open")
-        if open_.isEmpty():
-            return roots
-        rows = materialise(rows.join(open_, "key"), "active")
-        few = rows.filter(F.col("n") <= SMALL).groupBy("key").agg(F.collect_list(F.struct("root", "node")).alias("all"))  # SMALL at most
-        cross = F.expr("filter(flatten(transform(all, x -> transform(filter(all, y -> y.root > x.root), y -> named_struct('a', least(x.node, y.node), 'b', greatest(x.node, y.node))))), p -> true)")
-        large = rows.filter(F.col("n") > SMALL)
-        new = few.select(F.explode(cross).alias("p")).select("p.a", "p.b")
-        new = new.union(large.filter("node != low").select(F.least("low", "node"), F.greatest("low", "node"))).union(large.filter("node != high").select(F.least("high", "node"), F.greatest("high", "node"))).distinct()
-        new = materialise(new.join(tested, ["a", "b"], "left_anti"), "pairs")
-        discard(open_)
-        active = large.filter("node != low and node != high").select("key", "node")
-        tested = tested.union(new)
-        links = links.union(verified(new, nodes, docs, n, percent))
-        roots = components(links)
+    # The lead was compared with all others; what else a bucket of several components holds may still be linked.
+    rows = _rooted(active.select("key", "node"), roots)
+    open_ = materialise(rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("key"), "open")
+    left = _rooted(rows.select("key", "node").join(open_, "key").select("node").distinct(), roots)
+    more = verified(across(texts.join(left, "node"), n, percent), texts, n, percent)
+    discard(active)
+    return components(links.union(more))
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, m: int = 10, t: int = 2, seed: int = 0) -> DataFrame:
