@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelode.llm import bpe, decontaminate, line_dedup, toxicity
+from tracelode.llm import bpe, decontaminate, line_dedup, minhash, toxicity
 from tracelode.llm.common import materialise, table
 
 
@@ -20,6 +20,11 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return line_dedup.dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that are near copies (five-word shingles, a similarity of 0.8 or more, and what that connects) the one with the smallest id stays."""
+    return minhash.drop_near_duplicates(docs, n=5, percent=80).select(*docs.columns)
+
+
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold benchmark passages go."""
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).select(*docs.columns)
@@ -33,7 +38,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
-STAGES = [("toxicity", drop_toxic), ("line dedup", drop_repeated_lines), ("benchmark decontamination", drop_benchmark), ("byte-level BPE", encode)]
+STAGES = [("toxicity", drop_toxic), ("line dedup", drop_repeated_lines), ("MinHash near-dedup", drop_near_copies), ("benchmark decontamination", drop_benchmark), ("byte-level BPE", encode)]
 #: Learned scores, near copies and token ids have no SQL; the stages are tested one by one.
 ORACLE_SQL = None
 
