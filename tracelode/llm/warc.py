@@ -38,6 +38,7 @@ EPOCH = datetime(2020, 1, 1, tzinfo=UTC)
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CAPTURE = "url_key string, captured_at timestamp, page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long, file string, file_offset long, file_length long"
 BLOCK = 256  # captures between two entries of a run's sparse index
+CUTS = 256  # keys of a run, at most about, among which the cuts between ranges are chosen
 
 
 def _open(path: str):
@@ -271,7 +272,7 @@ def index_archives(archives: DataFrame, path: str, run_records: int = 50_000) ->
             for capture in sorted(held, key=lambda c: c[0]):
                 writer.add(capture)
             keys = writer.close()
-            done.append((f"{path}/{name}", len(held), json.dumps(keys[:: max(1, len(keys) // 16)])))
+            done.append((f"{path}/{name}", len(held), json.dumps(keys[:: max(1, len(keys) // CUTS)])))
             held.clear()
 
         for batch in batches:
@@ -304,7 +305,7 @@ def _merge_groups(spark: SparkSession, runs: list[str], path: str, fan_in: int)
                 for capture in LoserTree([read_run(fs, _open(r)[1], None, None) for r in groups[g]]):
                     writer.add(capture)
                 keys = writer.close()
-                yield pa.RecordBatch.from_arrays([pa.array([f"{path}/{name}"]), pa.array([writer.n]), pa.array([json.dumps(keys[:: max(1, len(keys) // 16)])])], names=["run", "n", "keys"])
+                yield pa.RecordBatch.from_arrays([pa.array([f"{path}/{name}"]), pa.array([writer.n]), pa.array([json.dumps(keys[:: max(1, len(keys) // CUTS)])])], names=["run", "n", "keys"])
 
     return materialise(spark.range(0, len(groups), 1, len(groups)).mapInArrow(run, "run string, n long, keys string"), "runs")
 
@@ -313,11 +314,11 @@ def merge_runs(runs: DataFrame, path: str, fan_in: int = 128, range_records: int
     """The capture histories of all runs in the order of URL key and time: row i of range r is before row i + 1, and all of range r before range r + 1."""
     spark = runs.sparkSession
     while True:
-        known = runs.select("run", "n", "keys").orderBy("run").collect()  # file names, and 16 keys of each run
-        if len(known) <= fan_in:
+        names = [r["run"] for r in runs.select("run").orderBy("run").collect()]
+        if len(names) <= fan_in:
             break
-        runs = _merge_groups(spark, [r["run"] for r in known], path, fan_in)
-    names = [r["run"] for r in known]
+        runs = _merge_groups(spark, names, path, fan_in)
+    known = runs.select("n", "keys").collect()  # a few keys of each of at most fan_in runs
     keys = sorted(k for r in known for k in json.loads(r["keys"]))
     n = max(1, min(len(keys), -(-sum(r["n"] for r in known) // range_records)))
     cuts = [None, *(keys[len(keys) * i // n] for i in range(1, n)), None]
