@@ -37,8 +37,7 @@ def test_records_come_back_in_order(spark, tmp_path):
     assert all(os.path.getsize(f) > 0 for f in files)
 
 
-def test_many_runs_are_merged_in_passes(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(X, "BLOCK", 4)
+def test_many_runs_are_merged_in_passes(spark, tmp_path):
     df = spark.createDataFrame(pages(), "page_id long, url string, html string").repartition(6)
     archives = X.write_archives(df, f"file://{tmp_path}/w", file_bytes=2000)
     runs = X.index_archives(archives, f"file://{tmp_path}/i", run_records=10)
