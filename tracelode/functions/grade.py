@@ -5,7 +5,7 @@ Every rule is a pattern here and, with the same words, in the SQL that ``sql_ste
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelode.functions.text import strip
@@ -101,12 +101,13 @@ def close(a: Column, b: Column, rel: float = 1e-6, least: float = 1e-9) -> Colum
     return F.coalesce(near & ~F.isnan(a) & ~F.isnan(b), F.lit(False))
 
 
-def verify(pred: Column, gold: Column) -> Column:
-    """The lenient verdict on an extracted answer: equal, close, or either ends in the other."""
-    g = strip(F.coalesce(gold, F.lit("")))
-    p, n = normalize(pred), normalize(g)
-    same = ((p != "") & (p == n)) | close(numeric(p), numeric(n)) | ((n != "") & F.endswith(p, n)) | ((p != "") & F.endswith(n, p))
-    return F.coalesce(pred.isNotNull() & (g != "") & same, F.lit(False))
+def verified(df: DataFrame, pred: str, gold: str, out: str) -> DataFrame:
+    """df with the lenient verdict on an extracted answer: equal, close, or either ends in the other. In steps, so that no normal form is worked out twice."""
+    df = df.withColumn("__gold", strip(F.coalesce(F.col(gold), F.lit("")))).withColumns({"__p": normalize(F.col(pred)), "__n": normalize(F.col("__gold"))})
+    df = df.withColumns({"__x": numeric(F.col("__p")), "__y": numeric(F.col("__n"))})
+    p, n = F.col("__p"), F.col("__n")
+    same = ((p != "") & (p == n)) | close(F.col("__x"), F.col("__y")) | ((n != "") & F.endswith(p, n)) | ((p != "") & F.endswith(n, p))
+    return df.withColumn(out, F.coalesce(F.col(pred).isNotNull() & (F.col("__gold") != "") & same, F.lit(False))).drop("__gold", "__p", "__n", "__x", "__y")
 
 
 def wider(c: Column) -> Column:
@@ -124,15 +125,18 @@ def equivalent(pred: Column, gold: Column) -> Column:
     return ((p != "") & (p == g)) | close(wider_number(p), wider_number(g))
 
 
-def strict_verdict(c: Column, gold: Column) -> Column:
-    """strict, as_scored, pred and reason; no end of thought goes before no gold, then no answer, then mismatch."""
-    lenient = verify(extract_answer(c), gold)
-    pred, g = extract_strict(c), strip(F.coalesce(gold, F.lit("")))
-    p, n = normalize(pred), normalize(g)
-    same = ((p != "") & (p == n)) | close(numeric(p), numeric(n)) | equivalent(pred, g)
-    closed = F.coalesce(F.instr(c, CLOSE) > 0, F.lit(False))
-    reason = F.when(~closed, "no_think_close").when(g == "", "no_gold").when(pred.isNull(), "no_answer_extracted").when(same, "").otherwise("mismatch")
-    return F.struct((reason == "").alias("strict"), lenient.alias("as_scored"), F.when(g != "", pred).alias("pred"), reason.alias("reason"))
+def graded(df: DataFrame, text: str = "text", gold: str = "gold") -> DataFrame:
+    """df with pred, as_scored, strict and reason; no end of thought goes before no gold, then no answer, then mismatch."""
+    df = verified(df.withColumn("pred", extract_answer(F.col(text))), "pred", gold, "as_scored")
+    df = df.withColumns({"__closed": F.coalesce(F.instr(F.col(text), CLOSE) > 0, F.lit(False)), "__gold": strip(F.coalesce(F.col(gold), F.lit("")))})
+    df = df.withColumns({"__p": normalize(F.col("pred")), "__n": normalize(F.col("__gold")), "__wp": wider(F.col("pred")), "__wn": wider(F.col("__gold"))})
+    df = df.withColumns({"__x": numeric(F.col("__p")), "__y": numeric(F.col("__n")), "__wx": wider_number(F.col("__wp")), "__wy": wider_number(F.col("__wn"))})
+    same = lambda p, n, x, y: ((F.col(p) != "") & (F.col(p) == F.col(n))) | close(F.col(x), F.col(y))
+    right = same("__p", "__n", "__x", "__y") | same("__wp", "__wn", "__wx", "__wy")
+    reason = F.when(~F.col("__closed"), "no_think_close").when(F.col("__gold") == "", "no_gold").when(F.col("pred").isNull(), "no_answer_extracted").when(right, "").otherwise("mismatch")
+    df = df.withColumn("reason", reason)
+    df = df.withColumns({"strict": F.col("reason") == "", "pred": F.when(F.col("__closed") & (F.col("__gold") != ""), F.col("pred"))})
+    return df.drop("__closed", "__gold", "__p", "__n", "__wp", "__wn", "__x", "__y", "__wx", "__wy")
 
 
 # The same rules in SQL.

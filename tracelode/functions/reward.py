@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelode.functions import grade as G
@@ -93,23 +93,19 @@ def restarts(think: Column) -> Column:
     return T.neighbours(n, lambda a, b: b <= a)
 
 
-def budget_reward(text: Column, gold: Column, think_len: Column, answer_len: Column, g: Column, budget: Column) -> Column:
-    """The reward of a rollout with a thought budget: right answers count only in well-formed text, bonuses only with them, penalties never below the floor."""
-    think, post = G.thought(text), G.tail(text)
-    strict = G.strict_verdict(text, gold)["strict"]
-    formed = (g == 1) & (think_len >= LEAST_THOUGHT)
-    right = strict & (g == 1)
-    bonus = right & formed
-    struct = F.when(formed, W_FORMAT).otherwise(0.0) + F.when(bonus, W_LENGTH * length_multiplier(think_len, budget) + W_BAND * band_multiplier(answer_len)).otherwise(0.0)
-    pens = F.struct(
-        F.when(loop(think), PEN_LOOP).otherwise(0.0).alias("loop"),
-        F.least(F.lit(PEN_REPEAT_MOST), PEN_REPEAT * repeats(post, ANSWER_REPEAT)).alias("repeat"),
-        F.when(leaks(post), PEN_LEAK).otherwise(0.0).alias("leak"),
-        F.when(contradicts(think, post), PEN_CONTRADICTION).otherwise(0.0).alias("contradiction"),
-    )
-    pen = pens["loop"] + pens["repeat"] + pens["leak"] + pens["contradiction"]
-    floor = F.when(formed, W_FORMAT).otherwise(0.0)
-    return F.struct(right.cast("double").alias("accuracy"), struct.alias("structure"), pens.alias("penalties"), pen.alias("penalty"), (right.cast("double") + F.greatest(floor, struct - pen)).alias("total"))
+def budget_reward(df: DataFrame, think_len: Column, answer_len: Column, g: Column, budget: Column) -> DataFrame:
+    """df (text, gold) with accuracy, structure, penalty and total of a rollout with a thought budget.
+
+    Right answers count only in well-formed text, bonuses only with them, and penalties never go below the floor.
+    """
+    df = G.graded(df).withColumns({"__think": G.thought(F.col("text")), "__tail": G.tail(F.col("text")), "__formed": (g == 1) & (think_len >= LEAST_THOUGHT), "__right": F.col("strict") & (g == 1)})
+    bonus = W_LENGTH * length_multiplier(think_len, budget) + W_BAND * band_multiplier(answer_len)
+    df = df.withColumn("structure", F.when(F.col("__formed"), W_FORMAT).otherwise(0.0) + F.when(F.col("__formed") & F.col("__right"), bonus).otherwise(0.0))
+    df = df.withColumns({"pen_loop": F.when(loop(F.col("__think")), PEN_LOOP).otherwise(0.0), "pen_repeat": F.least(F.lit(PEN_REPEAT_MOST), PEN_REPEAT * repeats(F.col("__tail"), ANSWER_REPEAT)), "pen_leak": F.when(leaks(F.col("__tail")), PEN_LEAK).otherwise(0.0), "pen_contradiction": F.when(contradicts(F.col("__think"), F.col("__tail")), PEN_CONTRADICTION).otherwise(0.0)})
+    df = df.withColumn("penalty", F.col("pen_loop") + F.col("pen_repeat") + F.col("pen_leak") + F.col("pen_contradiction"))
+    floor = F.when(F.col("__formed"), W_FORMAT).otherwise(0.0)
+    df = df.withColumns({"accuracy": F.col("__right").cast("double"), "total": F.col("__right").cast("double") + F.greatest(floor, F.col("structure") - F.col("penalty"))})
+    return df.drop("__think", "__tail", "__formed", "__right")
 
 
 # The older reward.
@@ -131,17 +127,6 @@ def terminal(block: Column) -> tuple[Column, Column]:
     return last.rlike(TERMINAL_BOXED), last.rlike(TERMINAL_NUMBER) | last.rlike(TERMINAL_SYMBOL)
 
 
-def clean(block: Column) -> Column:
-    """At most three lines, none a numbered step, the last one an answer."""
-    rows = T.lines(block)
-    boxed, bare = terminal(block)
-    return (F.size(rows) > 0) & (F.size(rows) <= 3) & (boxed | bare | prose_answer(G.last_line(block)).isNotNull()) & ~F.exists(rows, lambda x: x.rlike(r"^\d+\.\s"))
-
-
-def matches(candidate: Column, gold: Column) -> Column:
-    return F.coalesce((candidate != "") & (gold != ""), F.lit(False)) & G.verify(G.extract_answer(F.concat(F.lit("\\boxed{"), candidate, F.lit("}"))), gold)
-
-
 def gold_in_window(post: Column, gold: Column, size: int = 500) -> Column:
     """The gold answer in the last characters; an integer must not be part of a longer number or of a root."""
     window = F.right(F.regexp_replace(post, r"(?U)\s+$", ""), F.lit(size))
@@ -149,61 +134,72 @@ def gold_in_window(post: Column, gold: Column, size: int = 500) -> Column:
     return F.when((g == "") | (window == ""), False).when(g.rlike(r"^-?\d+$"), F.regexp_like(window, F.concat(F.lit(r"\b"), g, F.lit(r"(?!\\)")))).otherwise(F.contains(window, g))
 
 
-def tier(text: Column, gold: Column) -> Column:
-    """strict, lenient or wrong."""
-    post = G.tail(text)
-    block = final_block(post)
-    accepted = G.verify(G.extract_answer(text), gold) | matches(prose_answer(G.last_line(block)), gold)
-    return F.when(accepted & clean(block), "strict").when(accepted & gold_in_window(post, gold), "lenient").otherwise("wrong")
+def split(df: DataFrame, text: str = "text") -> DataFrame:
+    """df with think, tail, block (up to the last box), last (its last line), boxed, bare and closed."""
+    df = df.withColumns({"think": G.thought(F.col(text)), "tail": G.tail(F.col(text)), "closed": F.coalesce(F.instr(F.col(text), G.CLOSE) > 0, F.lit(False))}).withColumn("block", final_block(F.col("tail")))
+    df = df.withColumn("last", F.coalesce(G.last_line(F.col("block")), F.lit("")))
+    return df.withColumns({"boxed": F.col("last").rlike(TERMINAL_BOXED), "bare": F.col("last").rlike(TERMINAL_NUMBER) | F.col("last").rlike(TERMINAL_SYMBOL), "prose": prose_answer(F.col("last"))})
+
+
+def with_match(df: DataFrame, candidate: str, gold: str, out: str) -> DataFrame:
+    """df with whether a candidate, as if in a box, is the gold answer; a missing side is none."""
+    df = df.withColumn("__boxed", G.extract_answer(F.concat(F.lit("\\boxed{"), F.col(candidate), F.lit("}"))))
+    return G.verified(df, "__boxed", gold, out).withColumn(out, F.col(out) & F.coalesce((F.col(candidate) != "") & (F.col(gold) != ""), F.lit(False))).drop("__boxed")
+
+
+def tiers(df: DataFrame) -> DataFrame:
+    """split(text, gold) with tier: strict, lenient or wrong."""
+    df = G.verified(df.withColumn("__pred", G.extract_answer(F.col("text"))), "__pred", "gold", "__ok")
+    df = with_match(df, "prose", "gold", "__said")
+    rows = T.lines(F.col("block"))
+    clean = (F.size(rows) > 0) & (F.size(rows) <= 3) & (F.col("boxed") | F.col("bare") | F.col("prose").isNotNull()) & ~F.exists(rows, lambda x: x.rlike(r"^\d+\.\s"))
+    accepted = F.col("__ok") | F.col("__said")
+    df = df.withColumn("tier", F.when(accepted & clean, "strict").when(accepted & gold_in_window(F.col("tail"), F.col("gold")), "lenient").otherwise("wrong"))
+    return df.drop("__pred", "__ok", "__said")
 
 
-def numbers_agree(a: Column, b: Column) -> Column:
-    number = lambda c: F.replace(c, F.lit(","), F.lit("")).try_cast("double")
-    return matches(a, b) | matches(b, a) | G.close(number(a), number(b))
+PENALTIES = ("length", "placeholder", "repetition", "monolithic", "tail_repeat", "leak", "sentinel", "contradiction", "malformed", "closure")
 
 
-def penalties_v1(text: Column, variation: Column | None = None) -> Column:
-    """The magnitudes of all penalties, and the bonus for closing, by name."""
-    think, post = G.thought(text), G.tail(text)
-    block, closed = final_block(post), F.instr(text, G.CLOSE) > 0
-    parts, size = T.chunks(think), F.coalesce(F.length(think), F.lit(0))
+def penalties_v1(df: DataFrame, variation: str | None = None) -> DataFrame:
+    """split() with the magnitude of each of PENALTIES, the last of which is a bonus for closing."""
     placeholder = lambda x: F.exists(F.array(*(F.lit(f"(?i){p}") for p in PLACEHOLDERS)), lambda p: F.regexp_like(x, p))
-    excess = F.greatest(F.lit(0), F.size(F.filter(F.concat(parts, T.chunks(post)), placeholder)) - 2)
-    looked = F.when(F.size(parts) <= 30, F.filter(parts, lambda x: ~placeholder(x))).otherwise(parts)
-    shapes = F.filter(F.transform(looked, T.template), lambda x: x != "")
-    looped = (F.coalesce(T.longest_run(looked), F.lit(0)) >= 10) | (F.coalesce(T.longest_run(shapes), F.lit(0)) >= 5)
-    steps = F.transform(F.regexp_extract_all(think, F.lit(r"(?m)^\s*(\d+)\.\s"), 1), lambda x: x.try_cast("long"))
-    again = F.size(F.filter(parts, lambda x: x.rlike(r"^\s*\d+\.\s")))
-    triggers = (F.coalesce(F.array_max(steps), F.lit(0)) > 50).cast("int") + ((again == 0) & (size > 6000)).cast("int") + (F.coalesce(variation > 100, F.lit(False)) if variation is not None else F.lit(False)).cast("int")
-    last = F.try_element_at(F.regexp_extract_all(F.right(think, F.lit(200)), F.lit(NUMBER), 0), F.lit(-1))
-    said = F.when(post != "", G.extract_answer(post))
+    think, tail, block = F.col("think"), F.col("tail"), F.col("block")
+    df = df.withColumns({"__parts": T.chunks(think), "__size": F.coalesce(F.length(think), F.lit(0)), "__steps": F.transform(F.regexp_extract_all(think, F.lit(r"(?m)^\s*(\d+)\.\s"), 1), lambda x: x.try_cast("long"))})
+    df = df.withColumns({"__look": F.when(F.size("__parts") <= 30, F.filter("__parts", lambda x: ~placeholder(x))).otherwise(F.col("__parts")), "__again": F.size(F.filter("__parts", lambda x: x.rlike(r"^\s*\d+\.\s")))})
+    df = df.withColumn("__shapes", F.filter(F.transform("__look", T.template), lambda x: x != ""))
+    # The last number of the thought's end against what the tail says.
+    df = df.withColumns({"__number": F.try_element_at(F.regexp_extract_all(F.right(think, F.lit(200)), F.lit(NUMBER), 0), F.lit(-1)), "__told": F.when(tail != "", G.extract_answer(tail))})
+    df = with_match(with_match(df, "__number", "__told", "__ab"), "__told", "__number", "__ba")
+    number = lambda c: F.replace(F.col(c), F.lit(","), F.lit("")).try_cast("double")
+    agree = F.col("__ab") | F.col("__ba") | G.close(number("__number"), number("__told"))
+    size, excess = F.col("__size"), F.greatest(F.lit(0), F.size(F.filter(F.concat("__parts", T.chunks(tail)), placeholder)) - 2)
+    looped = (F.coalesce(T.longest_run(F.col("__look")), F.lit(0)) >= 10) | (F.coalesce(T.longest_run(F.col("__shapes")), F.lit(0)) >= 5)
+    outlier = F.coalesce(F.col(variation) > 100, F.lit(False)) if variation else F.lit(False)
+    triggers = (F.coalesce(F.array_max("__steps"), F.lit(0)) > 50).cast("int") + ((F.col("__again") == 0) & (size > 6000)).cast("int") + outlier.cast("int")
+    tails = F.filter(F.transform(F.regexp_extract_all(tail, F.lit(TAIL_REPEAT), 0), lambda m: T.occurrences(m, "\n\n")), lambda n: n >= 2)
     boxes = (F.regexp_count(block, F.lit(r"\\boxed\{")) > 1).cast("int") + F.contains(block, F.lit("{boxed{")).cast("int")
-    return F.struct(
-        F.when(size > LENGTH_FROM, F.least(F.lit(LENGTH_MOST), LENGTH_MOST * (size - LENGTH_FROM) / (LENGTH_TO - LENGTH_FROM))).otherwise(0.0).alias("length"),
-        F.least(F.lit(0.15), 0.05 * excess).alias("placeholder"),
-        F.when(looped, 0.20).otherwise(0.0).alias("repetition"),
-        F.least(F.lit(0.15), 0.10 * triggers).alias("monolithic"),
-        F.least(F.lit(0.15), 0.05 * F.aggregate(F.filter(F.transform(F.regexp_extract_all(post, F.lit(TAIL_REPEAT), 0), lambda m: T.occurrences(m, "\n\n")), lambda n: n >= 2), F.lit(0), lambda a, b: a + b)).alias("tail_repeat"),
-        F.when(F.exists(T.lines(post), lambda x: x.rlike(LEAK_V1) & prose_answer(x).isNull()), 0.05).otherwise(0.0).alias("leak"),
-        F.when(F.regexp_count(think, F.lit(SENTINEL)) >= 3, 0.05).otherwise(0.0).alias("sentinel"),
-        F.when(last.isNotNull() & said.isNotNull() & ~numbers_agree(last, said), 0.05).otherwise(0.0).alias("contradiction"),
-        F.least(F.lit(0.10), 0.05 * boxes).alias("malformed"),
-        F.when(closed, -0.02).otherwise(0.0).alias("closure"),
-    )
-
-
-def reward_v1(text: Column, gold: Column, variation: Column | None = None) -> Column:
-    """accuracy + max(floor, structure - penalties), and its parts."""
-    name = tier(text, gold)
-    accuracy = F.when(name == "strict", R_STRICT).when(name == "lenient", R_LENIENT).otherwise(0.0)
-    think, block, closed = G.thought(text), final_block(G.tail(text)), F.instr(text, G.CLOSE) > 0
-    boxed, bare = terminal(block)
-    parts = T.chunks(think)
-    short = (accuracy >= 0.5) & (F.size(parts) <= 25) & (boxed | bare)
-    again = (accuracy >= 0.5) & (F.size(F.filter(parts, lambda x: x.rlike(r"^\s*\d+\.\s"))) >= 2)
-    struct = sum((F.when(test, value).otherwise(0.0) for test, value in ((closed, S_CLOSED), (boxed, S_TERMINAL), (bare, S_TERMINAL), (short, S_SHORT), (again, S_RESTART))), F.lit(0.0))
-    pens = penalties_v1(text, variation)
-    names = ("length", "placeholder", "repetition", "monolithic", "tail_repeat", "leak", "sentinel", "contradiction", "malformed", "closure")
-    pen = sum((pens[n] for n in names), F.lit(0.0))
-    floor = F.when(closed, 0.10).otherwise(0.0)
-    return F.struct(name.alias("tier"), struct.alias("structure"), pen.alias("penalty"), (accuracy + F.greatest(floor, struct - pen)).alias("total"))
+    df = df.withColumns({
+        "length": F.when(size > LENGTH_FROM, F.least(F.lit(LENGTH_MOST), LENGTH_MOST * (size - LENGTH_FROM) / (LENGTH_TO - LENGTH_FROM))).otherwise(0.0),
+        "placeholder": F.least(F.lit(0.15), 0.05 * excess),
+        "repetition": F.when(looped, 0.20).otherwise(0.0),
+        "monolithic": F.least(F.lit(0.15), 0.10 * triggers),
+        "tail_repeat": F.least(F.lit(0.15), 0.05 * F.aggregate(tails, F.lit(0), lambda a, b: a + b)),
+        "leak": F.when(F.exists(T.lines(tail), lambda x: x.rlike(LEAK_V1) & prose_answer(x).isNull()), 0.05).otherwise(0.0),
+        "sentinel": F.when(F.regexp_count(think, F.lit(SENTINEL)) >= 3, 0.05).otherwise(0.0),
+        "contradiction": F.when(F.col("__number").isNotNull() & F.col("__told").isNotNull() & ~agree, 0.05).otherwise(0.0),
+        "malformed": F.least(F.lit(0.10), 0.05 * boxes),
+        "closure": F.when(F.col("closed"), -0.02).otherwise(0.0),
+    })
+    return df.drop("__look", "__shapes", "__steps", "__number", "__told", "__ab", "__ba", "__size")
+
+
+def reward_v1(df: DataFrame, variation: str | None = None) -> DataFrame:
+    """df (text, gold) with tier, structure, penalty and total: accuracy + max(floor, structure - penalties)."""
+    df = penalties_v1(tiers(split(df)), variation)
+    df = df.withColumn("accuracy", F.when(F.col("tier") == "strict", R_STRICT).when(F.col("tier") == "lenient", R_LENIENT).otherwise(0.0))
+    half = F.col("accuracy") >= 0.5
+    parts = ((F.col("closed"), S_CLOSED), (F.col("boxed"), S_TERMINAL), (F.col("bare"), S_TERMINAL), (half & (F.size("__parts") <= 25) & (F.col("boxed") | F.col("bare")), S_SHORT), (half & (F.col("__again") >= 2), S_RESTART))
+    df = df.withColumns({"structure": sum((F.when(test, value).otherwise(0.0) for test, value in parts), F.lit(0.0)), "penalty": sum((F.col(n) for n in PENALTIES), F.lit(0.0))})
+    floor = F.when(F.col("closed"), 0.10).otherwise(0.0)
+    return df.withColumn("total", F.col("accuracy") + F.greatest(floor, F.col("structure") - F.col("penalty"))).drop("__parts", "__again")

@@ -34,19 +34,18 @@ def completions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def grade_as_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G1 to G4"""
-    c = completions(spark, sf_dir).withColumn("pred", G.extract_answer(F.col("text")))
-    return c.select("key", "pred", G.normalize(F.col("pred")).alias("normal"), G.verify(F.col("pred"), F.col("gold")).alias("as_scored"))
+    c = G.verified(completions(spark, sf_dir).withColumn("pred", G.extract_answer(F.col("text"))), "pred", "gold", "as_scored")
+    return c.select("key", "pred", G.normalize(F.col("pred")).alias("normal"), "as_scored")
 
 
 def grade_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G5 to G7"""
-    v = completions(spark, sf_dir).withColumn("v", G.strict_verdict(F.col("text"), F.col("gold")))
-    return v.select("key", "v.strict", "v.as_scored", "v.pred", "v.reason")
+    return G.graded(completions(spark, sf_dir)).select("key", "strict", "as_scored", "pred", "reason")
 
 
 def grade_reason_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reasons by shape, and what only the lenient rule takes."""
-    return completions(spark, sf_dir).withColumn("v", G.strict_verdict(F.col("text"), F.col("gold"))).groupBy("shape", F.col("v.reason").alias("reason")).agg(F.count("*").alias("n"), F.count_if(F.col("v.as_scored") & ~F.col("v.strict")).alias("lenient_only"))
+    return G.graded(completions(spark, sf_dir)).groupBy("shape", "reason").agg(F.count("*").alias("n"), F.count_if(F.col("as_scored") & ~F.col("strict")).alias("lenient_only"))
 
 
 def grade_extended(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,20 +84,20 @@ def reward_stagec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lengths come from the key."""
     c = completions(spark, sf_dir)
     think, answer, g = (F.col("key") % 400).cast("int"), (F.col("key") % 700).cast("int"), F.when(F.col("shape") == 2, 0).otherwise(1)
-    r = c.select("key", R.budget_reward(F.col("text"), F.col("gold"), think, answer, g, F.lit(150.0)).alias("r"))
-    return r.select("key", F.round("r.accuracy", 6).alias("accuracy"), F.round("r.structure", 6).alias("structure"), F.round("r.penalty", 6).alias("penalty"), F.round("r.total", 6).alias("total"))
+    r = R.budget_reward(c, think, answer, g, F.lit(150.0))
+    return r.select("key", *(F.round(n, 6).alias(n) for n in ("accuracy", "structure", "penalty", "total")))
 
 
 def reward_v1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D1 to D14, G8"""
-    r = completions(spark, sf_dir).select("key", "shape", R.reward_v1(F.col("text"), F.col("gold")).alias("r"))
-    return r.groupBy("shape", "r.tier").agg(F.count("*").alias("n"), F.round(F.avg("r.structure"), 6).alias("structure"), F.round(F.avg("r.penalty"), 6).alias("penalty"), F.round(F.avg("r.total"), 6).alias("total"))
+    r = R.reward_v1(completions(spark, sf_dir))
+    return r.groupBy("shape", "tier").agg(F.count("*").alias("n"), *(F.round(F.avg(n), 6).alias(n) for n in ("structure", "penalty", "total")))
 
 
 def penalty_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D1 to D12, each by itself."""
-    p = completions(spark, sf_dir).select("shape", R.penalties_v1(F.col("text")).alias("p")).select("shape", "p.*")
-    return p.groupBy("shape").agg(*(F.round(F.sum(c), 4).alias(c) for c in p.columns[1:]))
+    p = R.penalties_v1(R.split(completions(spark, sf_dir)))
+    return p.groupBy("shape").agg(*(F.round(F.sum(c), 4).alias(c) for c in R.PENALTIES))
 
 
 #: What the shapes are made to set off, one by one (n = 151 would not do: the numbers differ, the rule doesn't).

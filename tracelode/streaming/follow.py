@@ -31,7 +31,7 @@ def follow(spark: SparkSession, source: str, schema, score: Callable[[DataFrame]
 
 def windowed_rates(spark: SparkSession, source: str, schema, target: str, checkpoint: str, width: str = "10 minutes", late: str = "1 hour"):
     """Counts and means of event-time windows, each written once it can't change."""
-    rows = spark.readStream.schema(schema).parquet(source).withWatermark("ts", late)
+    rows = spark.readStream.schema(schema).parquet(source).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     out = rows.groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
     flat = out.select(F.col("window.start").alias("start"), "event_type", "n", "mean")
     return flat.writeStream.outputMode("append").format("parquet").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
