@@ -3,8 +3,10 @@
 Encoding. The last token of the encoding of each prefix of a piece decides the whole encoding: it is the longest token
 that ends there and may stand after the last token of what is before it (two tokens may stand side by side where the
 merges turn their joined bytes into just these two). A state holds, for each place where a coming token may still
-begin, the tokens from the last settled place to there. What all of them begin with is settled and is emitted at once,
-so the lookahead is bounded by the longest token. States and steps are made when first met, and are then a table look-up.
+begin, the last token before it and the node that the bytes since lead to in the tree of all tokens. A step (state,
+byte) gives the next state and the last token of the prefix so far. Tokens are emitted once all places of the state
+agree on them, so the lookahead is bounded by the longest token; at the end of a piece the rest follows from the last
+tokens. States and steps are made when first met, and are then a table look-up.
 
 Decoding. Ids come one at a time; a state is the bytes of an unfinished character. A step (state, id) gives the text
 that is now complete and the next state, and is kept once made. Bytes that are no UTF-8 give U+FFFD, as usual.
@@ -17,7 +19,7 @@ from __future__ import annotations
 
 import base64
 import codecs
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from itertools import chain
 
 import pyarrow as pa
@@ -27,7 +29,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: States, steps, and pieces that a worker keeps at most; then it starts anew. Results don't depend on it.
-KEPT_STATES, KEPT_STEPS, KEPT_PIECES = 150_000, 600_000, 400_000
+KEPT_STATES, KEPT_STEPS, KEPT_PIECES = 250_000, 600_000, 450_000
+NEVER = 1 << 60
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -40,92 +43,131 @@ class Transducer:
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks, self.token = ranks, {i: b for b, i in ranks.items()}
-        self.prefixes = {b[:k] for b in ranks for k in range(1, len(b) + 1)}
-        self.beside: dict[tuple[int, int], bool] = {}
-        self.alone: dict[bytes, bool] = {}
+        self.size = {i: len(b) for b, i in ranks.items()}
+        self.beside: dict[int, bool] = {}
+        self.splits: dict[int, tuple[int, int] | None] = {}
+        # The tree of tokens: node << 8 | byte to the next node, the token that a node ends, and the nodes with further ones.
+        self.next: dict[int, int] = {}
+        self.ends: dict[int, int] = {}
+        for data, i in ranks.items():
+            node = 0
+            for byte in data:
+                node = self.next.setdefault(node << 8 | byte, len(self.next) + 1)
+            self.ends[node] = i
+        self.inner = {k >> 8 for k in self.next}
+        self.longest = max(map(len, ranks), default=0)
         self.clear()
 
     def clear(self) -> None:
-        # A state: the longest end of the input that begins a token, and for each place from its start to here the
-        # last token and the tokens that are not settled yet.
-        self.start = (b"", ((None, ()),))
-        self.ids = {self.start: 0}
-        self.states = [self.start]
-        self.steps: dict[int, tuple[int, tuple[int, ...]]] = {}
-
-    def merged(self, data: bytes) -> list[bytes]:
-        """The merges applied one by one, the lowest rank first: what tells whether tokens may stand side by side."""
-        parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            best, at = min((self.ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
-            if best == 1 << 60:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
-
-    def may_follow(self, last: int | None, token: int) -> bool:
-        data = self.token[token]
-        if last is None:
-            if data not in self.alone:
-                self.alone[data] = len(self.merged(data)) == 1
-            return self.alone[data]
-        key = (last, token)
-        if key not in self.beside:
-            self.beside[key] = self.may_follow(None, token) and self.merged(self.token[last] + data) == [self.token[last], data]
-        return self.beside[key]
-
-    def step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        """The next state and the tokens that are settled now."""
-        open_, places = self.states[state]
-        seen = open_ + bytes((byte,))
-        found = None
-        for i in range(len(seen)):  # the longest token that fits
-            token = self.ranks.get(seen[i:])
-            if token is not None and places[i] is not None and self.may_follow(places[i][0], token):
-                found = (token, (*places[i][1], token))
-                break
-        cut = 0
-        while seen[cut:] and seen[cut:] not in self.prefixes:
-            cut += 1
-        open_ = seen[cut:]
-        # No token can begin any more at a place from where the bytes so far begin none; such places are forgotten.
-        places = [p if p is not None and seen[k:] in self.prefixes else None for k, p in enumerate(places[cut:], cut)] + [found]
-        live = [p[1] for p in places if p is not None]
-        first, settled = live[0], min(map(len, live))
-        for p in live[1:]:
-            k = 0
-            while k < settled and p[k] == first[k]:
-                k += 1
-            settled = k
-        out = first[:settled]
-        if settled:
-            places = [p and (p[0], p[1][settled:]) for p in places]
-        new = (open_, tuple(places))
-        if new not in self.ids:
-            self.ids[new] = len(self.states)
+        # A state: node and last token by turns, for each place where a coming token may begin, the farthest first.
+        start = (0, -1)
+        self.ids = {start: 0}
+        self.states = [start]
+        self.steps: dict[int, tuple[int, int]] = {}
+
+    def halves(self, token: int) -> tuple[int, int] | None:
+        """The two tokens that the last merge of a token joins; None for one byte, or where merges never make it."""
+        if token not in self.splits:
+            parts = [self.token[token][i : i + 1] for i in range(len(self.token[token]))]
+            while len(parts) > 2:
+                best, at = min((self.ranks.get(parts[i] + parts[i + 1], NEVER), i) for i in range(len(parts) - 1))
+                if best == NEVER:
+                    break
+                parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            self.splits[token] = (self.ranks[parts[0]], self.ranks[parts[1]]) if len(parts) == 2 else None
+        return self.splits[token]
+
+    def may_follow(self, last: int, token: int) -> bool:
+        """Whether merges leave last and token as they are, side by side.
+
+        They don't if, on the way to either, a merge across the border comes first. The tokens at the border are undone
+        merge by merge, the latest first; at each point the merge across must be later than the one that was undone.
+        """
+        if last < 0:  # the start of a piece
+            return len(self.token[token]) == 1 or self.halves(token) is not None
+        key = last << 20 | token
+        known = self.beside.get(key)
+        if known is None:
+            known = self.beside[key] = self.may_follow(-1, token) and self._apart(last, token)
+        return known
+
+    def _apart(self, left: int, right: int) -> bool:
+        limit = NEVER
+        while True:
+            if self.ranks.get(self.token[left] + self.token[right], NEVER) < limit:
+                return False
+            # Of the two, the one that was merged later is undone; a merge on the left comes first where both are the same.
+            for undo_left in (True, False) if left > right else (False, True):
+                parts = self.halves(left if undo_left else right)
+                if parts:
+                    limit, left, right = (left, parts[1], right) if undo_left else (right + 1, left, parts[0])
+                    break
+            else:
+                return True
+
+    def step(self, state: int, byte: int) -> tuple[int, int]:
+        """The next state, and the last token of what is read."""
+        places, new, found = self.states[state], [], -1
+        for k in range(0, len(places), 2):
+            node = self.next.get(places[k] << 8 | byte)
+            if node is not None:
+                if found < 0:  # the longest token that fits
+                    token = self.ends.get(node)
+                    if token is not None and self.may_follow(places[k + 1], token):
+                        found = token
+                if node in self.inner:
+                    new += (node, places[k + 1])
+        new = (*new, 0, found)
+        i = self.ids.get(new)
+        if i is None:
+            i = self.ids[new] = len(self.states)
             self.states.append(new)
-        return self.ids[new], out
+        return i, found
 
-    def encode(self, piece: bytes) -> list[int]:
-        whole = self.ranks.get(piece)
-        if whole is not None:
-            return [whole]
+    def stream(self, data: Iterable[int], every: int = 256) -> Iterator[int]:
+        """The tokens of a piece that comes byte by byte, each as soon as nothing that follows can change it (looked at ``every`` bytes)."""
         if len(self.steps) > KEPT_STEPS or len(self.states) > KEPT_STATES:
             self.clear()
-        state, out, steps = 0, [], self.steps
-        for byte in piece:
+        state, last = 0, []  # the last token at each byte since what was emitted
+        for byte in data:
             key = state << 8 | byte
-            step = steps.get(key)
+            step = self.steps.get(key)
             if step is None:
-                step = steps[key] = self.step(state, byte)
+                step = self.steps[key] = self.step(state, byte)
             state = step[0]
-            out += step[1]
-        last = self.states[state][1][-1]
-        if last is None:
-            raise ValueError(f"the vocabulary can't encode {piece!r}")
-        out += last[1]
+            last.append(step[1])
+            if len(last) >= 2 * every and len(last) % every == 0:
+                settled = self._settled(state, last)
+                yield from settled
+                del last[: sum(self.size[t] for t in settled)]
+        yield from self._back(last, len(last))
+
+    def _back(self, last: list[int], end: int) -> list[int]:
+        """The tokens of the first ``end`` bytes."""
+        out, size = [], self.size
+        while end > 0:
+            token = last[end - 1]
+            out.append(token)
+            end -= size[token]
+        return out[::-1]
+
+    def _settled(self, state: int, last: list[int]) -> list[int]:
+        """What the encodings up to all places of a state begin with."""
+        reach = self.longest if len(self.states[state]) > 2 else 0  # how far back a coming token may begin, at most
+        chains = [self._back(last, len(last) - k) for k in range(min(reach + 1, len(last)))]
+        out = []
+        for tokens in zip(*chains, strict=False):
+            if len(set(tokens)) > 1:
+                break
+            out.append(tokens[0])
         return out
 
+    def encode(self, piece: bytes) -> list[int]:
+        whole = self.ranks.get(piece)
+        if whole is not None:
+            return [whole]
+        return list(self.stream(piece))
+
 
 class Decoder:
     """Ids to text, one at a time: feed() gives what is complete, finish() what is left."""
