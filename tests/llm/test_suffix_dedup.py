@@ -46,7 +46,7 @@ def corpus(seed=3):
 
 
 def run(spark, texts, **options):
-    df = spark.createDataFrame([(i, t, f"x{i}") for i, t in enumerate(texts)], "doc_id long, text string, spans string").repartition(3)
+    df = spark.createDataFrame([(i, t, f"x{i}", "d", 1) for i, t in enumerate(texts)], "doc_id long, text string, spans string, doc string, own int").repartition(3)
     rows = S.remove_repeats(df, **options).collect()
     return [(r["n_bytes"], r["n_removed"], len(r["spans"]), hashlib.sha256(r["kept"]).hexdigest()) for r in sorted(rows, key=lambda r: r["doc_id"])]
 

@@ -135,7 +135,6 @@ def stretches(texts: DataFrame, length: int, hot: int) -> DataFrame:
             at = minimisers(h, length // 2 - GRAM + 1)
             owner, good = _within(starts, len(at), length // 2)
             flat = [x for i in rows for x in batch.column(3)[i].as_py()]
-            sizes = [len(batch.column(3)[i]) for i in rows]
             known = np.array([x["hash"] for x in flat], np.int64).view(np.uint64)
             counts = np.array([x["n"] for x in flat], np.int64)
             # What repeats anywhere repeats for every document that has it, so one sorted list serves the chunk.
@@ -314,10 +313,11 @@ def remove_repeats(docs: DataFrame, length: int = 400, hot: int = 8192) -> DataF
     if length % BLOCK or length < 4 * GRAM:
         raise ValueError(f"length must be a multiple of {BLOCK}, and {4 * GRAM} at least")
     names = [c for c in docs.columns if c not in ("text", *NEW)]
-    own = docs.select(*names, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64("text").alias("own"), whole(F.col("text")).alias("text"))
-    spans = repeated_spans(own.select("doc", "own", "text"), length, hot)
+    doc, own = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), F.xxhash64("text")
+    spans = repeated_spans(docs.select(doc.alias("doc"), own.alias("own"), whole(F.col("text")).alias("text")), length, hot)
     tidy(docs.sparkSession)
-    source = own.join(spans, ["doc", "own"], "left").select(*names, "spans", "text")
+    spans = spans.select(F.col("doc").alias("__sd_doc"), F.col("own").alias("__sd_own"), "spans")
+    source = docs.select(*names, doc.alias("__sd_doc"), own.alias("__sd_own"), whole(F.col("text")).alias("text")).join(spans, ["__sd_doc", "__sd_own"], "left").select(*names, "spans", "text")
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType(), False), T.StructField("stop", T.LongType(), False)]), False)
     schema = T.StructType([*(f for f in source.schema.fields[:-2]), T.StructField("n_bytes", T.LongType(), False), T.StructField("n_removed", T.LongType(), False), T.StructField("spans", span, False), T.StructField("kept", T.BinaryType(), False)])
     kind = pa.list_(pa.struct([pa.field("start", pa.int64(), False), pa.field("stop", pa.int64(), False)]))
