@@ -17,6 +17,8 @@ one). Rows that repeat are scanned each. Columns of the input stay, but for the
 
 from __future__ import annotations
 
+import re
+
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -100,6 +102,11 @@ def words(paragraph: Column) -> Column:
     return F.regexp_extract_all(F.lower(paragraph), F.lit(r"[\p{L}\p{N}]+(?:\.[\p{N}]+)*"), F.lit(0))
 
 
+def split_words(template: str) -> list[str]:
+    """What words() makes of a template."""
+    return re.findall(r"[^\W_]+(?:\.\d+)*", template.lower())
+
+
 def grams(tokens: str, n: int) -> Column:
     return F.expr(f"if(size({tokens}) >= {n}, transform(sequence(1, size({tokens}) - {n - 1}), i -> array_join(slice({tokens}, i, {n}), ' ')), cast(array() as array<string>))")
 
@@ -136,10 +143,12 @@ def examples(spark: SparkSession, docs: DataFrame, max_negatives: int) -> DataFr
     pieces = known.select("family", F.explode(F.expr("concat(array(__w), flatten(transform(array(10, 16, 24), n -> if(size(__w) > n, transform(sequence(1, size(__w) - n + 1, 3), i -> slice(__w, i, n)), cast(array() as array<array<string>>)))))")).alias("__w"))
     pieces = pieces.union(pieces.filter(F.size("__w") < 24).withColumn("__w", F.concat(F.array(F.lit("the"), F.lit("software")), "__w")))
     others = with_terms(_literal(spark, [(UNKNOWN, t) for t in OTHERS]), "paragraph").select("family", "__w")
-    runs = known.select(F.explode(grams("__w", 3)).alias("g")).distinct().agg(F.collect_list("g").alias("__known"))
-    lines = docs.select(F.xxhash64("text", "doc_id").alias("h"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).orderBy("h", "text").limit(max_negatives)
+    runs = F.split(F.lit("|".join(sorted({" ".join(w[i : i + 3]) for ts in TEMPLATES.values() for t in ts for w in [split_words(t)] for i in range(len(w) - 2)}))), "[|]")
+    # The ids first: texts aren't sorted, and max_negatives rows of two numbers are a bounded size to broadcast.
+    few = docs.select(F.xxhash64("text", "doc_id").alias("h")).distinct().orderBy("h").limit(max_negatives)
+    lines = docs.select(F.xxhash64("text", "doc_id").alias("h"), whole(F.col("text")).alias("text")).join(F.broadcast(few), "h", "left_semi")
     lines = lines.select("h", F.explode(F.split("text", "\n", -1)).alias("paragraph")).orderBy(F.xxhash64("h", "paragraph"), "paragraph").limit(max_negatives)
-    lines = lines.withColumn("__w", words(F.col("paragraph"))).join(F.broadcast(runs)).filter(~F.arrays_overlap(grams("__w", 3), F.col("__known")))
+    lines = lines.withColumn("__w", words(F.col("paragraph"))).filter(~F.arrays_overlap(grams("__w", 3), runs))
     lines = lines.select(F.lit(UNKNOWN).alias("family"), "__w")
     out = pieces.unionByName(others).unionByName(lines).filter(F.size("__w") > 0)
     return out.withColumn("__two", grams("__w", 2)).select("family", F.concat("__w", "__two").alias("__terms"))
@@ -166,9 +175,7 @@ def fit(docs: DataFrame, max_negatives: int = 1000) -> Model:
 
 def confirmed(spark: SparkSession) -> Column:
     """How well a paragraph (with __two) agrees with the templates of its family: the larger share of word pairs, of its own or of a template's."""
-    import re
-
-    pairs = {f: [list(dict.fromkeys(zip(w, w[1:], strict=False))) for t in ts if (w := re.findall(r"[^\W_]+(?:\.\d+)*", t.lower()))] for f, ts in TEMPLATES.items()}
+    pairs = {f: [list(dict.fromkeys(zip(w, w[1:], strict=False))) for t in ts for w in [split_words(t)]] for f, ts in TEMPLATES.items()}
     texts = F.create_map(*(x for f, ts in pairs.items() for x in (F.lit(f), F.array(*(F.array(*(F.lit(" ".join(p)) for p in t)) for t in ts)))))
     own = F.array_distinct("__two")
     mine = F.element_at(texts, F.col("family"))
