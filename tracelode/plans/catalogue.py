@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tracelode.plans import grading, groups, measures, pool
+from tracelode.plans import extras, grading, groups, measures, pool
 
-_parts = (pool, groups, grading, measures)
+_parts = (pool, groups, grading, measures, extras)
 QUERIES = {k: v for p in _parts for k, v in p.QUERIES.items()}
 ORACLES = {k: v for p in _parts for k, v in p.ORACLES.items()}
