@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import NO_ID, discard, materialise
 
+WORDS = 16  # of 64 bits each, for the classes of a set's shingles
 NEW = ["n_shingles", "component_id", "kept", "group"]
 
 
@@ -37,7 +38,7 @@ class Words(dict):
 
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh3_64_intdigest(word) - 2**63
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = h
         return h
@@ -157,23 +158,29 @@ def across(texts: DataFrame, n: int, percent: int) -> DataFrame:
     """Pairs (a, b) of texts (node, text, root) of different components that can be similar enough: all that are, and few others.
 
     Shingles are put in an order, rare ones first. Of two sets that are similar enough, the first shingles of each, a
-    share of 1 - percent / 100 of it and one more, have one in common. Shingles that only one set has can't be it, and
-    bound the intersection. Of the sets with a shingle in common, those of its most frequent component need no
+    share of 1 - percent / 100 of it and one more, have one in common. Shingles that only one set has can't be it. At the
+    first one in common, no set shares what it has before, which bounds the intersection. So do the sets' classes: each of
+    1,024 classes of shingles that one set has a shingle of and the other has not is at least one that isn't shared. Of the sets with a shingle in common, those of its most frequent component need no
     comparison with each other: only the others are joined with all of them.
     """
     tokens = materialise(shingles(texts, n), "shingles")
     common = materialise(tokens.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1"), "common")
-    rows = tokens.join(common, "token").groupBy("node", "root", "size").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("own"))
+    bits = [F.coalesce(F.expr(f"bit_or(if((token & {WORDS - 1}) = {k}, shiftleft(1L, cast(shiftright(token, 8) & 63 as int)), 0L))"), F.lit(0)).alias(f"b{k}") for k in range(WORDS)]
+    held = [f"b{k}" for k in range(WORDS)]
+    rows = tokens.join(common, "token").groupBy("node", "root", "size").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("own"), *bits)
     # size - ceil(percent * size / 100) + 1 shingles come first, those that no other set has at the front of them.
     first = F.col("size") - F.ceil(F.col("size") * percent / 100) + 1 - (F.col("size") - F.size("own"))
     rows = rows.withColumn("first", first.cast("int")).filter("first > 0")
-    rows = rows.select("node", "root", "size", F.size("own").cast("long").alias("most"), F.explode(F.slice("own", 1, F.col("first"))).alias("x")).select("node", "root", "size", "most", "x.token")
+    rows = rows.select("node", "root", "size", *held, F.size("own").cast("long").alias("known"), F.posexplode(F.slice("own", 1, F.col("first"))).alias("at", "x"))
+    # From this shingle on: what the set can share if this is the first that it shares.
+    rows = rows.select("node", "root", "size", *held, "known", (F.col("known") - F.col("at")).alias("most"), "x.token")
     rows = materialise(rows, "first")
     main = rows.groupBy("token", "root").agg(F.count("*").alias("c")).groupBy("token").agg(F.max(F.struct("c", "root")).alias("m"), F.count("*").alias("roots")).filter("roots > 1")
     main = materialise(main.select("token", F.col("m.root").alias("main")), "main")
     rows = materialise(rows.join(main, "token"), "first")
     l, r = rows.filter("root != main").alias("l"), rows.alias("r")
-    least = F.least("l.most", "r.most")
+    apart = lambda a, b: sum((F.bit_count(F.col(f"{a}.{k}").bitwiseAND(F.bitwise_not(f"{b}.{k}"))) for k in held), F.lit(0))
+    least = F.least("l.most", "r.most", F.col("l.known") - apart("l", "r"), F.col("r.known") - apart("r", "l"))
     fits = (F.col("l.root") != F.col("r.root")) & (100 * least >= percent * (F.col("l.size") + F.col("r.size") - least)) & ((F.col("r.root") == F.col("r.main")) | (F.col("l.node") < F.col("r.node")))
     pairs = l.join(r, (F.col("l.token") == F.col("r.token")) & fits).select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")).distinct()
     out = materialise(pairs, "pairs")
@@ -237,7 +244,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, m: int = 10,
     nodes = materialise(nodes.select(F.monotonically_increasing_id().alias("node"), "digest", "least.doc", "least.own", "halves"), "nodes")
     roots = linked(source, nodes.select("node", "doc", "own", "halves"), n, m, percent)
     named = _rooted(nodes.select("node", "digest", "doc"), roots)
-    first = named.groupBy("root").agg(F.min("doc").alias("component"))
+    first = materialise(named.groupBy("root").agg(F.min("doc").alias("component")), "components")
     named = materialise(named.join(first, "root").select("digest", "root", "component"), "named")
     out = marks.select("doc", "own", "n_shingles", "digest").join(named, "digest", "left")
     return out.select("doc", "own", "n_shingles", F.coalesce("component", "doc").alias("component"), F.col("root").alias("group"))
