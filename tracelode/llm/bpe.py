@@ -28,8 +28,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import claim, kept_caches
+
 #: States, steps, and pieces that a worker keeps at most; then it starts anew. Results don't depend on it.
-KEPT_STATES, KEPT_STEPS, KEPT_PIECES = 250_000, 600_000, 450_000
+KEPT_STATES, KEPT_STEPS, KEPT_PIECES = 120_000, 300_000, 300_000
 NEVER = 1 << 60
 
 
@@ -236,6 +238,7 @@ class Codec:
 
 
 _codecs: dict[tuple[str, str], Codec] = {}
+kept_caches.append(_codecs)
 
 
 def codec(path: str, pattern: str) -> Codec:
@@ -252,6 +255,7 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, text: str = "text",
     schema = T.StructType([*source.schema.fields[:-1], T.StructField("ids", T.ArrayType(T.IntegerType(), False), False), T.StructField("decoded", T.StringType(), False)])
 
     def run(batches):
+        claim("bpe")
         c = codec(path, pattern)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
@@ -274,6 +278,7 @@ def decode_ids(df: DataFrame, path: str, pattern: str, ids: str = "ids") -> Data
     source = df.drop("decoded")
 
     def run(batches):
+        claim("bpe")
         c = codec(path, pattern)
         for batch in batches:
             back = [c.decode(v.as_py() or ()) for v in batch.column(batch.schema.names.index(ids))]

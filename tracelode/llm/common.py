@@ -73,3 +73,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def plain(pattern: str) -> re.Pattern:
     return re.compile(pattern)
+
+
+#: Caches of a worker process that outlive a task, and the operator that filled them last.
+kept_caches: list[dict] = []
+_holder = [""]
+
+
+def claim(operator: str) -> None:
+    """Called by a task: a worker, which serves one operator after another, lets go of what others keep."""
+    if _holder[0] != operator:
+        for cache in kept_caches:
+            cache.clear()
+        _holder[0] = operator
+        gc.collect()

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import plain
+from .common import claim, plain
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _word = plain(WORD)
@@ -144,6 +144,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13,
     schema = T.StructType([*source.schema.fields, *(T.StructField(n, t, False) for n, t in NEW)])
 
     def run(batches):
+        claim("decontaminate")
         for whole in batches:
             for at in range(0, whole.num_rows, shard_rows):
                 batch = whole.slice(at, shard_rows)

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, NO_ID, discard, materialise, whole
+from .common import BLANKS, NO_ID, claim, discard, materialise, whole
 
 _blanks = BLANKS.encode()
 
@@ -37,6 +37,7 @@ def line_hashes(docs: DataFrame, min_chars: int) -> DataFrame:
     """A row (document, text, place, hash) for each line with a key of min_chars code points; 128 bits tell keys apart."""
 
     def run(batches):
+        claim("line_dedup")
         for batch in batches:
             owner, place, hashes = [], [], []
             for i, text in enumerate(batch.column(2).cast(pa.binary())):

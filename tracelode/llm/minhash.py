@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, discard, materialise
+from .common import NO_ID, claim, discard, materialise
 
 WORDS = 16  # of 64 bits each, for the classes of a set's shingles
 NEW = ["n_shingles", "component_id", "kept", "group"]
@@ -85,6 +85,7 @@ def signatures(docs: DataFrame, n: int, m: int, t: int, seed: int = 0) -> DataFr
     """doc, own (the text's hash), n_shingles, digest (of the set; null if it is empty), halves."""
 
     def run(batches):
+        claim("minhash")
         a, b = multipliers(m, t, seed)
         words = Words()
         for batch in batches:
@@ -121,6 +122,7 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFr
     both = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("second")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("first")), "a").select("a", "b", "first", "second")
 
     def run(batches):
+        claim("minhash")
         words, last, held = Words(), None, None
         for batch in batches:
             good = []
@@ -141,6 +143,7 @@ def shingles(texts: DataFrame, n: int) -> DataFrame:
     """node, root, size, token: a row for each shingle of texts (node, text, root)."""
 
     def run(batches):
+        claim("minhash")
         words = Words()
         for batch in batches:
             for at in range(0, batch.num_rows, 200):

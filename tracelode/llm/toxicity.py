@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, materialise
+from .common import claim, discard, materialise
 
 _token = re.compile(r"[^\W\d_]+")
 
@@ -62,7 +62,7 @@ class Weights(dict):
     def __missing__(self, word: str) -> float:
         found = self.token(word)
         weight = self.tokens[found] if found else 0.0
-        if len(self) > 400_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = weight
         return weight
@@ -156,6 +156,7 @@ def _counts(rows: DataFrame, kept: Weights | None = None) -> DataFrame:
     sent = rows.sparkSession.sparkContext.broadcast(kept)
 
     def run(batches):
+        claim("toxicity")
         for batch in batches:
             held: dict[str | None, list[int]] = {None: [0, 0]}
             for text, toxic in zip(batch.column(0), batch.column(1), strict=True):
@@ -228,6 +229,7 @@ def _measure(rows: DataFrame, model: Model) -> list:
     sent = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
+        claim("toxicity")
         for batch in batches:
             out = []
             for text in batch.column(0):
@@ -252,6 +254,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3, keep_text: bool
     kind = pa.list_(pa.struct([pa.field("first", pa.int32(), False), pa.field("last", pa.int32(), False), pa.field("score", pa.float64(), False), pa.field("surprise", pa.float64(), False)]))
 
     def run(batches):
+        claim("toxicity")
         for batch in batches:
             n, segments, scores = [], [], []
             for text in batch.column(batch.num_columns - 1):
