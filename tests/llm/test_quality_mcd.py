@@ -71,3 +71,14 @@ def test_outliers_go_and_the_others_stay(spark):
     assert sum(not kept[i] for i in range(900)) <= 2 and not any(kept[900 + i] for i in range(30))
     assert not kept[1000] and kept[1001]
     assert Q.judge(spark.createDataFrame([], "doc_id long, text string, lang string, source string")).collect() == []
+
+
+def test_small_groups_have_an_estimate(spark):
+    r = random.Random(4)
+    prose = lambda: " ".join("".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 9))) for _ in range(r.randint(60, 300)))
+    rows = [(i, prose(), r.choice(["en", "de", "fr"]), r.choice(["s", "t"])) for i in range(150)]
+    rows += [(150 + i, " ".join(x + "%%%%%%%" for x in prose().split()), "en", "s") for i in range(6)]
+    rows += [(156, " ".join(x + "%%%%%%%" for x in prose().split()), "xx", "u")]
+    out = {r["doc_id"]: r for r in Q.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert all((r["distance"] is None) == r["base_failed"] for r in out.values())
+    assert not any(out[i]["kept"] for i in range(150, 157)) and sum(not out[i]["kept"] for i in range(150)) <= 2

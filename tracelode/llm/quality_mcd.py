@@ -3,8 +3,11 @@
 Statistics of a text are transformed to a vector of five. For each language and source, the minimum-covariance-determinant
 estimate is found by concentration steps over all its rows: from medians and absolute deviations on, the rows nearest to
 the centre (a share ``alpha``) give the next mean and covariance. Rows whose squared Mahalanobis distance is beyond the
-chi-squared quantile are rejected. Groups of under ``min_rows`` rows are pooled by language, such pools with each other;
-where even that is too small nothing is rejected.
+chi-squared quantile are rejected. The same estimate is made of each language and of all rows. A language's centre and
+covariance are shrunk towards those of all rows, and a group's towards its language's as shrunk: the wider estimate
+counts as ``prior_rows`` rows, ten for each dimension. Groups of under ``min_rows`` rows, four for each dimension, of which
+a few odd rows may be a quarter by chance, take the wider estimate as it is. So every row that passes the base rule has a
+distance, whatever the size of its group.
 
 All is DataFrame and SQL functions. Rows are narrow after the text is counted, and only sums and quantile sketches of
 groups are shuffled, so a group may have any share of the rows. Estimates are a table, joined by group.
@@ -146,24 +149,32 @@ def _step(rows: DataFrame, groups: DataFrame, alpha: float) -> DataFrame:
     off = [F.col(x) - F.col(f"__m{i}") for i, x in enumerate(_xs())]
     sums = near.groupBy("__g").agg(F.count("*").alias("__n"), *(F.first(f"__m{i}").alias(f"__o{i}") for i in range(DIM)), *(F.avg(off[i]).alias(f"__a{i}") for i in range(DIM)), *(F.avg(off[i] * off[j]).alias(f"__p{i}{j}") for i, j in _pairs()))
     sums = sums.select("__g", *((F.col(f"__o{i}") + F.col(f"__a{i}")).alias(f"__m{i}") for i in range(DIM)), *((F.col(f"__p{i}{j}") - F.col(f"__a{i}") * F.col(f"__a{j}") + (FLOORS[i] ** 2 if i == j else 0.0)).alias(f"__c{i}{j}") for i, j in _pairs()))
-    out = materialise(factored(sums).drop(*(f"__c{i}{j}" for i, j in _pairs())), "step")
+    out = materialise(factored(sums), "step")
     discard(limit)
     return out
 
 
-def _grouped(rows: DataFrame, min_rows: int) -> DataFrame:
-    """lang, source and the group that they are estimated in (null: none)."""
-    n = rows.groupBy("__lang", "__source").agg(F.count("*").alias("n"))
-    small = F.col("n") < min_rows
-    n = n.withColumn("pool", F.sum(F.when(small, F.col("n")).otherwise(0)).over(W.partitionBy("__lang")))
-    rest = n.filter(small & (F.col("pool") < min_rows)).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rest"))
-    n = n.join(F.broadcast(rest))  # a single row
-    name = F.when(~small, F.concat(F.lit("s"), F.length("__lang").cast("string"), F.lit(":"), F.col("__lang"), F.lit(":"), F.col("__source"))).when(F.col("pool") >= min_rows, F.concat(F.lit("l:"), F.col("__lang"))).when(F.col("rest") >= min_rows, F.lit("r"))
-    return n.select("__lang", "__source", name.alias("__g"))
+def _levels(language: Column, source: Column) -> list[Column]:
+    """The names of a row's groups: language and source, language, all."""
+    return [F.concat(F.lit("s"), F.length(language).cast("string"), F.lit(":"), language, F.lit(":"), source), F.concat(F.lit("l:"), language), F.lit("a")]
 
 
-def judge(docs: DataFrame, alpha: float = 0.75, tail: float = 1e-5, min_rows: int = 200, steps: int = 5, min_words: int = 10, repeat_percent: int = 20) -> DataFrame:
-    """docs without the text, with COUNTS, base_failed, distance (squared, null where there is no estimate) and kept."""
+def _shrunk(base: DataFrame, groups: DataFrame, min_rows: int, prior_rows: int) -> DataFrame:
+    """__lang and __source with their centre __m and Cholesky factor __l, each level shrunk towards the next wider one."""
+    values = [f"__m{i}" for i in range(DIM)] + [f"__c{i}{j}" for i, j in _pairs()]
+    own, language, _ = _levels(F.col("__lang"), F.col("__source"))
+    n = base.groupBy("__lang", "__source").agg(F.count("*").alias("__n0"))
+    n = n.withColumn("__n1", F.sum("__n0").over(W.partitionBy("__lang"))).withColumns({"__g0": own, "__g1": language})
+    level = lambda k: groups.select(F.col("__g").alias(f"__g{k}"), *(F.col(c).alias(f"{c}_{k}") for c in values))
+    n = n.join(level(0), "__g0").join(level(1), "__g1").join(F.broadcast(level(2).filter("__g2 = 'a'")))  # a single row
+    n = n.withColumns({c: F.when(F.col(c) >= min_rows, F.col(c)).otherwise(0) for c in ("__n0", "__n1")})
+    for k in (1, 0):
+        n = n.withColumns({f"{c}_{k}": (F.col(f"__n{k}") * F.col(f"{c}_{k}") + prior_rows * F.col(f"{c}_{k + 1}")) / (F.col(f"__n{k}") + prior_rows) for c in values})
+    return materialise(factored(n.select("__lang", "__source", *(F.col(f"{c}_0").alias(c) for c in values))).drop(*values[DIM:]), "estimates")
+
+
+def judge(docs: DataFrame, alpha: float = 0.75, tail: float = 1e-5, min_rows: int = 4 * DIM, prior_rows: int = 10 * DIM, steps: int = 5, min_words: int = 10, repeat_percent: int = 20) -> DataFrame:
+    """docs without the text, with COUNTS, base_failed, distance (squared, null where the base rule fails) and kept."""
     given = docs.drop("base_failed", "distance", "kept")
     for c in ("lang", "source"):
         if c not in given.columns:
@@ -176,8 +187,7 @@ def judge(docs: DataFrame, alpha: float = 0.75, tail: float = 1e-5, min_rows: in
     # The narrow table goes to a few files of a fitting size, not to one for each piece of text that was read.
     own = materialise(own.hint("rebalance"), "statistics")
     base = own.filter("not base_failed").select("__lang", "__source", *_xs())
-    named = materialise(_grouped(base, min_rows), "groups")
-    rows = base.join(named.filter("__g is not null"), ["__lang", "__source"]).select("__g", *_xs())
+    rows = base.select(F.explode(F.array(*_levels(F.col("__lang"), F.col("__source")))).alias("__g"), *_xs())
     groups = _start(rows)
     for _ in range(steps):
         before, groups = groups, _step(rows, groups, alpha)
@@ -185,7 +195,7 @@ def judge(docs: DataFrame, alpha: float = 0.75, tail: float = 1e-5, min_rows: in
     # The covariance of the nearest share is smaller than that of all, by a known factor.
     factor = alpha / chi2_cdf(chi2_quantile(alpha, DIM), DIM + 2)
     limit = chi2_quantile(1 - tail, DIM)
-    found = with_distance2(own.join(named, ["__lang", "__source"], "left").join(groups, "__g", "left"))
+    found = with_distance2(own.join(_shrunk(base, groups, min_rows, prior_rows), ["__lang", "__source"], "left"))
     found = found.withColumn("distance", F.when(~F.col("base_failed"), F.col("__d2") / factor))
-    found = found.withColumn("kept", ~F.col("base_failed") & (F.col("distance").isNull() | (F.col("distance") <= limit)))
+    found = found.withColumn("kept", ~F.col("base_failed") & (F.col("distance") <= limit))
     return found.select(*names, *COUNTS, "base_failed", "distance", "kept")
