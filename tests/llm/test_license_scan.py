@@ -30,3 +30,11 @@ def test_repeated_rows_and_no_rows(spark, model):
     out = sorted(((r["doc_id"], r["n_candidates"], r["families"]) for r in L.scan(df, model).collect()), key=str)
     assert out == [(1, 1, ["MIT"]), (1, 1, ["MIT"]), (None, 1, ["CC-BY-NC"])]
     assert L.scan(df.limit(0), model).collect() == []
+
+
+def test_a_licence_without_a_cue_is_found(spark, model):
+    real = "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."
+    assert not re.search(L.CUES, real)
+    df = spark.createDataFrame([(1, f"Some prose.\n{real}"), (2, "One of the boats is in the bay, and any person is free to use it.")], "doc_id long, text string")
+    out = {r["doc_id"]: r for r in L.scan(df, model).collect()}
+    assert out[1]["families"] == ["Unlicense"] and out[1]["licences"][0]["place"] == 1 and not out[2]["families"]

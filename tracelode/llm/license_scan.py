@@ -1,6 +1,6 @@
 """Licence paragraphs, by a trained classifier.
 
-Paragraphs (lines) that have a licence's cue words are turned into sparse word 1- and 2-grams and classified by a
+Paragraphs (lines) are turned into sparse word 1- and 2-grams and classified by a
 multinomial logistic regression into licence families and a class for anything else. A second logistic regression, on
 examples that the first hasn't seen, turns the best family's log-odds into the probability that it is right; under
 ``min_probability`` the paragraph is unknown. The family's templates must confirm it: most of the paragraph's word
@@ -8,15 +8,16 @@ pairs come from them, or the paragraph holds most of one of them.
 
 The model learns from the templates below, whole and in pieces, from sentences that use the same words otherwise, and
 from at most ``max_negatives`` paragraphs of the documents (those that hash lowest and share no three words with a
-template). All is DataFrame and SQL functions and the DataFrame-based ML library, all in the JVM; nothing but
-paragraphs with cues is exploded, and documents are joined with their findings only.
+template). All is DataFrame and SQL functions and the DataFrame-based ML library, all in the JVM. Candidates are the
+paragraphs that the templates of some family can confirm: what isn't classified could not pass the final test, so no
+licence is lost by it. Documents are joined with their findings only.
 
-Defined results: a null or empty text has no paragraphs. A paragraph without a cue is never a licence (each template has
-one). Rows that repeat are scanned each. Columns of the input stay, but for the text and those named like the results.
+Defined results: a null or empty text has no paragraphs. Rows that repeat are scanned each. Columns of the input stay, but for the text and those named like the results.
 """
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import BLANKS, NO_ID, materialise, whole
 
+#: Words that the templates have; they decide nothing.
 CUES = r"(?i)licen[sc]|copyright|copyleft|warrant|permission|permitted|redistribut|public domain|creative commons|cc0|cc by"
 #: Sentences of public licences and of their customary notices, by family.
 TEMPLATES = {
@@ -75,7 +77,7 @@ TEMPLATES = {
     "CC-BY-SA": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
     "CC-BY-NC": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
     "CC0": ["Released under CC0 1.0.", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work under CC0, the public domain dedication."],
-    "Unlicense": ["This is free and unencumbered software released into the public domain, without any license.", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, without permission, for any purpose, commercial or non-commercial."],
+    "Unlicense": ["This is free and unencumbered software released into the public domain.", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, without permission, for any purpose, commercial or non-commercial."],
 }
 #: Sentences with the same words that are no licence.
 OTHERS = [
@@ -184,14 +186,36 @@ def confirmed(spark: SparkSession) -> Column:
     return F.greatest(share, theirs)
 
 
+def bound(value: Column, body) -> Column:
+    """body of a variable, so that the value is worked out once, not at each use in a lambda."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def may_agree(paragraph: Column, min_agreement: float) -> Column:
+    """Whether some family's templates could agree with a paragraph by min_agreement, which confirmed() asks of one family: implied by the final test."""
+    pairs = [list(dict.fromkeys(" ".join(p) for p in zip(w, w[1:], strict=False))) for ts in TEMPLATES.values() for t in ts for w in [split_words(t)]]
+    known = sorted({p for t in pairs for p in t})
+    texts = F.array(*(F.array(*map(F.lit, t)) for t in pairs))
+    least = math.ceil(min_agreement * min(map(len, pairs)))
+
+    def two(w: Column) -> Column:
+        return F.when(F.size(w) >= 2, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.concat(F.get(w, i - 1), F.lit(" "), F.get(w, i))))).otherwise(F.array().cast("array<string>"))
+
+    def enough(own: Column, hits: Column) -> Column:
+        of_one = F.exists(texts, lambda t: F.size(F.array_intersect(hits, t)) / F.size(t) >= min_agreement)
+        return (F.size(hits) / F.greatest(F.size(own), F.lit(1)) >= min_agreement) | ((F.size(hits) >= least) & of_one)
+
+    return bound(words(paragraph), lambda w: bound(two(w), lambda own: bound(F.filter(own, lambda p: p.isin(*known)), lambda hits: enough(own, hits))))
+
+
 def scan(docs: DataFrame, model: Model | None = None, min_probability: float = 0.5, min_agreement: float = 0.6, **options) -> DataFrame:
-    """docs without the text, with n_paragraphs (lines with a word), n_candidates (those with a cue), licences (place, family, probability, agreement) and families."""
+    """docs without the text, with n_paragraphs (lines with a word), n_candidates (those that templates of some family agree with), licences (place, family, probability, agreement) and families."""
     spark = docs.sparkSession
     model = model or fit(docs, **options)
     key = {"__li_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "__li_text": F.xxhash64("text")}
     t = whole(F.col("text"))
     lines = F.split(t, "\n", -1)
-    found = docs.filter(t.rlike(CUES)).select(*(c.alias(n) for n, c in key.items()), F.posexplode(lines).alias("place", "paragraph")).filter(F.col("paragraph").rlike(CUES))
+    found = docs.select(*(c.alias(n) for n, c in key.items()), F.posexplode(lines).alias("place", "paragraph")).filter(F.length(F.btrim("paragraph", F.lit(BLANKS))) > 0).filter(may_agree(F.col("paragraph"), min_agreement))
     found = model.predict(with_terms(found, "paragraph")).withColumn("agreement", confirmed(spark))
     licence = F.when((F.col("probability") >= min_probability) & (F.col("agreement") >= min_agreement), F.struct("place", "family", F.round("probability", 6).alias("probability"), F.round("agreement", 6).alias("agreement")))
     # A document's findings, once for rows of the same document and text.
