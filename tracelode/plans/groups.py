@@ -140,9 +140,9 @@ def best_of_k_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def best_of_k_diverse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """W2"""
+    """W2 without the properties of the first pass and the word runs, which the tables lack; by its SQL, lengths are compared by the longer one."""
     c = candidates(spark, sf_dir).withColumn("signature", F.concat_ws("/", F.col("g").cast("string"), F.col("strict").cast("string")))
-    return S.diverse(c.withColumn("worse", -F.col("discount")), ["worse", "k"]).select("uid", F.col("place").cast("long").alias("place"), F.col("k").cast("long").alias("k"))
+    return S.diverse(c.withColumn("worse", -F.col("discount")), ["worse", "k"], by_longer=True).select("uid", F.col("place").cast("long").alias("place"), F.col("k").cast("long").alias("k"))
 
 
 def golden_first_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
