@@ -1,8 +1,18 @@
 import random
 
+from tracelode.operators import pool as P
 from tracelode.operators import select as S
 
 
+def test_pairs_are_judged_by_whole_texts(spark):
+    opening = " ".join(f"open{i}" for i in range(80))
+    rest = [" ".join(f"{x}{i}" for i in range(400)) for x in "abc"]
+    rows = [(1, f"{opening} {rest[0]}"), (2, f"{opening} {rest[1]}"), (3, f"one other start {rest[2]}"), (4, f"two words more to begin with {rest[2]}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [(r["doc_a"], r["doc_b"]) for r in P.near_pairs(df).collect()] == [(3, 4)]
+    assert (1, 2) in [(r["doc_a"], r["doc_b"]) for r in P.near_pairs(df, first_chars=400).collect()]
+
+
 def chosen(rows, adds, most=3, change=0.3):
     """The reference's loop, as a plain function."""
     rows = sorted(rows, key=lambda r: (r["worse"], r["k"]))

@@ -39,8 +39,8 @@ def words(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(f"({WORD})"), 1)
 
 
-def word_grams(c: Column, n: int = 8, first_chars: int = 400) -> Column:
-    """The distinct runs of n words of the first characters of the match key; fewer words are one run, none is no run.
+def word_grams(c: Column, n: int = 8, first_chars: int | None = 400) -> Column:
+    """The distinct runs of n words of the first characters of the match key (None: of all); fewer words are one run, none is no run.
 
     The words are bound to a variable, or each run would take them from the text again.
     """
@@ -49,7 +49,7 @@ def word_grams(c: Column, n: int = 8, first_chars: int = 400) -> Column:
         every = F.transform(F.sequence(F.lit(1), F.size(toks) - (n - 1)), lambda i: F.array_join(F.slice(toks, i, n), " "))
         return F.when(F.size(toks) >= n, F.array_distinct(every)).when(F.size(toks) > 0, F.array(F.array_join(toks, " "))).otherwise(F.array().cast("array<string>"))
 
-    return F.element_at(F.transform(F.array(words(F.substring(match_key(c), 1, first_chars))), runs), 1)
+    return F.element_at(F.transform(F.array(words(match_key(c) if first_chars is None else F.substring(match_key(c), 1, first_chars))), runs), 1)
 
 
 def hex_mod(hex32: Column, n: int) -> Column:

@@ -34,9 +34,9 @@ def contamination(train: DataFrame, evals: DataFrame, threshold: float = 0.8, n:
     return exact.unionByName(best).select(F.col("a").alias("doc_id"), "kind", F.col("b").alias("item_id"), "score")
 
 
-def near_pairs(docs: DataFrame, threshold: float = 0.8, n: int = 8) -> DataFrame:
-    """Pairs a < b of documents over the threshold; equal gram sets meet as one, so copies don't multiply the work of the index."""
-    t = docs.select(F.col("doc_id").alias("a"), F.sort_array(T.word_grams(F.col("text"), n)).alias("grams")).filter(F.size("grams") > 0)
+def near_pairs(docs: DataFrame, threshold: float = 0.8, n: int = 8, first_chars: int | None = None) -> DataFrame:
+    """Pairs a < b of documents over the threshold, by whole texts unless first_chars is given; equal gram sets meet as one, so copies don't multiply the work of the index."""
+    t = docs.select(F.col("doc_id").alias("a"), F.sort_array(T.word_grams(F.col("text"), n, first_chars)).alias("grams")).filter(F.size("grams") > 0)
     sets = t.groupBy("grams").agg(F.min("a").alias("head"))
     pairs = gram_pairs(sets.select(F.col("head").alias("a"), "grams"), sets.select(F.col("head").alias("b"), "grams"), threshold).filter("a < b")
     member = t.join(sets, "grams").select(F.col("a").alias("doc"), "head")

@@ -51,7 +51,12 @@ def decontaminated_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_dup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J2 within the pool."""
+    """J2 within the pool, by the first 400 characters as its SQL has it: documents that open alike."""
+    return P.near_pairs(docs(spark, sf_dir), first_chars=400)
+
+
+def near_dup_pairs_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J2 within the pool, by whole texts."""
     return P.near_pairs(docs(spark, sf_dir))
 
 
@@ -198,7 +203,7 @@ t AS (SELECT array_to_string(list_slice(regexp_split_to_array(line, '{WS}'), 1,
 u AS (SELECT trim(regexp_replace(lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(s, '\\$[^$]*\\$', ' ', 'g'), '\\\\[A-Za-z]+\\{{[^{{}}]*\\}}', ' ', 'g'), '\\([^)]*\\)', ' ', 'g'), '[-+]?\\d+(?:[.,]\\d+)*', ' ', 'g'), '\\\\[A-Za-z]+', ' ', 'g')), '{WS}', ' ', 'g')) AS template FROM t)
 SELECT template, count(*) AS n FROM u WHERE template <> '' GROUP BY 1 HAVING count(*) > 1"""
 
-QUERIES = {f.__name__: f for f in (contamination_report, contamination_report_t50, decontaminated_pool, near_dup_pairs, exact_dedup_first_wins, stable_uid, hash_shard_counts, dist_by_source_level, stratified_sample, largest_remainder, floor_draw, round_robin_cells, disjoint_splits, staged_curriculum, rejects_by_reason, validate_artifact, topic_counts, level_bands, text_features, template_normalize)}
+QUERIES = {f.__name__: f for f in (contamination_report, contamination_report_t50, decontaminated_pool, near_dup_pairs, near_dup_pairs_whole, exact_dedup_first_wins, stable_uid, hash_shard_counts, dist_by_source_level, stratified_sample, largest_remainder, floor_draw, round_robin_cells, disjoint_splits, staged_curriculum, rejects_by_reason, validate_artifact, topic_counts, level_bands, text_features, template_normalize)}
 
 ORACLES = {
     "contamination_report": contamination_sql(0.8),
@@ -229,3 +234,6 @@ SELECT stage, band, count(*) AS n, CAST(sum(doc_id) AS bigint) AS id_sum FROM s
     "text_features": FEATURES_SQL,
     "template_normalize": TEMPLATE_SQL,
 }
+
+#: The same, but for the cut of the texts.
+ORACLES["near_dup_pairs_whole"] = ORACLES["near_dup_pairs"].replace(TOKENS, TOKENS.replace(f"substr(lower({NORM}), 1, 400)", f"lower({NORM})"))
