@@ -1,5 +1,6 @@
 import random
 
+from tracelode.operators import groups as G
 from tracelode.operators import pool as P
 from tracelode.operators import select as S
 
@@ -51,3 +52,8 @@ def test_diverse_by_word_runs(spark):
     rows = [(1, 0, "a", 10, ["x", "y"]), (1, 1, "a", 10, ["x", "y"]), (1, 2, "a", 10, ["z"])]
     df = spark.createDataFrame(rows, "uid long, k long, signature string, think_len int, runs array<string>")
     assert sorted(x["k"] for x in S.diverse(df, ["k"], grams="runs").collect()) == [0, 2]
+
+
+def test_shared_draws_are_as_many_as_the_least(spark):
+    df = spark.createDataFrame([(u, k) for u, n in ((1, 2), (2, 5), (3, 3)) for k in range(n)], "uid long, k int")
+    assert sorted(tuple(x) for x in G.shared_draws(df).collect()) == [(u, k) for u in (1, 2, 3) for k in (0, 1)]

@@ -132,3 +132,9 @@ def diagnostics(c: DataFrame) -> DataFrame:
 def health(d: DataFrame) -> DataFrame:
     """A label for each group: n/a without data, else by its rate and spread."""
     return d.withColumn("health", F.when(F.col("n") < 2, "n/a").when((F.col("rate") == 0) | (F.col("rate") == 1), "fail").when(F.col("std") < 5, "warn").otherwise("ok"))
+
+
+def shared_draws(c: DataFrame) -> DataFrame:
+    """The draws k (from 0) that every problem has: as many as the problem with the fewest."""
+    fewest = c.groupBy("uid").agg(F.count("*").alias("n")).agg(F.min("n").alias("__fewest"))
+    return c.join(F.broadcast(fewest)).filter("k < __fewest").drop("__fewest")  # a single row

@@ -52,9 +52,7 @@ def tokens_per_correct(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def think_per_correct(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Over as many draws as every problem has, thought for each right answer (infinite without any)."""
-    c = candidates(spark, sf_dir)
-    c = c.filter(F.col("k") < 1)
-    g = c.groupBy("level", "seen").agg(F.count("*").alias("n"), F.count_if("strict").alias("correct"), F.sum("think_len").alias("think"))
+    g = G.shared_draws(candidates(spark, sf_dir)).groupBy("level", "seen").agg(F.count("*").alias("n"), F.count_if("strict").alias("correct"), F.sum("think_len").alias("think"))
     return g.select("level", "seen", "n", F.round(F.when(F.col("correct") > 0, F.col("think") / F.col("correct")).otherwise(F.lit(float("inf"))), 6).alias("think_per_correct"))
 
 
