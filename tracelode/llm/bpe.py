@@ -4,12 +4,13 @@ Encoding. The last token of the encoding of each prefix of a piece decides the w
 that ends there and may stand after the last token of what is before it (two tokens may stand side by side where the
 merges turn their joined bytes into just these two). A state holds, for each place where a coming token may still
 begin, the last token before it and the node that the bytes since lead to in the tree of all tokens. A step (state,
-byte) gives the next state and the last token of the prefix so far. Tokens are emitted once all places of the state
-agree on them, so the lookahead is bounded by the longest token; at the end of a piece the rest follows from the last
-tokens. States and steps are made when first met, and are then a table look-up.
+byte) gives the next state, which knows the last token of the prefix so far. Tokens are emitted once all places of the
+state agree on them; this is looked at whenever as many bytes as the longest token has have come, so the lookahead is
+bounded by a multiple of that. Pieces shorter than this lookahead, nearly all, are emitted at their end, from the last
+tokens backwards. States and steps are made when first met, and are then a table look-up.
 
-Decoding. Ids come one at a time; a state is the bytes of an unfinished character. A step (state, id) gives the text
-that is now complete and the next state, and is kept once made. Bytes that are no UTF-8 give U+FFFD, as usual.
+Decoding. Ids come in runs; the state between runs is that of an incremental UTF-8 machine, the bytes of an unfinished
+character. Bytes that are no UTF-8 give U+FFFD, as usual.
 
 Defined results: a null text is encoded as the empty text (no ids). Special tokens are ordinary text. Rows that repeat
 are encoded each; other columns stay. ``ids`` and ``decoded`` replace columns of these names.
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import base64
 import codecs
+import re
 from collections.abc import Iterable, Iterator, Sequence
 from itertools import chain
 
@@ -30,8 +32,8 @@ from pyspark.sql import types as T
 
 from .common import claim, kept_caches
 
-#: States, steps, and pieces that a worker keeps at most; then it starts anew. Results don't depend on it.
-KEPT_STATES, KEPT_STEPS, KEPT_PIECES = 120_000, 300_000, 300_000
+#: States and steps that a worker keeps at most; then it starts anew. Of pieces, this many since the last turn and as many from before it. Results don't depend on it.
+KEPT_STATES, KEPT_STEPS, KEPT_PIECES = 120_000, 300_000, 200_000
 NEVER = 1 << 60
 
 
@@ -48,15 +50,18 @@ class Transducer:
         self.size = {i: len(b) for b, i in ranks.items()}
         self.beside: dict[int, bool] = {}
         self.splits: dict[int, tuple[int, int] | None] = {}
-        # The tree of tokens: node << 8 | byte to the next node, the token that a node ends, and the nodes with further ones.
+        # The tree of tokens: node << 8 | byte to the next node; by node, the token that ends there, or -1, and whether it has further ones.
         self.next: dict[int, int] = {}
-        self.ends: dict[int, int] = {}
+        ends: dict[int, int] = {}
         for data, i in ranks.items():
             node = 0
             for byte in data:
                 node = self.next.setdefault(node << 8 | byte, len(self.next) + 1)
-            self.ends[node] = i
-        self.inner = {k >> 8 for k in self.next}
+            ends[node] = i
+        self.ends = [ends.get(node, -1) for node in range(len(self.next) + 1)]
+        self.inner = bytearray(len(self.next) + 1)
+        for key in self.next:
+            self.inner[key >> 8] = 1
         self.longest = max(map(len, ranks), default=0)
         self.clear()
 
@@ -65,7 +70,8 @@ class Transducer:
         start = (0, -1)
         self.ids = {start: 0}
         self.states = [start]
-        self.steps: dict[int, tuple[int, int]] = {}
+        self.last = [-1]  # of each state, the last token of what is read
+        self.steps: dict[int, int] = {}
 
     def halves(self, token: int) -> tuple[int, int] | None:
         """The two tokens that the last merge of a token joins; None for one byte, or where merges never make it."""
@@ -94,69 +100,87 @@ class Transducer:
         return known
 
     def _apart(self, left: int, right: int) -> bool:
-        limit = NEVER
+        limit, rank, token, splits = NEVER, self.ranks.get, self.token, self.splits
         while True:
-            if self.ranks.get(self.token[left] + self.token[right], NEVER) < limit:
+            across = rank(token[left] + token[right])
+            if across is not None and across < limit:
                 return False
             # Of the two, the one that was merged later is undone; a merge on the left comes first where both are the same.
-            for undo_left in (True, False) if left > right else (False, True):
-                parts = self.halves(left if undo_left else right)
-                if parts:
-                    limit, left, right = (left, parts[1], right) if undo_left else (right + 1, left, parts[0])
-                    break
+            of_left = splits[left] if left in splits else self.halves(left)
+            of_right = splits[right] if right in splits else self.halves(right)
+            if of_left and (left > right or not of_right):
+                limit, left = left, of_left[1]
+            elif of_right:
+                limit, right = right + 1, of_right[0]
             else:
                 return True
 
-    def step(self, state: int, byte: int) -> tuple[int, int]:
-        """The next state, and the last token of what is read."""
-        places, new, found = self.states[state], [], -1
-        for k in range(0, len(places), 2):
-            node = self.next.get(places[k] << 8 | byte)
+    def step(self, state: int, byte: int) -> int:
+        """The next state."""
+        new, found = [], -1
+        children, inner, ends, beside = self.next.get, self.inner, self.ends, self.beside
+        places = iter(self.states[state])
+        for node, before in zip(places, places):  # noqa: B905
+            node = children(node << 8 | byte)
             if node is not None:
                 if found < 0:  # the longest token that fits
-                    token = self.ends.get(node)
-                    if token is not None and self.may_follow(places[k + 1], token):
-                        found = token
-                if node in self.inner:
-                    new += (node, places[k + 1])
-        new = (*new, 0, found)
+                    token = ends[node]
+                    if token >= 0:
+                        fits = beside.get(before << 20 | token)
+                        if self.may_follow(before, token) if fits is None else fits:
+                            found = token
+                if inner[node]:
+                    new.append(node)
+                    new.append(before)
+        new.append(0)
+        new.append(found)
+        new = tuple(new)
         i = self.ids.get(new)
         if i is None:
             i = self.ids[new] = len(self.states)
             self.states.append(new)
-        return i, found
+            self.last.append(found)
+        return i
 
-    def stream(self, data: Iterable[int], every: int = 256) -> Iterator[int]:
-        """The tokens of a piece that comes byte by byte, each as soon as nothing that follows can change it (looked at ``every`` bytes)."""
-        if len(self.steps) > KEPT_STEPS or len(self.states) > KEPT_STATES:
-            self.clear()
-        state, last = 0, []  # the last token at each byte since what was emitted
+    def stream(self, data: Iterable[int]) -> Iterator[int]:
+        """The tokens of a piece that comes byte by byte. A token is emitted once nothing that follows can change it, which is looked at whenever as many bytes as the longest token has have come; twice as many are held at most, and what a state leaves open."""
+        every, read = max(self.longest, 1), []
+        state = self._start()
         for byte in data:
-            key = state << 8 | byte
-            step = self.steps.get(key)
-            if step is None:
-                step = self.steps[key] = self.step(state, byte)
-            state = step[0]
-            last.append(step[1])
-            if len(last) >= 2 * every and len(last) % every == 0:
-                settled = self._settled(state, last)
+            state = self._next(state, byte)
+            read.append(state)
+            if len(read) >= 2 * every and len(read) % every == 0:
+                settled = self._settled(read)
                 yield from settled
-                del last[: sum(self.size[t] for t in settled)]
-        yield from self._back(last, len(last))
+                del read[: sum(self.size[t] for t in settled)]
+        yield from self._back(read, len(read))
 
-    def _back(self, last: list[int], end: int) -> list[int]:
-        """The tokens of the first ``end`` bytes."""
-        out, size = [], self.size
+    def _start(self) -> int:
+        if len(self.steps) > KEPT_STEPS or len(self.states) > KEPT_STATES:
+            self.clear()
+        return 0
+
+    def _next(self, state: int, byte: int) -> int:
+        key = state << 8 | byte
+        found = self.steps.get(key)
+        if found is None:
+            found = self.steps[key] = self.step(state, byte)
+        return found
+
+    def _back(self, read: list[int], end: int) -> list[int]:
+        """The tokens of the first ``end`` bytes, by the states after each."""
+        out, size, last = [], self.size, self.last
         while end > 0:
-            token = last[end - 1]
+            token = last[read[end - 1]]
             out.append(token)
             end -= size[token]
-        return out[::-1]
+        out.reverse()
+        return out
 
-    def _settled(self, state: int, last: list[int]) -> list[int]:
+    def _settled(self, read: list[int]) -> list[int]:
         """What the encodings up to all places of a state begin with."""
-        reach = self.longest if len(self.states[state]) > 2 else 0  # how far back a coming token may begin, at most
-        chains = [self._back(last, len(last) - k) for k in range(min(reach + 1, len(last)))]
+        reach = self.longest if len(self.states[read[-1]]) > 2 else 0  # how far back a coming token may begin, at most
+        chains = [self._back(read, len(read) - k) for k in range(min(reach + 1, len(read)))]
         out = []
         for tokens in zip(*chains, strict=False):
             if len(set(tokens)) > 1:
@@ -168,46 +192,48 @@ class Transducer:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        return list(self.stream(piece))
+        if len(piece) >= 2 * self.longest:
+            return list(self.stream(piece))
+        # The lookahead covers the whole piece: nothing can be emitted before its end.
+        state, steps, read = self._start(), self.steps, []
+        for byte in piece:
+            key = state << 8 | byte
+            state = steps.get(key)
+            if state is None:
+                state = steps[key] = self.step(key >> 8, byte)
+            read.append(state)
+        return self._back(read, len(read))
 
 
 class Decoder:
-    """Ids to text, one at a time: feed() gives what is complete, finish() what is left."""
+    """Ids to text, some at a time: feed() gives what is complete, finish() what is left. The state is that of an incremental UTF-8 machine, the bytes of an unfinished character."""
 
     def __init__(self, token: dict[int, bytes]):
         self.token = token
-        self.table: dict[tuple[bytes, int], tuple[str, bytes]] = {}
-        self.complete: dict[int, str] = {}
-        self.left = b""
-
-    def feed(self, ids: Sequence[int]) -> Iterator[str]:
-        for at in range(0, len(ids), 256):
-            part = ids[at : at + 256]
-            texts = None if self.left else list(map(self.complete.get, part))
-            if texts and None not in texts:  # tokens that start and end with whole characters leave the state alone
-                yield "".join(texts)
-            else:
-                yield from self.steps(part)
-
-    def steps(self, ids: Sequence[int]) -> Iterator[str]:
-        for i in ids:
-            step = self.table.get((self.left, i))
-            if step is None:
-                machine = codecs.getincrementaldecoder("utf-8")("replace")
-                machine.setstate((self.left, 0))
-                text = machine.decode(self.token[i])
-                if len(self.table) > KEPT_STEPS:
-                    self.table.clear()
-                step = self.table[(self.left, i)] = (text, machine.getstate()[0])
-                if not self.left and not step[1]:
-                    self.complete[i] = text
-            self.left = step[1]
-            if step[0]:
-                yield step[0]
+        self.machine = codecs.getincrementaldecoder("utf-8")("replace")
+
+    def feed(self, ids: Sequence[int], size: int = 1024) -> Iterator[str]:
+        for at in range(0, len(ids), size):
+            yield self.machine.decode(b"".join(map(self.token.__getitem__, ids[at : at + size])))
 
     def finish(self) -> str:
-        left, self.left = self.left, b""
-        return left.decode("utf-8", "replace")
+        left = self.machine.decode(b"", True)
+        self.machine.reset()
+        return left
+
+
+def ascii_pattern(pattern: str) -> re.Pattern | None:
+    """What finds the same in ASCII text by the standard library, which is faster there; None for a pattern with other escapes, flags or nested sets."""
+    known, out, inside = {r"\p{L}": "A-Za-z", r"\p{N}": "0-9"}, [], False
+    for part in re.findall(r"\\p\{\w+\}|\\.|.", pattern, re.DOTALL):
+        if part in known:
+            part = known[part] if inside else f"[{known[part]}]"
+        elif part[0] == "\\" and part not in (r"\s", r"\S") or part == "[" and inside:
+            return None
+        elif part in "[]":
+            inside = part == "["
+        out.append(part)
+    return None if re.search(r"\(\?[^!=:]", "".join(out)) else re.compile("".join(out), re.ASCII)
 
 
 class Codec:
@@ -215,22 +241,26 @@ class Codec:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.transducer, self.split = Transducer(ranks), regex.compile(pattern)
+        self.split_ascii = ascii_pattern(pattern) or self.split
         self.decoder = Decoder(self.transducer.token)
+        # Pieces met since the last turn, and before it: what goes on being met stays.
         self.pieces: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def encode(self, text: str) -> list[int]:
-        pieces = self.split.findall(text)
+        pieces = (self.split_ascii if text.isascii() else self.split).findall(text)
         if len(self.pieces) > KEPT_PIECES:
-            self.pieces.clear()
+            self.pieces, self.older = {}, self.pieces
         known = self.pieces
         found = list(map(known.get, pieces))
-        if None in found:
-            for i, ids in enumerate(found):
-                if ids is None:
-                    piece = pieces[i]
-                    ids = found[i] = known.get(piece) or tuple(self.transducer.encode(piece.encode()))
-                    if len(piece) <= 64:
-                        known[piece] = ids
+        i = -1
+        for _ in range(found.count(None)):
+            i = found.index(None, i + 1)
+            piece = pieces[i]
+            ids = known.get(piece) or self.older.get(piece) or tuple(self.transducer.encode(piece.encode()))
+            found[i] = ids
+            if len(piece) <= 64:
+                known[piece] = ids
         return list(chain.from_iterable(found))
 
     def decode(self, ids: Sequence[int]) -> str:
