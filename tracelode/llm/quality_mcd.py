@@ -1,20 +1,23 @@
 """Quality rules: base counts, and robust multivariate outliers for each language and source.
 
 Statistics of a text are transformed to a vector of five. For each language and source, the minimum-covariance-determinant
-estimate is found by concentration steps over all its rows: from medians and absolute deviations on, the rows nearest to
-the centre (a share ``alpha``) give the next mean and covariance. Rows whose squared Mahalanobis distance is beyond the
-chi-squared quantile are rejected. The same estimate is made of each language and of all rows. A language's centre and
+estimate is found by concentration steps over all its rows: the rows nearest to the centre (a share ``alpha``) give the
+next mean and covariance, to which a fixed ridge is added (the regularised form of the estimate). There are two starts,
+medians with quartile ranges, and means with the covariance of all rows; after ``warm`` steps of both, each group goes on
+with the one of the smaller determinant until no group's determinant falls by more than ``tolerance``, for ``steps`` steps
+at most. Rows whose squared Mahalanobis distance is beyond the chi-squared quantile are rejected. The same estimate is made of each language and of all rows. A language's centre and
 covariance are shrunk towards those of all rows, and a group's towards its language's as shrunk: the wider estimate
 counts as ``prior_rows`` rows, ten for each dimension. Groups of under ``min_rows`` rows, four for each dimension, of which
 a few odd rows may be a quarter by chance, take the wider estimate as it is. So every row that passes the base rule has a
 distance, whatever the size of its group.
 
-All is DataFrame and SQL functions. Rows are narrow after the text is counted, and only sums and quantile sketches of
-groups are shuffled, so a group may have any share of the rows. Estimates are a table, joined by group.
+All is DataFrame and SQL functions. Rows are narrow after the text is counted, and only sums and counts by fixed bins of
+groups are shuffled, so a group may have any share of the rows. Estimates are a table, joined by group. The nearest rows
+are those of the bins (1.1 % of a distance wide) up to the one in which the share ``alpha`` is reached: a choice that
+doesn't depend on how rows are dealt over tasks.
 
 Defined results: words are parted by ASCII white space. A null or empty text has no words and fails the base rule. Null
-languages and sources are groups of their own. Rows that repeat are judged each, and count each. Quantiles within a
-group are approximate, to 1 / 1,000 of its rows; the estimates, not the counts, depend on it. No rows: no rows.
+languages and sources are groups of their own. Rows that repeat are judged each, and count each. No rows: no rows.
 Columns of the input stay, but for those named like the results (``COUNTS``, ``base_failed``, ``distance``, ``kept``).
 """
 
@@ -133,27 +136,69 @@ def factored(groups: DataFrame) -> DataFrame:
     return groups
 
 
+#: Bins of a statistic for each unit, and of a squared distance for each doubling.
+BINS, BINS2 = 1000, 64
+
+
+def _reached(counts: DataFrame, keys: list[str], shares: list[float]) -> DataFrame:
+    """keys and __b0, __b1, ...: the bins (column __bin, counts __n) in which the shares of a group's rows are reached."""
+    upto = F.sum("__n").over(W.partitionBy(*keys).orderBy("__bin"))
+    placed = counts.withColumns({"__upto": upto, "__all": F.sum("__n").over(W.partitionBy(*keys))})
+    return placed.groupBy(*keys).agg(*(F.min(F.when(F.col("__upto") >= F.greatest(F.floor(p * F.col("__all")), F.lit(1)), F.col("__bin"))).alias(f"__b{k}") for k, p in enumerate(shares)))
+
+
 def _start(rows: DataFrame) -> DataFrame:
-    """Medians, and absolute deviations as a diagonal covariance."""
-    middle = materialise(rows.groupBy("__g").agg(*(F.percentile_approx(x, 0.5, 1000).alias(f"__m{i}") for i, x in enumerate(_xs()))), "medians")
-    spread = rows.join(middle, "__g").groupBy("__g").agg(*(F.first(f"__m{i}").alias(f"__m{i}") for i in range(DIM)), *(F.percentile_approx(F.abs(F.col(x) - F.col(f"__m{i}")), 0.5, 1000).alias(f"__s{i}") for i, x in enumerate(_xs())))
-    return materialise(spread.select("__g", *(f"__m{i}" for i in range(DIM)), *(F.lit(0.0).alias(f"__l{i}{j}") if i != j else (F.col(f"__s{i}") * 1.4826 + FLOORS[i]).alias(f"__l{i}{i}") for i, j in _pairs())), "start")
+    """Two starts __s of each group __g: medians and quartile ranges, and means and covariance."""
+    binned = rows.select("__g", F.posexplode(F.array(*(F.floor(F.col(x) * BINS) for x in _xs()))).alias("__i", "__bin"))
+    found = _reached(binned.groupBy("__g", "__i", "__bin").agg(F.count("*").alias("__n")), ["__g", "__i"], [0.25, 0.5, 0.75])
+    at = lambda i, c: F.max(F.when(F.col("__i") == i, c))
+    middle = found.groupBy("__g").agg(*(at(i, (F.col("__b1") + 0.5) / BINS).alias(f"__m{i}") for i in range(DIM)), *(at(i, (F.col("__b2") - F.col("__b0")) / BINS / 1.349).alias(f"__s{i}") for i in range(DIM)))
+    robust = middle.select("__g", F.lit(0).alias("__s"), *(f"__m{i}" for i in range(DIM)), *(F.lit(0.0).alias(f"__c{i}{j}") if i != j else F.pow(F.col(f"__s{i}") + FLOORS[i], 2).alias(f"__c{i}{i}") for i, j in _pairs()))
+    plain = _moments(rows.withColumns({"__s": F.lit(1)} | {f"__m{i}": F.lit(0.0) for i in range(DIM)}))
+    return materialise(with_determinant(factored(robust.unionByName(plain))), "start")
+
+
+def _moments(near: DataFrame) -> DataFrame:
+    """Mean and covariance, with the ridge, of rows (__g, __s, __x, and __m to sum around, where sums lose no digits)."""
+    off = [F.col(x) - F.col(f"__m{i}") for i, x in enumerate(_xs())]
+    sums = near.groupBy("__g", "__s").agg(*(F.first(f"__m{i}").alias(f"__o{i}") for i in range(DIM)), *(F.avg(off[i]).alias(f"__a{i}") for i in range(DIM)), *(F.avg(off[i] * off[j]).alias(f"__p{i}{j}") for i, j in _pairs()))
+    return sums.select("__g", "__s", *((F.col(f"__o{i}") + F.col(f"__a{i}")).alias(f"__m{i}") for i in range(DIM)), *((F.col(f"__p{i}{j}") - F.col(f"__a{i}") * F.col(f"__a{j}") + (FLOORS[i] ** 2 if i == j else 0.0)).alias(f"__c{i}{j}") for i, j in _pairs()))
+
+
+def with_determinant(groups: DataFrame) -> DataFrame:
+    """Groups with the logarithm __det of the determinant of their covariance."""
+    return groups.withColumn("__det", sum((2 * F.log(f"__l{i}{i}") for i in range(1, DIM)), 2 * F.log("__l00")))
 
 
 def _step(rows: DataFrame, groups: DataFrame, alpha: float) -> DataFrame:
     """A concentration step: mean and covariance of the share alpha of a group's rows that is nearest to its centre."""
-    near = with_distance2(rows.join(groups, "__g"))
-    limit = materialise(near.groupBy("__g").agg(F.percentile_approx("__d2", alpha, 1000).alias("__limit")), "limits")
-    near = near.join(limit, "__g").filter("__d2 <= __limit")
-    # Sums around the last centre, where they lose no digits.
-    off = [F.col(x) - F.col(f"__m{i}") for i, x in enumerate(_xs())]
-    sums = near.groupBy("__g").agg(F.count("*").alias("__n"), *(F.first(f"__m{i}").alias(f"__o{i}") for i in range(DIM)), *(F.avg(off[i]).alias(f"__a{i}") for i in range(DIM)), *(F.avg(off[i] * off[j]).alias(f"__p{i}{j}") for i, j in _pairs()))
-    sums = sums.select("__g", *((F.col(f"__o{i}") + F.col(f"__a{i}")).alias(f"__m{i}") for i in range(DIM)), *((F.col(f"__p{i}{j}") - F.col(f"__a{i}") * F.col(f"__a{j}") + (FLOORS[i] ** 2 if i == j else 0.0)).alias(f"__c{i}{j}") for i, j in _pairs()))
-    out = materialise(factored(sums), "step")
+    near = with_distance2(rows.join(groups.drop("__det", *(f"__c{i}{j}" for i, j in _pairs())), "__g")).withColumn("__bin", F.floor(F.log2(F.greatest(F.col("__d2"), F.lit(1e-12))) * BINS2))
+    limit = materialise(_reached(near.groupBy("__g", "__s", "__bin").agg(F.count("*").alias("__n")), ["__g", "__s"], [alpha]), "limits")
+    # Not null-rejecting: else the planner would test the distance for null below the join, in a copy that repeats each term over and over.
+    near = near.join(limit, ["__g", "__s"]).filter(F.coalesce(F.col("__bin") <= F.col("__b0"), F.lit(False)))
+    out = materialise(with_determinant(factored(_moments(near))), "step")
     discard(limit)
     return out
 
 
+def estimates(rows: DataFrame, alpha: float, warm: int, steps: int, tolerance: float) -> DataFrame:
+    """__g with centre __m, covariance __c, its Cholesky factor __l and its log-determinant __det, for rows (__g, __x)."""
+    groups = _start(rows)
+    for k in range(steps):
+        before, groups = groups, _step(rows, groups, alpha)
+        if k + 1 == warm:  # each group goes on with its better start
+            every, least = groups, groups.groupBy("__g").agg(F.min(F.struct("__det", "__s")).alias("x")).select("__g", F.col("x.__s").alias("__s"))
+            groups = materialise(every.join(least, ["__g", "__s"]), "chosen")
+            discard(every)
+        elif k >= warm:  # one number
+            fell = before.select("__g", "__s", F.col("__det").alias("__old")).join(groups, ["__g", "__s"]).agg(F.max(F.col("__old") - F.col("__det"))).first()[0]
+            if fell is None or fell <= tolerance:
+                discard(before)
+                break
+        discard(before)
+    return groups
+
+
 def _levels(language: Column, source: Column) -> list[Column]:
     """The names of a row's groups: language and source, language, all."""
     return [F.concat(F.lit("s"), F.length(language).cast("string"), F.lit(":"), language, F.lit(":"), source), F.concat(F.lit("l:"), language), F.lit("a")]
@@ -173,7 +218,7 @@ def _shrunk(base: DataFrame, groups: DataFrame, min_rows: int, prior_rows: int)
     return materialise(factored(n.select("__lang", "__source", *(F.col(f"{c}_0").alias(c) for c in values))).drop(*values[DIM:]), "estimates")
 
 
-def judge(docs: DataFrame, alpha: float = 0.75, tail: float = 1e-5, min_rows: int = 4 * DIM, prior_rows: int = 10 * DIM, steps: int = 5, min_words: int = 10, repeat_percent: int = 20) -> DataFrame:
+def judge(docs: DataFrame, alpha: float = 0.75, tail: float = 1e-5, min_rows: int = 4 * DIM, prior_rows: int = 10 * DIM, warm: int = 2, steps: int = 20, tolerance: float = 1e-3, min_words: int = 10, repeat_percent: int = 20) -> DataFrame:
     """docs without the text, with COUNTS, base_failed, distance (squared, null where the base rule fails) and kept."""
     given = docs.drop("base_failed", "distance", "kept")
     for c in ("lang", "source"):
@@ -188,10 +233,7 @@ def judge(docs: DataFrame, alpha: float = 0.75, tail: float = 1e-5, min_rows: in
     own = materialise(own.hint("rebalance"), "statistics")
     base = own.filter("not base_failed").select("__lang", "__source", *_xs())
     rows = base.select(F.explode(F.array(*_levels(F.col("__lang"), F.col("__source")))).alias("__g"), *_xs())
-    groups = _start(rows)
-    for _ in range(steps):
-        before, groups = groups, _step(rows, groups, alpha)
-        discard(before)
+    groups = estimates(rows, alpha, warm, steps, tolerance)
     # The covariance of the nearest share is smaller than that of all, by a known factor.
     factor = alpha / chi2_cdf(chi2_quantile(alpha, DIM), DIM + 2)
     limit = chi2_quantile(1 - tail, DIM)
