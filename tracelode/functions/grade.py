@@ -176,16 +176,34 @@ def sql_close(a: str, b: str) -> str:
     return f"coalesce({a} = {b} OR abs({a} - {b}) <= greatest(1e-6 * greatest(abs({a}), abs({b})), 1e-9), false)"
 
 
+def sql_post(c: str) -> str:
+    return f"CASE WHEN instr({c}, '{CLOSE}') > 0 THEN substr({c}, instr({c}, '{CLOSE}') + {len(CLOSE)}) ELSE {c} END"
+
+
+def sql_lines(c: str) -> str:
+    return f"list_filter(list_transform(regexp_split_to_array({c}, '\\r\\n|\\r|\\n'), lambda x: {sql_strip('x')}), lambda x: x <> '')"
+
+
+def sql_extract(c: str, post: str) -> str:
+    """extract_answer() of a text whose part after the end of thought is a column."""
+    finals = f"regexp_extract_all({post}, '(?i){FINAL}', 1)"
+    boxed, tagged, final = f"regexp_extract({post}, '{BOXED}', 1)", f"regexp_extract({post}, '(?s){TAGGED}', 1)", f"{finals}[-1]"
+    return f"""CASE WHEN coalesce(length({c}), 0) = 0 THEN NULL WHEN regexp_matches({post}, '{BOXED}') THEN {sql_strip(boxed)} WHEN regexp_matches({post}, '(?s){TAGGED}') THEN {sql_strip(tagged)}
+  WHEN len({finals}) > 0 THEN regexp_replace({sql_strip(final)}, '[.,;]+$', '') ELSE {sql_lines(post)}[-1] END"""
+
+
+def sql_verified(source: str, out: str, pred: str, gold: str, verdict: str) -> str:
+    """Common table expressions that add to a table the lenient verdict on an extracted answer, as verified() does."""
+    return f"""
+{out}_1 AS (SELECT *, {sql_strip(f"coalesce({gold}, '')")} AS v_g FROM {source}), {out}_2 AS (SELECT *, {sql_normalize(pred)} AS v_p, {sql_normalize('v_g')} AS v_n FROM {out}_1), {out}_3 AS (SELECT *, {sql_numeric('v_p')} AS v_x, {sql_numeric('v_n')} AS v_y FROM {out}_2),
+{out} AS (SELECT * EXCLUDE (v_g, v_p, v_n, v_x, v_y), coalesce({pred} IS NOT NULL AND v_g <> '' AND ((v_p <> '' AND v_p = v_n) OR {sql_close('v_x', 'v_y')} OR (v_n <> '' AND ends_with(v_p, v_n)) OR (v_p <> '' AND ends_with(v_n, v_p))), false) AS {verdict} FROM {out}_3)"""
+
+
 def sql_steps(source: str) -> str:
     """Common table expressions up to ``graded``, for a table with key, text and gold."""
-    post = f"CASE WHEN instr(text, '{CLOSE}') > 0 THEN substr(text, instr(text, '{CLOSE}') + {len(CLOSE)}) ELSE text END"
-    finals = f"regexp_extract_all(post, '(?i){FINAL}', 1)"
-    lines = f"list_filter(list_transform(regexp_split_to_array(post, '\\r\\n|\\r|\\n'), lambda x: {sql_strip('x')}), lambda x: x <> '')"
     return f"""
-g1 AS (SELECT *, {post} AS post, instr(text, '{CLOSE}') > 0 AS closed, {sql_strip("coalesce(gold, '')")} AS gs FROM {source}),
-g2 AS (SELECT *, {finals} AS finals, {lines} AS post_lines FROM g1),
-g3 AS (SELECT *, CASE WHEN coalesce(length(text), 0) = 0 THEN NULL WHEN regexp_matches(post, '{BOXED}') THEN {sql_strip(f"regexp_extract(post, '{BOXED}', 1)")} WHEN regexp_matches(post, '(?s){TAGGED}') THEN {sql_strip(f"regexp_extract(post, '(?s){TAGGED}', 1)")}
-  WHEN len(finals) > 0 THEN regexp_replace({sql_strip("finals[-1]")}, '[.,;]+$', '') ELSE post_lines[-1] END AS pred FROM g2),
+g1 AS (SELECT *, {sql_post('text')} AS post, instr(text, '{CLOSE}') > 0 AS closed, {sql_strip("coalesce(gold, '')")} AS gs FROM {source}),
+g3 AS (SELECT *, {sql_extract('text', 'post')} AS pred FROM g1),
 g4 AS (SELECT *, {sql_normalize('pred')} AS np, {sql_normalize('gs')} AS ng, {sql_wider('pred')} AS wp, {sql_wider('gs')} AS wg FROM g3),
 g5 AS (SELECT *, {sql_numeric('np')} AS xp, {sql_numeric('ng')} AS xg, {sql_wider_number('wp')} AS yp, {sql_wider_number('wg')} AS yg FROM g4),
 g6 AS (SELECT *, (np <> '' AND np = ng) OR {sql_close('xp', 'xg')} AS equal_, (wp <> '' AND wp = wg) OR {sql_close('yp', 'yg')} AS wide FROM g5),

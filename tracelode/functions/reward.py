@@ -194,9 +194,11 @@ def penalties_v1(df: DataFrame, variation: str | None = None) -> DataFrame:
     return df.drop("__look", "__shapes", "__steps", "__number", "__told", "__ab", "__ba", "__size")
 
 
-def reward_v1(df: DataFrame, variation: str | None = None) -> DataFrame:
-    """df (text, gold) with tier, structure, penalty and total: accuracy + max(floor, structure - penalties)."""
+def reward_v1(df: DataFrame, variation: str | None = None, strict_gate: bool = False) -> DataFrame:
+    """df (text, gold) with tier, structure, penalty and total: accuracy + max(floor, structure - penalties). With strict_gate a contradiction makes a strict answer lenient."""
     df = penalties_v1(tiers(split(df)), variation)
+    if strict_gate:
+        df = df.withColumn("tier", F.when((F.col("tier") == "strict") & (F.col("contradiction") > 0), "lenient").otherwise(F.col("tier")))
     df = df.withColumn("accuracy", F.when(F.col("tier") == "strict", R_STRICT).when(F.col("tier") == "lenient", R_LENIENT).otherwise(0.0))
     half = F.col("accuracy") >= 0.5
     parts = ((F.col("closed"), S_CLOSED), (F.col("boxed"), S_TERMINAL), (F.col("bare"), S_TERMINAL), (half & (F.size("__parts") <= 25) & (F.col("boxed") | F.col("bare")), S_SHORT), (half & (F.col("__again") >= 2), S_RESTART))

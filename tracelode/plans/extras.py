@@ -47,19 +47,6 @@ def round_robin_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", *(F.md5(part(b)).alias(f"b{b}") for b in range(3)))
 
 
-def triage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gate, then a box in the thought, then the verdict; the first that fails is the reason."""
-    c = G.graded(completions(spark, sf_dir))
-    c = P.reasons(c, [("gate", F.instr("text", G.CLOSE) == 0), ("think_boxed", F.contains(G.thought(F.col("text")), F.lit("boxed"))), ("verify", ~F.col("as_scored"))])
-    return c.groupBy("shape", F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
-
-
-def stalled_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Neighbours that begin alike."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.transform(T.lines(F.col("text")), lambda x: F.substring(x, 1, 12)).alias("l"))
-    return d.select("doc_id", T.neighbours(F.col("l"), lambda a, b: a == b).cast("long").alias("stalled"))
-
-
 def shortest_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """the shortest right rollout of each problem, the earliest of equals; and the earliest eligible one."""
     c = candidates(spark, sf_dir).filter("strict")
@@ -121,7 +108,7 @@ def array_join_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.reasons(j, [("missing", F.col("scores").isNull()), ("length", F.size("scores") != F.col("n"))]).groupBy(F.coalesce("reason", F.lit("ok")).alias("reason")).agg(F.count("*").alias("n"))
 
 
-_all = (gold_extract, mcq_render, label_strip, round_robin_merge, triage, stalled_lines, shortest_trace, finalize_threshold, capped_samples, curriculum_bands, draft_breaches, length_correlation, excess_types, fingerprint, array_join_checked)
+_all = (gold_extract, mcq_render, label_strip, round_robin_merge, shortest_trace, finalize_threshold, capped_samples, curriculum_bands, draft_breaches, length_correlation, excess_types, fingerprint, array_join_checked)
 QUERIES = {f.__name__: f for f in _all}
 LABEL = "^(\\s*)(?:goal|chk|sub|let|case)\\s*\\d*\\s*:\\s?"
 ORACLES = {
@@ -130,8 +117,6 @@ ORACLES = {
 SELECT key, array_to_string(m, '|') AS options, chr(CAST(64 + list_position(m, 'right' || key) AS int)) AS letter FROM o""",
     "label_strip": f"WITH {COMPLETIONS_SQL}, r AS (SELECT key, string_split(text, chr(10)) AS l FROM comp) SELECT key, array_to_string(list_transform(l, lambda x: regexp_replace(x, '{LABEL}', '\\1')), chr(10)) AS text, CAST(len(list_filter(l, lambda x: regexp_matches(x, '{LABEL}'))) AS bigint) AS labels FROM r",
     "round_robin_merge": f"WITH l AS (SELECT doc_id, {LINES} AS l FROM documents) SELECT doc_id, " + ", ".join(f"md5(array_to_string(list_transform(list_filter(range(1, len(l) + 1), lambda i: (i - 1) % 3 = {b}), lambda i: l[i]), ' ')) AS b{b}" for b in range(3)) + " FROM l",
-    "triage": f"""WITH {COMPLETIONS_SQL}, {G.sql_steps('comp')} SELECT shape, CASE WHEN NOT closed THEN 'gate' WHEN contains(split_part(text, '</think>', 1), 'boxed') THEN 'think_boxed' WHEN NOT as_scored THEN 'verify' ELSE 'kept' END AS reason, count(*) AS n FROM graded GROUP BY 1, 2""",
-    "stalled_lines": f"WITH l AS (SELECT doc_id, list_transform({LINES}, lambda x: substr(x, 1, 12)) AS l FROM documents) SELECT doc_id, CAST(len(list_filter(range(1, len(l)), lambda i: l[i] = l[i + 1])) AS bigint) AS stalled FROM l",
     "shortest_trace": f"WITH {CAND}, r AS (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY think_len, k) AS n, min(k) FILTER (g = 1) OVER (PARTITION BY uid) AS first FROM cand WHERE strict) SELECT uid, k, first FROM r WHERE n = 1",
     "finalize_threshold": f"WITH {CAND} SELECT CASE WHEN k = 3 THEN 'not finite' WHEN discount - tax <= 0.02 THEN 'low' ELSE 'kept' END AS reason, count(*) AS n FROM cand GROUP BY 1",
     "capped_samples": "WITH r AS (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY md5(CAST(event_id AS varchar)), event_id) AS n FROM events) SELECT event_type, event_id FROM r WHERE n <= 5",
