@@ -155,7 +155,7 @@ def tiers(df: DataFrame) -> DataFrame:
     clean = (F.size(rows) > 0) & (F.size(rows) <= 3) & (F.col("boxed") | F.col("bare") | F.col("prose").isNotNull()) & ~F.exists(rows, lambda x: x.rlike(r"^\d+\.\s"))
     accepted = F.col("__ok") | F.col("__said")
     df = df.withColumn("tier", F.when(accepted & clean, "strict").when(accepted & gold_in_window(F.col("tail"), F.col("gold")), "lenient").otherwise("wrong"))
-    return df.drop("__pred", "__ok", "__said")
+    return df.withColumns({"accepted": accepted, "by_prose": F.col("__said") & ~F.col("__ok")}).drop("__pred", "__ok", "__said")
 
 
 PENALTIES = ("length", "placeholder", "repetition", "monolithic", "tail_repeat", "leak", "sentinel", "contradiction", "malformed", "closure")
@@ -204,4 +204,5 @@ def reward_v1(df: DataFrame, variation: str | None = None, strict_gate: bool = F
     parts = ((F.col("closed"), S_CLOSED), (F.col("boxed"), S_TERMINAL), (F.col("bare"), S_TERMINAL), (half & (F.size("__parts") <= 25) & (F.col("boxed") | F.col("bare")), S_SHORT), (half & (F.col("__again") >= 2), S_RESTART))
     df = df.withColumns({"structure": sum((F.when(test, value).otherwise(0.0) for test, value in parts), F.lit(0.0)), "penalty": sum((F.col(n) for n in PENALTIES), F.lit(0.0))})
     floor = F.when(F.col("closed"), 0.10).otherwise(0.0)
-    return df.withColumn("total", F.col("accuracy") + F.greatest(floor, F.col("structure") - F.col("penalty"))).drop("__parts", "__again")
+    df = df.withColumn("fmt", F.greatest(floor, F.col("structure") - F.col("penalty")))
+    return df.withColumns({"total": F.col("accuracy") + F.col("fmt"), "restarts": F.col("__again")}).drop("__parts", "__again")

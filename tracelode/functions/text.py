@@ -124,17 +124,26 @@ def percentile_linear(c: str, p: float) -> Column:
 
 
 def percentile_nearest(c: str, p: float) -> Column:
-    """The value at place floor(p * n), the last at most."""
-    s = F.array_sort(F.collect_list(c))
-    return F.element_at(s, F.least(F.floor(F.size(s) * p).cast("int"), F.size(s) - 1) + 1)
+    """The value at place floor(p * n), the last at most: by counts of distinct values, no list of a group's rows."""
+    return F.expr(f"percentile_disc({min(p + 1e-9, 1.0)!r}) WITHIN GROUP (ORDER BY {c})")
 
 
 def upper_median(c: str) -> Column:
-    s = F.array_sort(F.collect_list(c))
-    return F.element_at(s, F.floor(F.size(s) / 2).cast("int") + 1)
+    return percentile_nearest(c, 0.5)
+
+
+# The kinds of problems by their words; the first that has one counts.
+TOPICS = [
+    ("geometry", r"\b(triangle|circle|angle|polygon|radius|perimeter|area of|rectangle|square|sphere|cylinder|parallel|tangent|vertex|vertices|hypotenuse|coordinates?)\b"),
+    ("combinatorics", r"\b(how many ways|permutation|combination|choose|distinct arrangements|probability|binomial|factorial|subsets?|counting)\b"),
+    ("number_theory", r"\b(divisor|prime|modulo|mod |remainder|gcd|lcm|integer solutions|digits?)\b"),
+    ("calculus", r"\b(integral|derivative|limit|\\int|\\lim|converges?|diverges?|series|\\sum)\b"),
+    ("algebra", r"\b(solve for|equation|polynomial|roots?|factor|simplify|expression|inequality|function|x\^|matrix)\b"),
+]
 
 
 def topic(c: Column) -> Column:
-    """The first kind of problem whose words occur."""
-    t = F.lower(c)
-    return F.when(t.rlike(r"triangle|circle|angle|area|perimeter"), "geometry").when(t.rlike(r"probab|dice|coin|random"), "probability").when(t.rlike(r"prime|divis|modul|integer"), "number theory").when(t.rlike(r"equation|polynomial|solve|variable"), "algebra").otherwise("other")
+    low, out = F.lower(c), F.lit("other")
+    for name, pattern in reversed(TOPICS):
+        out = F.when(low.rlike(pattern), name).otherwise(out)
+    return out

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The ids that open and close thought, start a turn and end a text.
@@ -85,12 +85,12 @@ def token_weight(s: Column, marked: Column, floor: float = 1.0, **options) -> Co
     return F.when(marked, F.greatest(w, F.lit(floor))).otherwise(w)
 
 
-def g_spike(gaps: str, lam: float = 1.0, beta: float = 5.0) -> Column:
-    """exp(-lam / beta * log mean exp(beta * gap)) over a group, shifted by the greatest gap so that nothing overflows."""
-    top = F.max(gaps)
-    values = F.collect_list(gaps)
-    mean = F.aggregate(F.transform(values, lambda x: F.exp(beta * (x - F.array_max(values)))), F.lit(0.0), lambda a, x: a + x) / F.count(gaps)
-    return F.exp(-(lam / beta) * (beta * top + F.log(mean)))
+def g_spike(df: DataFrame, group: str, gaps: str, betas: dict[str, float], lam: float = 1.0) -> DataFrame:
+    """group and, for each name and beta, exp(-lam / beta * log mean exp(beta * gap)), shifted by the group's greatest gap so that nothing overflows: two aggregates, no list of a group's tokens."""
+    top = df.groupBy(group).agg(F.max(gaps).alias("__top"))
+    near = df.join(top, group)
+    means = near.groupBy(group).agg(F.first("__top").alias("__top"), *(F.avg(F.exp(b * (F.col(gaps) - F.col("__top")))).alias(n) for n, b in betas.items()))
+    return means.select(group, *(F.exp(-(lam / b) * (b * F.col("__top") + F.log(n))).alias(n) for n, b in betas.items()))
 
 
 def gap(actual: Column, top: Column) -> Column:

@@ -40,9 +40,9 @@ def yields(c: DataFrame) -> DataFrame:
     return rollouts.select(key, "rollouts", "verify_rate", "gate_rate").join(problems.select(key, "problems", "solve_rate"), "level")
 
 
-def pass_at_k(c: DataFrame, k: int) -> DataFrame:
-    """pass@1 as the mean over draws with its sample deviation, and pass@k, over the first k draws."""
-    first = c.filter(F.col("k") < k)
+def pass_at_k(c: DataFrame, k: int | None = None) -> DataFrame:
+    """pass@1 as the mean over draws with its sample deviation, and pass@k, over all draws, or the first k where that is asked for. Verdicts that are missing don't count; a draw without any has no rate."""
+    first = c if k is None else c.filter(F.col("k") < k)
     draws = first.groupBy("k").agg(F.avg(F.col("strict").cast("int")).alias("p")).agg(F.round(F.avg("p"), 6).alias("pass_1"), F.round(F.stddev_samp("p"), 6).alias("std"), F.count("*").alias("draws"))
     problems = first.groupBy("uid").agg(F.bool_or("strict").alias("any"), F.max(F.when(F.col("k") == 0, F.col("strict"))).alias("at1")).agg(F.round(F.avg(F.col("any").cast("int")), 6).alias("pass_k"), F.round(F.avg(F.col("at1").cast("int")), 6).alias("at1"), F.count("*").alias("problems"))
     return draws.join(F.broadcast(problems))  # two single rows
@@ -80,7 +80,7 @@ def dynamic_sampling(c: DataFrame) -> DataFrame:
     return g.withColumn("reason", F.when(F.col("n") == 0, "empty").when(F.col("right") == 0, "all wrong").when(F.col("right") == F.col("n"), "all right").otherwise("kept"))
 
 
-def tea_weights(c: DataFrame, x: str, y: str, cap: float = 4.0) -> DataFrame:
+def tea_weights(c: DataFrame, x: str, y: str, cap: float = 100.0) -> DataFrame:
     """Softmax of the centred product of two measures over all rows, capped at cap / n; not normalised again. Two aggregates of one row are sent back."""
     means = c.agg(F.avg(x).alias("mx"), F.avg(y).alias("my"), F.count("*").alias("n"))
     p = c.join(F.broadcast(means)).withColumn("cov", (F.col(x) - F.col("mx")) * (F.col(y) - F.col("my")))
@@ -114,24 +114,85 @@ def band_multiplier(length: Column, target: float = 288.0, width: float = 32.0)
     return F.when(off <= width, 1.0).otherwise(F.exp(-(off - width) / target))
 
 
-def diagnostics(c: DataFrame) -> DataFrame:
-    """Measures of a problem's group; null where there is nothing to measure."""
-    lens = F.when(F.col("strict"), F.col("think_len"))
-    return c.groupBy("uid").agg(
-        F.count("*").alias("n"),
-        F.round(F.avg(F.col("strict").cast("int")), 6).alias("rate"),
-        F.round(F.avg(lens), 6).alias("mean_right"),
-        F.round(F.avg(F.when(~F.col("strict"), F.col("think_len"))), 6).alias("mean_wrong"),
-        F.round(F.stddev_pop("think_len"), 6).alias("std"),
-        F.round(F.percentile("think_len", 0.5), 6).alias("median"),
-        F.round(F.count_distinct("part") / F.count("*"), 6).alias("distinct_share"),
-        F.count_if(F.col("g") == 0).alias("gated"),
+# What counts as confident and as chaotic, and the bounds of health.
+CONFIDENT_CHARS, CONFIDENT_HEDGES, CHAOTIC_CHARS, CHAOTIC_HEDGES = 4000, 1, 8000, 3
+COLLAPSED, FEW_ANSWERS = 0.60, 0.15
+
+
+def mean_jaccard(sets: DataFrame, group: str, member: str, grams: str) -> DataFrame:
+    """group, jaccard: the mean similarity of all pairs of a group's sets; null with fewer than two sets that aren't empty.
+
+    Only pairs that share a gram are ever made, by a join on group and gram; all others add nothing to the sum and are
+    counted by a formula. Groups are the few rollouts of a problem.
+    """
+    s = sets.filter(F.size(grams) > 0).select(group, F.col(member).alias("m"), F.size(grams).alias("n"), F.transform(grams, lambda g: F.xxhash64(g)).alias("grams"))
+    flat = s.select(group, "m", "n", F.explode("grams").alias("gram"))
+    other = flat.select(group, F.col("m").alias("m2"), F.col("n").alias("n2"), "gram")
+    pairs = flat.join(other, [group, "gram"]).filter("m < m2").groupBy(group, "m", "m2").agg(F.count("*").alias("both"), F.first("n").alias("n"), F.first("n2").alias("n2"))
+    total = pairs.groupBy(group).agg(F.sum(F.col("both") / (F.col("n") + F.col("n2") - F.col("both"))).alias("total"))
+    count = s.groupBy(group).agg(F.count("*").alias("k")).filter("k >= 2")
+    return count.join(total, group, "left").select(group, (F.coalesce("total", F.lit(0.0)) / (F.col("k") * (F.col("k") - 1) / 2)).alias("jaccard"))
+
+
+def diagnostics(c: DataFrame, grams: str = "grams", late_grams: str | None = None, most_chars: int | None = None) -> DataFrame:
+    """Measures of each group of rollouts; null where there is nothing to measure.
+
+    c: gid, member, tier, accuracy, fmt (the reward but for accuracy), total, closed, chars, final (the last line of the
+    answer, or empty), restarts, hedges, contradicted, by_prose, and the thought's grams; late_grams: those after the set-up.
+    """
+    tier, hit = F.col("tier"), ~F.col("closed") & (F.col("chars") >= most_chars) if most_chars is not None else ~F.col("closed")
+    when = lambda test, x: F.when(test, x)
+    strict, lenient, wrong, final = tier == "strict", tier == "lenient", tier == "wrong", F.when(F.col("final") != "", F.col("final"))
+    g = c.groupBy("gid").agg(
+        F.count("*").alias("n_rollouts"),
+        F.count_if(strict).alias("n_strict"),
+        F.count_if(lenient).alias("n_lenient"),
+        F.count_if(wrong).alias("n_wrong"),
+        (F.avg(when(strict, F.col("total"))) - F.avg(when(lenient, F.col("total")))).alias("strict_vs_lenient_gap"),
+        F.avg(when(strict, (F.round("fmt", 9) >= 0.10).cast("int"))).alias("strict_winners_fmt"),
+        F.max(when(wrong, F.col("fmt"))).alias("max_wrong_fmt"),
+        F.percentile("chars", 0.5).alias("median_chars"),
+        F.percentile("chars", 0.95).alias("p95_chars"),
+        F.avg(hit.cast("int")).alias("cap_hit_rate"),
+        (F.count_distinct("accuracy") == 1).cast("double").alias("zero_advantage"),
+        (F.count_distinct(final) / F.count(final)).alias("unique_final"),
+        F.min("restarts").alias("min_restarts"),
+        F.max("restarts").alias("max_restarts"),
+        F.count_if((F.col("chars") <= CONFIDENT_CHARS) & (F.col("hedges") <= CONFIDENT_HEDGES) & wrong).alias("confident_wrong"),
+        F.count_if((F.col("chars") >= CHAOTIC_CHARS) & (F.col("hedges") >= CHAOTIC_HEDGES) & ~wrong).alias("chaotic_correct"),
+        (F.count_if("contradicted") / F.nullif(F.count_if(~wrong), F.lit(0))).alias("contradiction_rate"),
+        F.avg(when(strict, F.col("by_prose").cast("int"))).alias("prose_strict_rate"),
     )
+    g = g.join(mean_jaccard(c, "gid", "member", grams), "gid", "left")
+    late = mean_jaccard(c, "gid", "member", late_grams).withColumnRenamed("jaccard", "late_jaccard") if late_grams else None
+    g = g.join(late, "gid", "left") if late_grams else g.withColumn("late_jaccard", F.lit(None).cast("double"))
+    alike = F.coalesce("late_jaccard", "jaccard")
+    return g.withColumn("collapsed", F.coalesce((F.round(alike, 9) >= COLLAPSED) & (F.col("unique_final") <= FEW_ANSWERS), F.lit(False)))
 
 
 def health(d: DataFrame) -> DataFrame:
-    """A label for each group: n/a without data, else by its rate and spread."""
-    return d.withColumn("health", F.when(F.col("n") < 2, "n/a").when((F.col("rate") == 0) | (F.col("rate") == 1), "fail").when(F.col("std") < 5, "warn").otherwise("ok"))
+    """A label for each of nine measures: ok, warn or fail, and n/a without data."""
+    none = lambda c: F.when(F.col(c).isNull(), "n/a")
+    gap = F.round("strict_vs_lenient_gap", 9)
+    return d.withColumns({
+        "h_gap": none("strict_vs_lenient_gap").when((gap < 0.45) | (gap > 0.75), "fail").when(gap < 0.55, "warn").otherwise("ok"),
+        "h_winners": none("strict_winners_fmt").when(F.col("strict_winners_fmt") < 0.90, "warn").otherwise("ok"),
+        "h_wrong_fmt": none("max_wrong_fmt").when(F.round("max_wrong_fmt", 9) <= 0.30, "ok").otherwise("fail"),
+        "h_cap": none("cap_hit_rate").when(F.col("cap_hit_rate") < 0.10, "ok").otherwise("warn"),
+        "h_collapse": F.when(F.col("collapsed"), "fail").otherwise("ok"),
+        "h_zero": none("zero_advantage").when(F.col("zero_advantage") < 0.20, "ok").otherwise("warn"),
+        "h_restarts": none("min_restarts").when(F.col("min_restarts") > 0, "ok").otherwise("warn"),
+        "h_confident": F.when(F.col("confident_wrong") == 0, "ok").otherwise("warn"),
+        "h_contradiction": none("contradiction_rate").when(F.col("contradiction_rate") < 0.10, "ok").otherwise("warn"),
+    })
+
+
+def endpoint(arms: DataFrame, start: DataFrame) -> DataFrame:
+    """run and verdict for arms (run, step, acc, cost) against their start (run, acc0, std0, cost0): PASS if any step is more accurate at no more cost; else the last step decides: FAIL if it costs more or is less accurate by over a deviation, else EXTEND."""
+    a = arms.join(start, "run").withColumn("beats", (F.col("acc") > F.col("acc0")) & (F.col("cost") <= F.col("cost0")))
+    a = a.withColumn("worse", (F.round(F.col("acc") - F.col("acc0"), 12) < -F.round("std0", 12)) | (F.col("cost") > F.col("cost0")))
+    ends = a.groupBy("run").agg(F.bool_or("beats").alias("any"), F.max_by("worse", "step").alias("worse"), F.max("step").alias("step"))
+    return ends.select("run", "step", F.when(F.col("any"), "PASS").when(F.col("worse"), "FAIL").otherwise("EXTEND").alias("verdict"))
 
 
 def shared_draws(c: DataFrame) -> DataFrame:

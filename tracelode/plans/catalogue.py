@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tracelode.plans import extras, grading, groups, measures, pool, traces
+from tracelode.plans import extras, grading, groups, learning, measures, pool, traces
 
-_parts = (pool, groups, grading, measures, extras, traces)
+_parts = (pool, groups, grading, measures, extras, traces, learning)
 QUERIES = {k: v for p in _parts for k, v in p.QUERIES.items()}
 ORACLES = {k: v for p in _parts for k, v in p.ORACLES.items()}

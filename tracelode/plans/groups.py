@@ -36,7 +36,7 @@ def yield_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pass_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A5"""
-    return G.pass_at_k(candidates(spark, sf_dir), 4)
+    return G.pass_at_k(candidates(spark, sf_dir))
 
 
 def tokens_per_correct(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,13 +72,11 @@ def pareto_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def endpoint_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M5: each arm's last step decides, against the best of the others."""
-    c = candidates(spark, sf_dir)
-    arms = c.groupBy("level", "k").agg(F.avg(F.col("strict").cast("int")).alias("acc"), F.avg("think_len").alias("cost"))
-    ends = arms.groupBy("level").agg(F.max_by(F.struct("acc", "cost"), "k").alias("e"), F.max("k").alias("step")).select("level", "step", "e.*")
-    best = ends.agg(F.max("acc").alias("top"), F.min("cost").alias("least"))
-    v = ends.join(F.broadcast(best))
-    return v.select("level", "step", F.round("acc", 6).alias("acc"), F.when((F.col("acc") >= F.col("top")) | (F.col("cost") <= F.col("least")), "PARETO").when(F.col("acc") >= F.col("top") - 0.05, "EXTEND").otherwise("FAIL").alias("verdict"))
+    """M5: a run for each brand; the first draw is its start, and every later one a step."""
+    c = candidates(spark, sf_dir).join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), F.col("p_brand").alias("run")), "part")
+    arms = c.groupBy("run", F.least("k", F.lit(4)).alias("step")).agg(F.avg(F.col("strict").cast("int")).alias("acc"), F.percentile("think_len", 0.5).alias("cost"))
+    start = c.filter("k = 0").groupBy("run").agg(F.avg(F.col("strict").cast("int")).alias("acc0"), (F.stddev_samp(F.col("strict").cast("int")) / F.sqrt(F.count("*"))).alias("std0"), F.percentile("think_len", 0.5).alias("cost0"))
+    return G.endpoint(arms.filter("step > 0"), start).withColumnRenamed("step", "last")
 
 
 def group_advantage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,11 +116,6 @@ def length_band_multipliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("uid", "k", F.round(G.length_multiplier(F.col("think_len"), 20.0), 6).alias("by_length"), F.round(G.band_multiplier(F.col("answer_len")), 6).alias("by_band"))
 
 
-def group_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A8, A9"""
-    return G.health(G.diagnostics(candidates(spark, sf_dir)))
-
-
 def kept_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each problem counts once, whatever number of its traces is kept."""
     c = candidates(spark, sf_dir).filter("strict and g = 1")
@@ -130,19 +123,6 @@ def kept_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("uid", "k", (F.row_number().over(w.orderBy("k")) - 1).cast("long").alias("trace_idx"), F.round(1 / F.count("*").over(w), 6).alias("weight"))
 
 
-def best_of_k_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flags first, a missing flag as false, then quality, then the draw."""
-    c = candidates(spark, sf_dir)
-    order = [F.desc(F.col("g")), F.desc(F.col("strict").cast("int")), F.desc("discount"), F.col("k")]
-    return S.ranked(c, order).filter("rank = 1").select("uid", F.col("k").cast("long").alias("k"))
-
-
-def best_of_k_diverse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """W2 without the properties of the first pass and the word runs, which the tables lack; by its SQL, lengths are compared by the longer one."""
-    c = candidates(spark, sf_dir).withColumn("signature", F.concat_ws("/", F.col("g").cast("string"), F.col("strict").cast("string")))
-    return S.diverse(c.withColumn("worse", -F.col("discount")), ["worse", "k"], by_longer=True).select("uid", F.col("place").cast("long").alias("place"), F.col("k").cast("long").alias("k"))
-
-
 def golden_first_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A verdict may be missing; then a problem without a pass isn't exhausted."""
     c = S.ranked(candidates(spark, sf_dir), [F.desc("discount"), F.col("k")])
@@ -217,7 +197,7 @@ def queue_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.join(done, "uid", "left").select("uid", F.coalesce("prior", F.lit(0)).alias("prior")).orderBy("prior", "uid").limit(200)
 
 
-_all = (bucket_table, bucket_cube, yield_rollup, pass_at_k, tokens_per_correct, think_per_correct, mcnemar_paired, pareto_frontier, endpoint_verdict, group_advantage, dynamic_sampling, tea_weights, think_budget_group, think_budget_anneal, length_band_multipliers, group_diagnostics, kept_weights, best_of_k_rank, best_of_k_diverse, golden_first_pass, unresolved_split, selection_report, unscored_join, percentile_conventions, step_windows, trailing_rate, dashboard_summary, resume_anti_join, queue_order)
+_all = (bucket_table, bucket_cube, yield_rollup, pass_at_k, tokens_per_correct, think_per_correct, mcnemar_paired, pareto_frontier, endpoint_verdict, group_advantage, dynamic_sampling, tea_weights, think_budget_group, think_budget_anneal, length_band_multipliers, kept_weights, golden_first_pass, unresolved_split, selection_report, unscored_join, percentile_conventions, step_windows, trailing_rate, dashboard_summary, resume_anti_join, queue_order)
 QUERIES = {f.__name__: f for f in _all}
 
 ORACLES = {
@@ -228,7 +208,7 @@ SELECT l.level, l.seen, coalesce(n, 0) AS n, coalesce(n_none, 0) AS n_none, coal
     "yield_rollup": f"""WITH {CAND}, r AS (SELECT coalesce(level, 'ALL') AS level, count(*) AS rollouts, round(avg(CAST(strict AS int)), 6) AS verify_rate, round(avg(g), 6) AS gate_rate FROM cand GROUP BY ROLLUP (level)),
 u AS (SELECT uid, level, bool_or(strict) AS solved FROM cand GROUP BY 1, 2), p AS (SELECT coalesce(level, 'ALL') AS level, count(*) AS problems, round(avg(CAST(solved AS int)), 6) AS solve_rate FROM u GROUP BY ROLLUP (level))
 SELECT r.level, rollouts, verify_rate, gate_rate, problems, solve_rate FROM r JOIN p ON r.level = p.level""",
-    "pass_at_k": f"""WITH {CAND}, f AS (SELECT * FROM cand WHERE k < 4), d AS (SELECT k, avg(CAST(strict AS int)) AS p FROM f GROUP BY 1), a AS (SELECT round(avg(p), 6) AS pass_1, round(stddev_samp(p), 6) AS std, count(*) AS draws FROM d),
+    "pass_at_k": f"""WITH {CAND}, f AS (SELECT * FROM cand), d AS (SELECT k, avg(CAST(strict AS int)) AS p FROM f GROUP BY 1), a AS (SELECT round(avg(p), 6) AS pass_1, round(stddev_samp(p), 6) AS std, count(*) AS draws FROM d),
 u AS (SELECT uid, bool_or(strict) AS x, max(CASE WHEN k = 0 THEN CAST(strict AS int) END) AS at1 FROM f GROUP BY 1), b AS (SELECT round(avg(CAST(x AS int)), 6) AS pass_k, round(avg(at1), 6) AS at1, count(*) AS problems FROM u)
 SELECT * FROM a CROSS JOIN b""",
     "tokens_per_correct": f"WITH {CAND} SELECT level, round(quantile_cont(think_len, 0.5) FILTER (g = 1), 6) AS median_gated, round(quantile_cont(think_len, 0.5), 6) AS median_all, round(avg(CAST(answer_len >= 590 AS int)), 6) AS cap_rate, round(sum(think_len + answer_len) / nullif(count(*) FILTER (strict), 0), 6) AS tokens_per_correct FROM cand GROUP BY 1",
@@ -240,28 +220,20 @@ SELECT wins, losses, n, round(zz, 6) AS z, round(t * exp(-x * x - 1.26551223 + t
     "pareto_frontier": f"""WITH {CAND}, a AS (SELECT p_brand AS arm, round(avg(CAST(strict AS int)), 6) AS acc, round(sum(think_len) / count(*) FILTER (strict), 6) AS cost FROM cand JOIN part ON p_partkey = part GROUP BY 1),
 m AS (SELECT *, min(cost) OVER (ORDER BY acc DESC, cost ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS least FROM a)
 SELECT arm, acc, cost FROM m WHERE least IS NULL OR cost < least""".replace("p_partkey = part ", "p_partkey = cand.part "),
-    "endpoint_verdict": f"""WITH {CAND}, a AS (SELECT level, k, avg(CAST(strict AS int)) AS acc, avg(think_len) AS cost FROM cand GROUP BY 1, 2), e AS (SELECT level, max(k) AS step, arg_max(acc, k) AS acc, arg_max(cost, k) AS cost FROM a GROUP BY 1),
-b AS (SELECT max(acc) AS top, min(cost) AS least FROM e)
-SELECT level, step, round(acc, 6) AS acc, CASE WHEN acc >= top OR cost <= least THEN 'PARETO' WHEN acc >= top - 0.05 THEN 'EXTEND' ELSE 'FAIL' END AS verdict FROM e CROSS JOIN b""",
+    "endpoint_verdict": f"""WITH {CAND}, c AS (SELECT cand.*, p_brand AS run, least(k, 4) AS step FROM cand JOIN part ON p_partkey = cand.part), z AS (SELECT run, avg(CAST(strict AS int)) AS acc0, stddev_samp(CAST(strict AS int)) / sqrt(count(*)) AS std0, quantile_cont(think_len, 0.5) AS cost0 FROM c WHERE k = 0 GROUP BY 1),
+a AS (SELECT run, step, avg(CAST(strict AS int)) AS acc, quantile_cont(think_len, 0.5) AS cost FROM c WHERE step > 0 GROUP BY 1, 2), j AS (SELECT a.*, acc > acc0 AND cost <= cost0 AS beats, round(acc - acc0, 12) < -round(std0, 12) OR cost > cost0 AS worse FROM a JOIN z ON a.run = z.run)
+SELECT run, max(step) AS last, CASE WHEN bool_or(beats) THEN 'PASS' WHEN arg_max(worse, step) THEN 'FAIL' ELSE 'EXTEND' END AS verdict FROM j GROUP BY 1""",
     "group_advantage": f"""WITH {CAND}, r AS (SELECT *, CAST(strict AS int) + discount AS reward FROM cand),
 a AS (SELECT uid, k, reward - avg(reward) OVER w AS centred, (reward - avg(reward) OVER w) / (stddev_pop(reward) OVER w + 1e-6) AS advantage, 2 - avg(CAST(strict AS int)) OVER w AS weight FROM r WINDOW w AS (PARTITION BY uid))
 SELECT uid, k, round(centred, 6) AS centred, round(advantage, 4) AS advantage, round(weight, 6) AS weight, round(CASE WHEN centred > 0 THEN centred * weight ELSE 0.0 END, 6) AS routed FROM a""",
     "dynamic_sampling": f"WITH {CAND}, u AS (SELECT uid, count(*) FILTER (strict) AS r, count(*) AS n FROM cand GROUP BY 1) SELECT CASE WHEN r = 0 THEN 'all wrong' WHEN r = n THEN 'all right' ELSE 'kept' END AS reason, count(*) AS problems, CAST(sum(n) AS bigint) AS rollouts FROM u GROUP BY 1",
     "tea_weights": f"""WITH {CAND}, m AS (SELECT avg(think_len / 10.0) AS mx, avg(discount) AS my, count(*) AS n FROM cand), c AS (SELECT uid, k, n, (think_len / 10.0 - mx) * (discount - my) AS cov FROM cand CROSS JOIN m),
-e AS (SELECT uid, k, n, exp(cov - (SELECT max(cov) FROM c)) AS e FROM c) SELECT uid, k, round(least(e / (SELECT sum(e) FROM e), 4.0 / n) * n, 6) AS weight FROM e""",
+e AS (SELECT uid, k, n, exp(cov - (SELECT max(cov) FROM c)) AS e FROM c) SELECT uid, k, round(least(e / (SELECT sum(e) FROM e), 100.0 / n) * n, 6) AS weight FROM e""",
     "think_budget_group": f"WITH {CAND} SELECT uid, round(CASE WHEN max(think_len) FILTER (think_len > 0) IS NULL THEN 120.0 ELSE greatest(least(20.0, max(think_len)), quantile_cont(think_len, 0.25) FILTER (think_len > 0), 1.0) END, 6) AS budget FROM cand GROUP BY 1",
     "think_budget_anneal": f"""WITH {CAND}, g AS (SELECT level AS run, uid, count(*) AS n, stddev_pop(think_len) AS std FROM cand GROUP BY 1, 2),
 m AS (SELECT *, sum(CASE WHEN n >= 2 AND std < 10 THEN 0 ELSE 1 END) OVER (PARTITION BY run ORDER BY uid ROWS UNBOUNDED PRECEDING) AS moves FROM g) SELECT run, uid, round(greatest(120.0, 400.0 * pow(0.995, moves)), 6) AS budget FROM m""",
     "length_band_multipliers": f"WITH {CAND} SELECT uid, k, round(exp(-greatest(0.0, think_len - 20.0) / 20.0), 6) AS by_length, round(CASE WHEN abs(answer_len - 288.0) <= 32 THEN 1.0 ELSE exp(-(abs(answer_len - 288.0) - 32) / 288.0) END, 6) AS by_band FROM cand",
-    "group_diagnostics": f"""WITH {CAND}, d AS (SELECT uid, count(*) AS n, round(avg(CAST(strict AS int)), 6) AS rate, round(avg(think_len) FILTER (strict), 6) AS mean_right, round(avg(think_len) FILTER (NOT strict), 6) AS mean_wrong, round(stddev_pop(think_len), 6) AS std, round(quantile_cont(think_len, 0.5), 6) AS median, round(count(DISTINCT part) / count(*), 6) AS distinct_share, count(*) FILTER (g = 0) AS gated FROM cand GROUP BY 1)
-SELECT *, CASE WHEN n < 2 THEN 'n/a' WHEN rate = 0 OR rate = 1 THEN 'fail' WHEN std < 5 THEN 'warn' ELSE 'ok' END AS health FROM d""",
     "kept_weights": f"WITH {CAND} SELECT uid, k, row_number() OVER (PARTITION BY uid ORDER BY k) - 1 AS trace_idx, round(1 / count(*) OVER (PARTITION BY uid), 6) AS weight FROM cand WHERE strict AND g = 1",
-    "best_of_k_rank": f"WITH {CAND}, r AS (SELECT uid, k, row_number() OVER (PARTITION BY uid ORDER BY g DESC, CAST(strict AS int) DESC, discount DESC, k) AS rank FROM cand) SELECT uid, k FROM r WHERE rank = 1",
-    "best_of_k_diverse": f"""WITH RECURSIVE {CAND}, r AS (SELECT uid, k, think_len, g || '/' || CAST(strict AS varchar) AS sig, row_number() OVER (PARTITION BY uid ORDER BY -discount, k) AS rank FROM cand),
-walk AS (SELECT uid, 0 AS rank, CAST([] AS struct(k bigint, sig varchar, think_len int)[]) AS kept FROM (SELECT DISTINCT uid FROM r)
-  UNION ALL SELECT w.uid, r.rank, CASE WHEN len(kept) < 3 AND len(list_filter(kept, lambda y: NOT (y.sig <> r.sig OR abs(y.think_len - r.think_len) / greatest(y.think_len, r.think_len, 1) >= 0.3))) = 0 THEN list_append(kept, {{'k': r.k, 'sig': r.sig, 'think_len': r.think_len}}) ELSE kept END
-  FROM walk w JOIN r ON w.uid = r.uid AND r.rank = w.rank + 1),
-last AS (SELECT uid, arg_max(kept, rank) AS kept FROM walk GROUP BY 1), x AS (SELECT uid, unnest(kept) AS v, generate_subscripts(kept, 1) - 1 AS place FROM last) SELECT uid, place, v.k AS k FROM x""",
     "golden_first_pass": f"WITH {GOLDEN} SELECT * FROM f",
     "unresolved_split": f"WITH {GOLDEN} SELECT outcome, count(*) AS n FROM f GROUP BY 1",
     "selection_report": f"""WITH {CAND}, x AS (SELECT *, CASE WHEN g = 0 THEN 'gate' WHEN NOT strict THEN 'wrong' WHEN think_len > 45 THEN 'long' ELSE 'kept' END AS reason FROM cand),

@@ -35,7 +35,8 @@ def token_gate_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def g_spike(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A16"""
-    return candidates(spark, sf_dir).withColumn("gap", F.col("think_len") / 10.0).groupBy("uid").agg(F.round(K.g_spike("gap", beta=5.0), 6).alias("b5"), F.round(K.g_spike("gap", beta=10.0), 6).alias("b10"))
+    g = K.g_spike(candidates(spark, sf_dir).withColumn("gap", F.col("think_len") / 10.0), "uid", "gap", {"b5": 5.0, "b10": 10.0})
+    return g.select("uid", F.round("b5", 6).alias("b5"), F.round("b10", 6).alias("b10"))
 
 
 def entropy_profile(spark: SparkSession, sf_dir: str) -> DataFrame:

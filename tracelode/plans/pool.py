@@ -159,9 +159,13 @@ def validate_artifact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy("source").agg(F.count("*").alias("n"), F.count_if(F.col("text").isNull() | F.col("doc_id").isNull()).alias("missing"), F.count_if(T.strip(F.col("text")) == "").alias("blank"), (F.count("key") - F.count_distinct("key")).alias("repeated"))
 
 
+#: Problems that have words of every kind: by the id, before the text.
+TOPIC_WORDS = "concat(CASE doc_id % 9 WHEN 0 THEN 'Find the area of a square. ' WHEN 1 THEN 'Choose subsets. ' WHEN 2 THEN 'A rectangular prime. ' WHEN 3 THEN 'The integral ' WHEN 4 THEN 'Solve for roots ' WHEN 5 THEN 'primes and angles ' WHEN 6 THEN 'all digits ' ELSE '' END, coalesce(text, ''))"
+
+
 def topic_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first kind whose words occur."""
-    return docs(spark, sf_dir).groupBy(T.topic(F.col("text")).alias("topic")).agg(F.count("*").alias("n"), F.sum("doc_id").alias("id_sum"))
+    """N10"""
+    return docs(spark, sf_dir).groupBy(T.topic(F.expr(TOPIC_WORDS)).alias("topic")).agg(F.count("*").alias("n"), F.sum("doc_id").alias("id_sum"))
 
 
 def level_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -229,7 +233,7 @@ s AS (SELECT *, CASE WHEN band = 'low' AND place <= 200 THEN 1 WHEN band = 'low'
 SELECT stage, band, count(*) AS n, CAST(sum(doc_id) AS bigint) AS id_sum FROM s WHERE stage IS NOT NULL GROUP BY 1, 2""",
     "rejects_by_reason": REJECTS_SQL,
     "validate_artifact": f"WITH k AS (SELECT source, doc_id, text, substr(sha1({NORM}), 1, 16) AS key FROM documents) SELECT source, count(*) AS n, count(*) FILTER (text IS NULL OR doc_id IS NULL) AS missing, count(*) FILTER (trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) = '') AS blank, count(key) - count(DISTINCT key) AS repeated FROM k GROUP BY 1",
-    "topic_counts": "SELECT CASE WHEN regexp_matches(lower(text), 'triangle|circle|angle|area|perimeter') THEN 'geometry' WHEN regexp_matches(lower(text), 'probab|dice|coin|random') THEN 'probability' WHEN regexp_matches(lower(text), 'prime|divis|modul|integer') THEN 'number theory' WHEN regexp_matches(lower(text), 'equation|polynomial|solve|variable') THEN 'algebra' ELSE 'other' END AS topic, count(*) AS n, CAST(sum(doc_id) AS bigint) AS id_sum FROM documents GROUP BY 1",
+    "topic_counts": f"SELECT CASE {' '.join(f'WHEN regexp_matches(lower(q), {chr(39)}{p}{chr(39)}) THEN {chr(39)}{n}{chr(39)}' for n, p in T.TOPICS)} ELSE 'other' END AS topic, count(*) AS n, CAST(sum(doc_id) AS bigint) AS id_sum FROM (SELECT doc_id, {TOPIC_WORDS} AS q FROM documents) GROUP BY 1",
     "level_bands": "WITH l AS (SELECT CAST(floor(n_chars / 500.0 + 0.5) AS bigint) AS level FROM documents) SELECT CASE WHEN level BETWEEN 1 AND 10 THEN level ELSE -1 END AS level, count(*) AS n FROM l GROUP BY 1",
     "text_features": FEATURES_SQL,
     "template_normalize": TEMPLATE_SQL,
