@@ -22,6 +22,12 @@ def match_key(c: Column) -> Column:
     return F.lower(norm_text(c))
 
 
+def match_head(c: Column, chars: int) -> Column:
+    """The first characters of the match key, without working through all of a long text where its beginning is enough."""
+    few = match_key(F.substring(c, 1, 5 * chars))
+    return F.substring(F.when(F.length(few) > chars, few).otherwise(match_key(c)), 1, chars)
+
+
 def dedup_key(c: Column) -> Column:
     return F.substring(F.sha1(norm_text(c)), 1, 16)
 
@@ -49,7 +55,7 @@ def word_grams(c: Column, n: int = 8, first_chars: int | None = 400) -> Column:
         every = F.transform(F.sequence(F.lit(1), F.size(toks) - (n - 1)), lambda i: F.array_join(F.slice(toks, i, n), " "))
         return F.when(F.size(toks) >= n, F.array_distinct(every)).when(F.size(toks) > 0, F.array(F.array_join(toks, " "))).otherwise(F.array().cast("array<string>"))
 
-    return F.element_at(F.transform(F.array(words(match_key(c) if first_chars is None else F.substring(match_key(c), 1, first_chars))), runs), 1)
+    return F.element_at(F.transform(F.array(words(match_key(c) if first_chars is None else match_head(c, first_chars))), runs), 1)
 
 
 def hex_mod(hex32: Column, n: int) -> Column:
@@ -110,10 +116,14 @@ def occurrences(c: Column, marker: str) -> Column:
     return F.coalesce(((F.length(c) - F.length(F.replace(c, F.lit(marker), F.lit("")))) / len(marker)).cast("int"), F.lit(0))
 
 
+# What loops may differ in.
+TEMPLATE = (r"\$[^$]*\$", r"\\[A-Za-z]+\{[^{}]*\}", r"\([^)]*\)", r"[-+]?\d+(?:[.,]\d+)*", r"\\[A-Za-z]+")
+
+
 def template(chunk: Column) -> Column:
     """The first 12 tokens without formulas, arguments, numbers and commands, in lower case: what looped text has in common."""
     t = F.array_join(F.slice(F.split(strip(chunk), r"(?U)\s+"), 1, 12), " ")
-    for pattern in (r"\$[^$]*\$", r"\\[A-Za-z]+\{[^{}]*\}", r"\([^)]*\)", r"[-+]?\d+(?:[.,]\d+)*", r"\\[A-Za-z]+"):
+    for pattern in TEMPLATE:
         t = F.regexp_replace(t, pattern, " ")
     return strip(F.regexp_replace(F.lower(t), r"(?U)\s+", " "))
 

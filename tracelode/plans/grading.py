@@ -156,7 +156,7 @@ def _prose(line: str) -> str:
 
 def _template(c: str) -> str:
     t = f"array_to_string(regexp_split_to_array({G.sql_strip(c)}, '\\s+')[1:12], ' ')"
-    for pattern in (r"\$[^$]*\$", r"\\[A-Za-z]+\{[^{}]*\}", r"\([^)]*\)", r"[-+]?\d+(?:[.,]\d+)*", r"\\[A-Za-z]+"):
+    for pattern in T.TEMPLATE:
         t = f"regexp_replace({t}, '{pattern}', ' ', 'g')"
     return G.sql_strip(f"regexp_replace(lower({t}), '\\s+', ' ', 'g')")
 

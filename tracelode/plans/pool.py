@@ -31,6 +31,13 @@ best AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, i
 SELECT doc_id, 'exact' AS kind, item_id, CAST(1.0 AS double) AS score FROM exact UNION ALL SELECT doc_id, 'near', item_id, score FROM best WHERE r = 1"""
 
 
+def near_sql(grams: str) -> str:
+    return f"""WITH {grams}, s AS (SELECT id, list_sort(grams) AS grams FROM d WHERE len(grams) > 0), m AS (SELECT id, grams, min(id) OVER (PARTITION BY grams) AS head FROM s),
+g AS (SELECT id, len(grams) AS n, unnest(grams) AS g FROM m WHERE id = head), f AS (SELECT g FROM g GROUP BY 1 HAVING count(*) > 1), k AS (SELECT g.* FROM g WHERE g IN (SELECT g FROM f)),
+pairs AS (SELECT x.id AS doc_a, y.id AS doc_b, count(*) AS c, any_value(x.n) AS na, any_value(y.n) AS nb FROM k x JOIN k y ON x.g = y.g AND x.id < y.id GROUP BY 1, 2)
+SELECT doc_a, doc_b, round(c / (na + nb - c), 4) AS score FROM pairs WHERE c / (na + nb - c) > 0.8 UNION ALL SELECT head, id, 1.0 FROM m WHERE id <> head"""
+
+
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
@@ -50,13 +57,26 @@ def decontaminated_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).join(hits, "doc_id", "left_anti").groupBy("source").agg(F.count("*").alias("n"), F.sum("doc_id").alias("id_sum"))
 
 
+def contamination_control(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J1, J2 on what must be found: benchmark items with other white space, with eight more words, and with every other word gone."""
+    b = table(spark, sf_dir, "benchmark")
+    words = F.split("text", " ")
+    third = F.array_join(F.filter(words, lambda x, i: i % 2 == 0), " ")
+    made = b.select(F.col("item_id").alias("doc_id"), F.when(F.col("item_id") % 3 == 0, F.concat(F.lit("  "), F.replace("text", F.lit(" "), F.lit("\n ")), F.lit(" "))).when(F.col("item_id") % 3 == 1, F.concat("text", F.lit(" and then eight more words at the end"))).otherwise(third).alias("text"))
+    return P.contamination(made.unionByName(docs(spark, sf_dir).select((F.col("doc_id") + 1_000_000).alias("doc_id"), "text")), b, 0.8)
+
+
+CONTROL = """(SELECT item_id AS doc_id, CASE item_id % 3 WHEN 0 THEN concat(chr(32), chr(32), replace(text, chr(32), chr(10) || chr(32)), chr(32)) WHEN 1 THEN text || ' and then eight more words at the end' ELSE array_to_string(list_transform(list_filter(range(1, len(string_split(text, ' ')) + 1), lambda i: i % 2 = 1), lambda i: string_split(text, ' ')[i]), ' ') END AS text FROM benchmark
+ UNION ALL SELECT doc_id + 1000000, text FROM documents)"""
+
+
 def near_dup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J2 within the pool, by the first 400 characters as its SQL has it: documents that open alike."""
+    """J2 within the pool, by the first 400 characters: documents that open alike, pairs of classes and their members."""
     return P.near_pairs(docs(spark, sf_dir), first_chars=400)
 
 
 def near_dup_pairs_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J2 within the pool, by whole texts."""
+    """J2 within the pool, by whole texts: pairs of classes and their members."""
     return P.near_pairs(docs(spark, sf_dir))
 
 
@@ -207,15 +227,15 @@ t AS (SELECT array_to_string(list_slice(regexp_split_to_array(line, '{WS}'), 1,
 u AS (SELECT trim(regexp_replace(lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(s, '\\$[^$]*\\$', ' ', 'g'), '\\\\[A-Za-z]+\\{{[^{{}}]*\\}}', ' ', 'g'), '\\([^)]*\\)', ' ', 'g'), '[-+]?\\d+(?:[.,]\\d+)*', ' ', 'g'), '\\\\[A-Za-z]+', ' ', 'g')), '{WS}', ' ', 'g')) AS template FROM t)
 SELECT template, count(*) AS n FROM u WHERE template <> '' GROUP BY 1 HAVING count(*) > 1"""
 
-QUERIES = {f.__name__: f for f in (contamination_report, contamination_report_t50, decontaminated_pool, near_dup_pairs, near_dup_pairs_whole, exact_dedup_first_wins, stable_uid, hash_shard_counts, dist_by_source_level, stratified_sample, largest_remainder, floor_draw, round_robin_cells, disjoint_splits, staged_curriculum, rejects_by_reason, validate_artifact, topic_counts, level_bands, text_features, template_normalize)}
+QUERIES = {f.__name__: f for f in (contamination_report, contamination_report_t50, contamination_control, decontaminated_pool, near_dup_pairs, near_dup_pairs_whole, exact_dedup_first_wins, stable_uid, hash_shard_counts, dist_by_source_level, stratified_sample, largest_remainder, floor_draw, round_robin_cells, disjoint_splits, staged_curriculum, rejects_by_reason, validate_artifact, topic_counts, level_bands, text_features, template_normalize)}
 
 ORACLES = {
     "contamination_report": contamination_sql(0.8),
     "contamination_report_t50": contamination_sql(0.5),
     "decontaminated_pool": f"WITH hits AS ({contamination_sql(0.5)}) SELECT source, count(*) AS n, CAST(sum(doc_id) AS bigint) AS id_sum FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM hits) GROUP BY 1",
-    "near_dup_pairs": f"""WITH {grams_sql('d', 'documents', 'doc_id')}, g AS (SELECT id, len(grams) AS n, unnest(grams) AS g FROM d),
-pairs AS (SELECT x.id AS doc_a, y.id AS doc_b, count(*) AS c, any_value(x.n) AS na, any_value(y.n) AS nb FROM g x JOIN g y ON x.g = y.g AND x.id < y.id GROUP BY 1, 2)
-SELECT doc_a, doc_b, round(c / (na + nb - c), 4) AS score FROM pairs WHERE c / (na + nb - c) > 0.8""",
+    "contamination_control": contamination_sql(0.8).replace("FROM documents)", f"FROM {CONTROL})"),
+    "near_dup_pairs": near_sql(grams_sql('d', 'documents', 'doc_id')),
+    "near_dup_pairs_whole": near_sql(grams_sql('d', 'documents', 'doc_id').replace(f"substr(lower({NORM}), 1, 400)", f"lower({NORM})")),
     "exact_dedup_first_wins": f"WITH k AS (SELECT doc_id, source, substr(sha1({NORM}), 1, 16) AS key FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY source, doc_id) AS n FROM k) SELECT doc_id, source, key FROM r WHERE n = 1",
     "stable_uid": f"SELECT doc_id, source || ':' || substr(sha1({NORM}), 1, 8) AS uid, sha1({NORM.replace('coalesce(text', 'lower(coalesce(text').replace(chr(39) * 2 + '),', chr(39) * 2 + ')),', 1)}) AS folded, sha1(lower({NORM})) AS match_sha1 FROM documents",
     "hash_shard_counts": f"WITH m AS (SELECT md5(source || ':' || doc_id) AS h FROM documents) SELECT CAST(((CAST('0x' || substr(h, 1, 16) AS uhugeint) % 7) * {2**64 % 7} + CAST('0x' || substr(h, 17, 16) AS uhugeint) % 7) % 7 AS bigint) AS shard, count(*) AS n FROM m GROUP BY 1",
