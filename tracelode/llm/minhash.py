@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from .common import NO_ID, claim, discard, materialise
 
 WORDS = 16  # of 64 bits each, for the classes of a set's shingles
+#: Sets of a frequent shingle that one task compares with the others, and comparisons for each task.
+DEALT, WORK = 2000, 2_000_000
 NEW = ["n_shingles", "component_id", "kept", "group"]
 
 
@@ -174,20 +176,30 @@ def across(texts: DataFrame, n: int, percent: int) -> DataFrame:
     # size - ceil(percent * size / 100) + 1 shingles come first, those that no other set has at the front of them.
     first = F.col("size") - F.ceil(F.col("size") * percent / 100) + 1 - (F.col("size") - F.size("own"))
     rows = rows.withColumn("first", first.cast("int")).filter("first > 0")
-    rows = rows.select("node", "root", "size", *held, F.size("own").cast("long").alias("known"), F.posexplode(F.slice("own", 1, F.col("first"))).alias("at", "x"))
+    rows = rows.select("node", "root", "size", F.array(*held).alias("bits"), F.size("own").cast("long").alias("known"), F.posexplode(F.slice("own", 1, F.col("first"))).alias("at", "x"))
     # From this shingle on: what the set can share if this is the first that it shares.
-    rows = rows.select("node", "root", "size", *held, "known", (F.col("known") - F.col("at")).alias("most"), "x.token")
+    rows = rows.select("node", "root", "size", "bits", "known", (F.col("known") - F.col("at")).alias("most"), "x.token")
     rows = materialise(rows, "first")
     main = rows.groupBy("token", "root").agg(F.count("*").alias("c")).groupBy("token").agg(F.max(F.struct("c", "root")).alias("m"), F.count("*").alias("roots")).filter("roots > 1")
     main = materialise(main.select("token", F.col("m.root").alias("main")), "main")
-    rows = materialise(rows.join(main, "token"), "first")
-    l, r = rows.filter("root != main").alias("l"), rows.alias("r")
-    apart = lambda a, b: sum((F.bit_count(F.col(f"{a}.{k}").bitwiseAND(F.bitwise_not(f"{b}.{k}"))) for k in held), F.lit(0))
-    least = F.least("l.most", "r.most", F.col("l.known") - apart("l", "r"), F.col("r.known") - apart("r", "l"))
-    fits = (F.col("l.root") != F.col("r.root")) & (100 * least >= percent * (F.col("l.size") + F.col("r.size") - least)) & ((F.col("r.root") == F.col("r.main")) | (F.col("l.node") < F.col("r.node")))
-    pairs = l.join(r, (F.col("l.token") == F.col("r.token")) & fits).select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")).distinct()
+    # Sets that are similar enough differ in size by a factor of 100 / percent at most: by one class of sizes.
+    size_class = F.floor(F.log("size") / F.log(F.lit(100 / percent) * (1 + 1e-9))).cast("int")
+    rows = materialise(rows.join(main, "token").withColumn("cls", size_class), "first")
+    # A frequent token's sets of a class are dealt to several tasks, and those they are compared with go to each of them.
+    classes = materialise(rows.groupBy("token", "cls").agg(F.count("*").alias("n")).withColumn("deals", F.ceil(F.col("n") / DEALT)), "classes")
+    l = rows.filter("root != main").withColumn("cls", F.explode(F.sequence(F.col("cls") - 1, F.col("cls") + 1))).join(classes, ["token", "cls"])
+    work = l.agg(F.sum("n")).first()[0] or 0
+    tasks = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(20_000, -(-int(work) // WORK)))
+    l = l.withColumn("deal", F.explode(F.sequence(F.lit(0).cast("long"), F.col("deals") - 1))).repartition(tasks, "token", "cls", "deal").alias("l")
+    r = rows.join(classes, ["token", "cls"]).withColumn("deal", F.pmod(F.xxhash64("node"), F.col("deals"))).repartition(tasks, "token", "cls", "deal").alias("r")
+    # Over arrays, so that the join's loop stays small enough to be compiled; it is reached by few pairs.
+    apart = lambda a, b: F.aggregate(F.zip_with(f"{a}.bits", f"{b}.bits", lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y)))), F.lit(0), lambda x, y: x + y)
+    enough = lambda most: 100 * most >= percent * (F.col("l.size") + F.col("r.size") - most)
+    # The cheap tests come first: most pairs fail them.
+    fits = (F.col("l.root") != F.col("r.root")) & ((F.col("r.root") == F.col("r.main")) | (F.col("l.node") < F.col("r.node"))) & enough(F.least("l.most", "r.most")) & enough(F.col("l.known") - apart("l", "r")) & enough(F.col("r.known") - apart("r", "l"))
+    pairs = l.join(r, (F.col("l.token") == F.col("r.token")) & (F.col("l.cls") == F.col("r.cls")) & (F.col("l.deal") == F.col("r.deal")) & fits).select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")).distinct()
     out = materialise(pairs, "pairs")
-    for t in (tokens, common, main, rows):
+    for t in (tokens, common, main, rows, classes):
         discard(t)
     return out
 
