@@ -27,9 +27,11 @@ def whole(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines see: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that all machines see: spark.checkpoint.dir, or, in a session of one machine (as in tests), one of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines see: intermediate tables go there")
         found = "file://" + tempfile.mkdtemp(prefix="tracelode-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -67,6 +69,13 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def shared_files(path: str):
+    """The file system of a path in the shared folder, for Python, and the path in it."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

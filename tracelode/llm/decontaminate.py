@@ -6,7 +6,9 @@ benchmark item is looked up by binary search. That gives its longest verbatim ma
 window occurs. A window is ``window`` consecutive words of an item; a shorter item is one window.
 
 The documents stay where they are: a shard is a record batch, so its memory is bounded, and nothing is shuffled. The
-benchmark goes to the tasks in blocks of at most ``block_bytes``, one pass over the batch for each, so it may grow.
+benchmark is dealt to blocks of about ``block_bytes``, one pass over the batch for each. A benchmark of up to
+``broadcast_bytes`` is broadcast; of a larger one a task reads block after block from the shared folder and holds one at
+a time. Of a block's suffixes only those are looked up whose first window has no pair of neighbours that the shard lacks.
 
 Defined results: A-Z are lower-cased; words are runs of 0-9, a-z and characters beyond ASCII. Null and empty texts have
 no words and are never contaminated. Items without words have no window. Items with the same id are one item. Rows that repeat are judged each. Matches
@@ -16,15 +18,18 @@ never cross documents or items. Columns of the input stay; those named like the
 from __future__ import annotations
 
 import hashlib
+import uuid
 from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.dataset as ds
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import claim, plain
+from .common import claim, kept_caches, new_path, plain, shared_files
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _word = plain(WORD)
@@ -94,53 +99,115 @@ class Index:
         return d, int(at - self.starts[d])
 
 
-def search(texts: list[str | None], block: list[tuple[str, list[str]]], window: int) -> list[tuple[int, set[int], list[tuple[str, int, int, int]], dict[tuple[str, int], int]]]:
+class Block:
+    """A part of the benchmark: its words' numbers, and all its pairs of neighbours in one array."""
+
+    def __init__(self, items: list[tuple[str, list[str]]], window: int):
+        self.number = Numbers((w, i) for i, w in enumerate(sorted({w for _, words in items for w in words}), 1))
+        self.window = window
+        self.items = [(name, np.array([self.number[w] for w in words], np.uint32)) for name, words in items if words]
+        self.least = min([window, *(len(x) for _, x in self.items)])
+        sizes = np.array([len(x) for _, x in self.items], np.int64)
+        self.starts = np.concatenate([[0], np.cumsum(sizes)])
+        words = np.concatenate([x for _, x in self.items]) if self.items else np.zeros(0, np.uint32)
+        self.pairs = pairs_of(words) if len(words) else np.zeros(0, np.uint64)
+        place = np.arange(len(words)) - np.repeat(self.starts[:-1], sizes)
+        self.owner = np.repeat(np.arange(len(sizes)), sizes)
+        self.size = np.minimum(window, sizes)[self.owner]  # of the windows of each place's item
+        self.begins = place + self.size <= sizes[self.owner]
+        self.first = place
+
+    def candidates(self, text: np.ndarray) -> np.ndarray:
+        """The places, in all items together, of windows whose words and pairs of neighbours all occur in a text."""
+        if not len(self.owner):
+            return np.zeros(0, np.int64)
+        there = np.isin(self.pairs, np.unique(pairs_of(text))) if len(text) > 1 else np.zeros(len(self.pairs), bool)
+        missing = np.concatenate([[0], np.cumsum(~there)])
+        at = np.flatnonzero(self.begins)
+        last = np.minimum(at + self.size[at] - 1, len(missing) - 1)
+        return at[missing[last] == missing[np.minimum(at, len(missing) - 1)]]
+
+
+def pairs_of(words: np.ndarray) -> np.ndarray:
+    return words[:-1].astype(np.uint64) << np.uint64(32) | words[1:].astype(np.uint64)
+
+
+def search(texts: list[str | None], block: Block) -> list[tuple[int, set[int], list[tuple[str, int, int, int]]]]:
     """For each text: its number of words, the words that are hit, and its maximal matches of a window or more."""
-    number = Numbers((w, i) for i, w in enumerate(sorted({w for _, words in block for w in words}), 1))
-    items = [(name, np.array([number[w] for w in words], np.uint32)) for name, words in block if words]
+    window, number = block.window, block.number
     docs, counts = [], []
     for text in texts:
         words = words_of(text)
         counts.append(len(words))
         docs.append(np.array(list(map(number.__getitem__, words)), np.uint32))
-    index = Index(docs, window, min([window, *(len(x) for _, x in items)]))
+    index = Index(docs, window, block.least)
     hit: list[set[int]] = [set() for _ in texts]
     found: list[dict[tuple[str, int, int], int]] = [{} for _ in texts]
-    for name, item in items:
-        size = min(window, len(item))
-        for s in range(len(item)):  # every suffix of the item
-            key = item[s : s + window].astype(">u4").tobytes()
-            if index.longest(key) < size or s + size > len(item):
-                continue
-            for at in index.occurrences(item[s : s + size].astype(">u4").tobytes()):
-                d, word = index.place(at)
-                hit[d].update(range(word, word + size))
-                if not (s and word and item[s - 1] == index.text[at - 1]):  # else it goes on to the left
-                    found[d][name, s, word] = index.extended(item, s, int(at), size)
+    for at in block.candidates(index.text):  # every suffix of every item that can match
+        (name, item), s, size = block.items[block.owner[at]], int(block.first[at]), int(block.size[at])
+        key = item[s : s + window].astype(">u4").tobytes()
+        if index.longest(key) < size:
+            continue
+        for at in index.occurrences(item[s : s + size].astype(">u4").tobytes()):
+            d, word = index.place(at)
+            hit[d].update(range(word, word + size))
+            if not (s and word and item[s - 1] == index.text[at - 1]):  # else it goes on to the left
+                found[d][name, s, word] = index.extended(item, s, int(at), size)
     return [(n, h, sorted((*k, v) for k, v in f.items())) for n, h, f in zip(counts, hit, found, strict=True)]
 
 
-def blocks_of(benchmark: DataFrame, block_bytes: int) -> list[list[tuple[str, list[str]]]]:
-    """The stated query set, in blocks of bounded size."""
-    out: list[list[tuple[str, list[str]]]] = []
-    size = block_bytes
-    for row in benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").cast("string").alias("t")).filter("i is not null").toLocalIterator():
-        words = words_of(row["t"])
-        if words:
-            if size + len(row["t"]) > block_bytes:
-                out.append([])
-                size = 0
-            out[-1].append((row["i"], words))
-            size += len(row["t"])
-    return out
+def _items(rows) -> list[tuple[str, list[str]]]:
+    return [(i, words) for i, words in ((i, words_of(t)) for i, t in rows) if words]
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, hit_percent: int = 5, block_bytes: int = 8 << 20, shard_rows: int = 2000) -> DataFrame:
+def blocks_of(benchmark: DataFrame, window: int, block_bytes: int, broadcast_bytes: int):
+    """The stated query set as blocks of about block_bytes: a function that gives a task one after another."""
+    rows = benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").cast("string").alias("t")).filter("i is not null and t is not null")
+    size = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    if size <= broadcast_bytes:  # so many bytes at most go through the driver
+        held, parts, left = [[]], [(r["i"], r["t"]) for r in rows.collect()], block_bytes
+        for i, t in parts:
+            if left < 0:
+                held.append([])
+                left = block_bytes
+            held[-1].append((i, t))
+            left -= len(t)
+        sent = [(uuid.uuid4().hex, rows.sparkSession.sparkContext.broadcast(b)) for b in held if b]
+
+        def given():
+            for k, b in sent:
+                if k not in _blocks:
+                    if len(_blocks) > len(sent):  # those of earlier jobs
+                        _blocks.clear()
+                    _blocks[k] = Block(_items(b.value), window)
+                yield _blocks[k]
+
+        return given
+    n = -(-size // block_bytes)
+    path = new_path(rows.sparkSession, "benchmark")
+    rows.withColumn("block", F.pmod(F.xxhash64("i", "t"), F.lit(n))).repartition(min(n, 4096), "block").write.partitionBy("block").parquet(path)
+    fs, root = shared_files(path)
+    folders = [f.path for f in fs.get_file_info(pafs.FileSelector(root)) if f.type == pafs.FileType.Directory]
+
+    def read():
+        fs, _ = shared_files(path)
+        for folder in folders:
+            part = ds.dataset(folder, filesystem=fs, format="parquet").to_table(columns=["i", "t"])
+            yield Block(_items(zip(part.column("i").to_pylist(), part.column("t").to_pylist(), strict=True)), window)
+
+    return read
+
+
+#: Blocks that a worker has prepared, by name.
+_blocks: dict[str, Block] = {}
+kept_caches.append(_blocks)
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, hit_percent: int = 5, block_bytes: int = 8 << 20, broadcast_bytes: int = 32 << 20, shard_rows: int = 2000) -> DataFrame:
     """docs with n_words, n_hit, items (whose windows occur), matches (longest verbatim ones, with places) and contaminated."""
     new = [n for n, _ in NEW]
     source = docs.drop(*new)
-    sc = docs.sparkSession.sparkContext
-    sent = [sc.broadcast(b) for b in blocks_of(benchmark, block_bytes)]
+    blocks = blocks_of(benchmark, window, block_bytes, broadcast_bytes)
     schema = T.StructType([*source.schema.fields, *(T.StructField(n, t, False) for n, t in NEW)])
 
     def run(batches):
@@ -149,14 +216,14 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13,
             for at in range(0, whole.num_rows, shard_rows):
                 batch = whole.slice(at, shard_rows)
                 texts = batch.column(batch.schema.names.index("text")).to_pylist()
-                counts = [len(words_of(t)) for t in texts] if not sent else None
-                hit, found = [set() for _ in texts], [[] for _ in texts]
-                for b in sent:
-                    results = search(texts, b.value, window)
+                counts, hit, found = None, [set() for _ in texts], [[] for _ in texts]
+                for b in blocks():
+                    results = search(texts, b)
                     counts = [r[0] for r in results]
                     for h, f, r in zip(hit, found, results, strict=True):
                         h |= r[1]
                         f += r[2]
+                counts = counts or [len(words_of(t)) for t in texts]
                 rows = [{"n_words": n, "n_hit": len(h), "items": sorted({m[0] for m in f}), "matches": [dict(zip([x for x, _ in FOUND], m, strict=True)) for m in f], "contaminated": len(h) > 0 and 100 * len(h) >= hit_percent * n} for n, h, f in zip(counts, hit, found, strict=True)]
                 made = pa.Table.from_pylist(rows, arrow).to_batches()[0]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *made.columns], names=[*batch.schema.names, *new])
