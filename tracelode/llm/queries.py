@@ -85,6 +85,14 @@ _KEY = f"translate(trim(line, {_BLANKS}), {_AZ})"
 _WORDS = f"regexp_extract_all(translate(text, {_AZ}), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
 ORACLES = {
+    # Texts as hexadecimal digits; the 400-byte strings of a piece of 799 bytes at a time, by their digests.
+    "op8_suffix_dedup": """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+s AS (SELECT doc_id, n, s, substr(h, 800 * s + 1, 1598) AS part FROM (SELECT doc_id, n, h, unnest(range(0, n // 400)) AS s FROM d WHERE n >= 400)),
+w AS (SELECT doc_id, 400 * s + i AS p, md5(substr(part, 2 * i + 1, 800)) AS g FROM (SELECT *, unnest(range(0, least(400, n - 399 - 400 * s))) AS i FROM s)), r AS (SELECT g FROM w GROUP BY g HAVING count(*) > 1),
+c AS (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM w WHERE g IN (SELECT g FROM r)), i AS (SELECT doc_id, p, sum(CASE WHEN before IS NULL OR p > before + 400 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM c),
+runs AS (SELECT doc_id, run, min(p) AS a, max(p) + 400 AS b, coalesce(lag(max(p) + 400) OVER (PARTITION BY doc_id ORDER BY run), 0) AS left_ FROM i GROUP BY doc_id, run),
+k AS (SELECT runs.doc_id, string_agg(substr(h, 2 * left_ + 1, 2 * (a - left_)), '' ORDER BY run) AS front, max(b) AS last, sum(b - a) AS gone, count(*) AS spans FROM runs JOIN d ON runs.doc_id = d.doc_id GROUP BY 1)
+SELECT d.doc_id, CAST(n AS bigint) AS n_bytes, CAST(coalesce(gone, 0) AS bigint) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(front, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256 FROM d LEFT JOIN k ON d.doc_id = k.doc_id""",
     "op1_line_dedup": f"""WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
 k AS (SELECT *, {_KEY} AS key FROM l), g AS (SELECT key, min(doc_id) AS keep FROM k WHERE length(key) >= 10 GROUP BY key HAVING min(doc_id) < max(doc_id)),
 m AS (SELECT k.*, g.keep IS NOT NULL AND g.keep <> doc_id AS gone FROM k LEFT JOIN g ON k.key = g.key)
