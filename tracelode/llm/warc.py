@@ -5,7 +5,9 @@ payloads the one with the largest id is a response, the others are revisits that
 ``index_archives`` reads the files back, record by record, checks the digests and leaves sorted runs of captures, each
 with a sparse index at its end. ``merge_runs`` merges them: a task for each range of the key (URL key, time, record)
 seeks to the range in every run and merges the k streams by a loser tree, so its memory is a block for each run. Beyond
-``fan_in`` runs, groups are merged into longer runs first. Ranges are cut by the whole key, so one URL can fill many.
+``fan_in`` lists of runs, groups of lists are merged first, piece by piece of the keys, into lists of runs that don't
+overlap. Ranges and pieces are cut by the whole key, so one URL can fill many. Which runs a task reads is part of its
+input, a table; neither the driver nor a closure holds their names.
 
 All files go through a file system that is found by the folder's URI; names hold the task's attempt, so a task that
 runs again disturbs nothing, and only files of tasks that ended are listed.
@@ -23,13 +25,14 @@ import json
 import struct
 import uuid
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from datetime import UTC, datetime, timedelta
 from urllib.parse import quote, urlsplit
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, materialise, new_path
@@ -170,14 +173,14 @@ class RunWriter:
     """Writes captures, which come in order, and a sparse index behind them."""
 
     def __init__(self, fs, path: str):
-        self.out, self.at, self.n, self.index = fs.open_output_stream(path), 0, 0, []
+        self.out, self.at, self.n, self.index, self.last = fs.open_output_stream(path), 0, 0, [], None
 
     def add(self, capture: list) -> None:
         if self.n % BLOCK == 0:
             self.index.append([capture[0], self.at])
         line = json.dumps(capture).encode() + b"\n"
         self.out.write(line)
-        self.at, self.n = self.at + len(line), self.n + 1
+        self.at, self.n, self.last = self.at + len(line), self.n + 1, capture[0]
 
     def close(self) -> list[list]:
         foot = json.dumps(self.index).encode()
@@ -257,8 +260,21 @@ class LoserTree:
             self.nodes[0] = i
 
 
+#: A table of runs: the list it belongs to (runs of a list don't overlap), its records, some of its keys, and the last.
+RUNS = "list string, run string, n long, keys string, last string"
+
+
+def _run_row(list_: str, name: str, writer: RunWriter) -> tuple:
+    keys = writer.close()
+    return list_, name, writer.n, json.dumps(keys[:: max(1, len(keys) // CUTS)]), json.dumps(writer.last)
+
+
+def _runs(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()], strict=True)], names=["list", "run", "n", "keys", "last"])
+
+
 def index_archives(archives: DataFrame, path: str, run_records: int = 50_000) -> DataFrame:
-    """Sorted runs of what the archives hold, read back from first to last; run, n and the keys at which blocks begin."""
+    """Sorted runs of what the archives hold, read back from first to last: a table RUNS, each run a list of its own."""
     n = max(1, archives.count())
 
     def run(batches):
@@ -271,8 +287,7 @@ def index_archives(archives: DataFrame, path: str, run_records: int = 50_000) ->
             writer = RunWriter(fs, f"{root}/{name}")
             for capture in sorted(held, key=lambda c: c[0]):
                 writer.add(capture)
-            keys = writer.close()
-            done.append((f"{path}/{name}", len(held), json.dumps(keys[:: max(1, len(keys) // CUTS)])))
+            done.append(_run_row(name, f"{path}/{name}", writer))
             held.clear()
 
         for batch in batches:
@@ -286,48 +301,90 @@ def index_archives(archives: DataFrame, path: str, run_records: int = 50_000) ->
         if held:
             close()
         if done:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*done, strict=True)], names=["run", "n", "keys"])
+            yield _runs(done)
 
     files = archives.select("file").repartition(min(n, 4096))
-    return materialise(files.mapInArrow(run, "run string, n long, keys string"), "runs")
+    return materialise(files.mapInArrow(run, RUNS), "runs")
 
 
-def _merge_groups(spark: SparkSession, runs: list[str], path: str, fan_in: int) -> DataFrame:
-    """Runs of up to fan_in runs each."""
-    groups = [runs[i : i + fan_in] for i in range(0, len(runs), fan_in)]
+def _cut(runs: list[tuple], piece: int) -> list[list | None]:
+    """Keys that part the records of runs (n, keys) into pieces of about so many: None, keys, None."""
+    keys = sorted(k for _, some in runs for k in some)
+    n = max(1, min(len(keys), -(-sum(n for n, _ in runs) // piece)))
+    return [None, *(keys[len(keys) * i // n] for i in range(1, n)), None]
 
-    def run(batches):
+
+def _within(first: list, last: list, low: list | None, high: list | None) -> bool:
+    """Whether a run has a key with low <= key < high, by its first and last."""
+    return (high is None or first < high) and (low is None or last >= low)
+
+
+def _merge_lists(runs: DataFrame, lists: int, path: str, fan_in: int, piece: int) -> DataFrame:
+    """Lists merged, about fan_in together, each piece of the keys by a task of its own: what a task writes is bounded, whatever the lists hold."""
+    groups = -(-lists // fan_in)
+    held = runs.withColumn("group", F.pmod(F.xxhash64("list"), F.lit(groups))).groupBy("group").agg(F.collect_list(F.struct("run", "n", "keys", "last")).alias("runs"))  # names and some keys
+
+    def plan(batches):
+        for batch in batches:
+            for g, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                known = [(r["run"], r["n"], json.loads(r["keys"]), json.loads(r["last"])) for r in own]
+                cuts = _cut([(n, k) for _, n, k, _ in known], piece)
+                rows = [(str(g), json.dumps(low), json.dumps(high), [r for r, _, k, last in known if _within(k[0], last, low, high)]) for low, high in zip(cuts, cuts[1:], strict=False)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), [pa.string(), pa.string(), pa.string(), pa.list_(pa.string())], strict=True)], names=["list", "low", "high", "runs"])
+
+    def merge(batches):
         fs, root = _open(path)
         for batch in batches:
-            for g in batch.column(0).to_pylist():
+            for list_, low, high, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 name = _name("merged", ".jsonl")
                 writer = RunWriter(fs, f"{root}/{name}")
-                for capture in LoserTree([read_run(fs, _open(r)[1], None, None) for r in groups[g]]):
+                for capture in LoserTree([read_run(*_open(r), json.loads(low), json.loads(high)) for r in own]):
                     writer.add(capture)
-                keys = writer.close()
-                yield pa.RecordBatch.from_arrays([pa.array([f"{path}/{name}"]), pa.array([writer.n]), pa.array([json.dumps(keys[:: max(1, len(keys) // CUTS)])])], names=["run", "n", "keys"])
+                row = _run_row(list_, f"{path}/{name}", writer)
+                if writer.n:
+                    yield _runs([row])
+
+    tasks = materialise(held.mapInArrow(plan, "list string, low string, high string, runs array<string>"), "pieces")
+    out = materialise(tasks.repartition(max(1, min(tasks.count(), 20_000))).mapInArrow(merge, RUNS), "runs")
+    discard(tasks)
+    return out
 
-    return materialise(spark.range(0, len(groups), 1, len(groups)).mapInArrow(run, "run string, n long, keys string"), "runs")
 
+#: Keys, a sample of those in the runs' tables, that the last ranges are cut by at most.
+MOST_CUTS = 100_000
 
-def merge_runs(runs: DataFrame, path: str, fan_in: int = 128, range_records: int = 4096) -> DataFrame:
-    """The capture histories of all runs in the order of URL key and time: row i of range r is before row i + 1, and all of range r before range r + 1."""
+
+def merge_runs(runs: DataFrame, path: str, fan_in: int = 128, range_records: int = 4096, piece: int = 400_000) -> DataFrame:
+    """The capture histories of all runs in the order of URL key and time: row i of range r is before row i + 1, and all of range r before range r + 1.
+
+    Lists of runs are merged, fan_in at a time and piece by piece, until there are fan_in at most; then each range of
+    keys is merged from the runs that have some of it. The driver holds only the keys that cut the ranges, a sample of
+    bounded size, which decides how even the ranges are and nothing else.
+    """
     spark = runs.sparkSession
-    while True:
-        names = [r["run"] for r in runs.select("run").orderBy("run").collect()]
-        if len(names) <= fan_in:
-            break
-        runs = _merge_groups(spark, names, path, fan_in)
-    known = runs.select("n", "keys").collect()  # a few keys of each of at most fan_in runs
-    keys = sorted(k for r in known for k in json.loads(r["keys"]))
-    n = max(1, min(len(keys), -(-sum(r["n"] for r in known) // range_records)))
-    cuts = [None, *(keys[len(keys) * i // n] for i in range(1, n)), None]
+    while (lists := runs.select("list").distinct().count()) > fan_in:
+        before, runs = runs, _merge_lists(runs, lists, path, fan_in, piece)
+        discard(before)
+    keys = runs.select(F.explode(F.from_json("keys", "array<string>")).alias("key"))
+    total = runs.agg(F.sum("n").alias("n"), F.sum(F.json_array_length("keys")).alias("keys")).first()
+    kept = keys if (total["keys"] or 0) <= MOST_CUTS else keys.filter(F.pmod(F.xxhash64("key"), F.lit(10_000_000)) < F.lit(int(1e7 * MOST_CUTS / total["keys"])))
+    cuts = spark.sparkContext.broadcast(_cut([(total["n"] or 0, [json.loads(r["key"]) for r in kept.collect()])], range_records))
+    n = len(cuts.value) - 1
+
+    def spread(batches):
+        inner = cuts.value[1:-1]
+        for batch in batches:
+            rows = []
+            for name, some, last in zip(batch.column("run").to_pylist(), batch.column("keys").to_pylist(), batch.column("last").to_pylist(), strict=True):
+                rows += [(r, name) for r in range(bisect_right(inner, json.loads(some)[0]), bisect_right(inner, json.loads(last)) + 1)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), [pa.int64(), pa.string()], strict=True)], names=["range", "run"])
 
     def run(batches):
         for batch in batches:
-            for r in batch.column(0).to_pylist():
+            for r, names in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 rows: list[tuple] = []
-                merged = LoserTree([read_run(*_open(name), cuts[r], cuts[r + 1]) for name in names])
+                merged = LoserTree([read_run(*_open(name), cuts.value[r], cuts.value[r + 1]) for name in sorted(names)])
                 for i, (key, page_id, url, kind, digest, size, refers_to, length) in enumerate(merged):
                     rows.append((r, i, key[0], datetime.strptime(key[1], "%Y-%m-%dT%H:%M:%SZ").replace(tzinfo=UTC), page_id, url, kind, digest, size, refers_to, key[3], key[4], length))
                     if len(rows) == 2000:
@@ -336,7 +393,9 @@ def merge_runs(runs: DataFrame, path: str, fan_in: int = 128, range_records: int
                 if rows:
                     yield _batch(rows)
 
-    return spark.range(0, n, 1, n).mapInArrow(run, "range long, place long, " + CAPTURE)
+    # Of each of at most fan_in lists, the few runs that have some of a range.
+    ranges = runs.select("run", "keys", "last").mapInArrow(spread, "range long, run string").repartition(max(1, min(n, 4096)), "range").groupBy("range").agg(F.collect_list("run").alias("runs"))
+    return ranges.mapInArrow(run, "range long, place long, " + CAPTURE)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
