@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracelode.functions import tokens as K
 from tracelode.streaming import follow as V
-from tracelode.tables import CANDIDATES_SQL as CAND
-from tracelode.tables import candidates, table
+from tracelode.tables import shared_root, CANDIDATES_SQL as CAND
+from tracelode.tables import shared_root, candidates, table
 
 
 def type_aggregation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,8 +109,7 @@ def kl_estimators(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def follow_stream_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V1: the log read as a stream until it is used up; each event is scored once, and what can't be scored waits."""
-    root = (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="tracelode-")).rstrip("/")
-    root = f"{root}/follow-{spark._jvm.java.util.UUID.randomUUID().toString()}"
+    root = shared_root(spark, "follow")
     events = table(spark, sf_dir, "events")
     source = f"{root}/source"
     events.select("event_id", "user_id", "value").union(events.filter("event_id % 10 = 0").select("event_id", "user_id", "value")).write.parquet(source)

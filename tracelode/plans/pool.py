@@ -258,6 +258,3 @@ SELECT stage, band, count(*) AS n, CAST(sum(doc_id) AS bigint) AS id_sum FROM s
     "text_features": FEATURES_SQL,
     "template_normalize": TEMPLATE_SQL,
 }
-
-#: The same, but for the cut of the texts.
-ORACLES["near_dup_pairs_whole"] = ORACLES["near_dup_pairs"].replace(TOKENS, TOKENS.replace(f"substr(lower({NORM}), 1, 400)", f"lower({NORM})"))

@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -48,6 +47,14 @@ def write_meta(spark: SparkSession, path: str, meta: dict) -> None:
     fs.rename(temporary, at)
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file by its name."""
+    fs, at = _fs(spark, path)
+    out = fs.create(at, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
 def read_meta(spark: SparkSession, path: str) -> dict:
     return json.loads("".join(r[0] for r in spark.read.text(f"{path}.meta.json", wholetext=True).collect()))
 
@@ -73,8 +80,8 @@ def prune(spark: SparkSession, root: str, keep: int) -> list[int]:
 
 
 def latest_by_key(df: DataFrame, key: str, order: str) -> DataFrame:
-    """The last writer wins."""
-    return df.withColumn("__n", F.row_number().over(W.partitionBy(key).orderBy(F.desc(order)))).filter("__n = 1").drop("__n")
+    """The last writer wins: a maximum for each key, its rows aren't sorted."""
+    return df.groupBy(key).agg(F.max_by(F.struct(*(c for c in df.columns if c != key)), order).alias("__x")).select(key, "__x.*")
 
 
 def sections(spark: SparkSession, path: str) -> DataFrame:
@@ -89,6 +96,23 @@ def fenced(body):
     return F.regexp_extract(body, r"(?s)```[^\n]*\n(.*?)```", 1)
 
 
+def without_exemplars(text, first: int):
+    """A card without its sections ``### Exemplar N`` from N = first on; a section of a higher level that follows one stays, with the rule before it."""
+    parts = F.split(text, r"(?m)^(?=### Exemplar \d)", -1)
+    number = lambda p: F.regexp_extract(p, r"^### Exemplar (\d+)", 1).try_cast("int")
+    rest = lambda p: F.regexp_extract(p, r"(?sm)((?:^---\n+)?^## .*)", 1)
+    return F.array_join(F.transform(parts, lambda p: F.when(number(p) >= first, rest(p)).otherwise(p)), "")
+
+
+def with_exemplars(text, exemplars: list[str]):
+    """A card with exemplars behind its own, numbered on."""
+    n = F.regexp_count(text, F.lit(r"(?m)^### Exemplar \d"))
+    out = F.regexp_replace(text, r"\s+$", "")
+    for i, body in enumerate(exemplars, 1):
+        out = F.concat(out, F.lit("\n\n### Exemplar "), (n + i).cast("string"), F.lit("\n\n" + body))
+    return F.concat(out, F.lit("\n"))
+
+
 def tolerant_json(c, schema: str):
     """A reply as JSON: without its fence, else what its outermost brackets hold, else null."""
     bare = F.regexp_replace(F.trim(c), r"^```(?:json)?\s*|\s*```$", "")
