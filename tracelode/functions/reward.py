@@ -30,6 +30,7 @@ TAIL_REPEAT = r"(?m)^([\d]+|[A-Z])(?:\s*\n\s*\n\s*\1)+\s*$"
 TERMINAL_BOXED = r"^\s*\\?boxed\{[^{}]*(?:\{[^{}]*\}[^{}]*)*\}\s*\.?\s*$"
 TERMINAL_NUMBER = r"^\s*-?\d+(?:[.,]\d+)*(?:\s*/\s*-?\d+(?:[.,]\d+)*)?\s*\.?\s*$"
 TERMINAL_SYMBOL = r"^\s*(?:\$[^$]+\$|[A-Za-z]|\([A-Za-z]\)|\\text\{[^}]+\})\s*\.?\s*$"
+META_PATTERN, META_PENALTY = r"(?i)Common answer|such problems often|usually the answer|Let'?s go with|Or\s+[A-Z0-9]+\.\s*Or", 0.10
 ANY_BOX = r"\\?boxed\{[^{}]*(?:\{[^{}]*\}[^{}]*)*\}"
 PROSE = r"(?i)^(?:\*\*)?(?:Answer|Final\s+Answer|Final\s+result\s+is|The\s+.+?\s+is)(?:\*\*)?\s*[:=]?\s*\**\s*([^\s.*][^*]*?)\s*\**\.?\s*$"
 BOLD = r"^\s*\*\*([^*]+?)\*\*\s*\.?\s*$"
@@ -158,6 +159,11 @@ def tiers(df: DataFrame) -> DataFrame:
     return df.withColumns({"accepted": accepted, "by_prose": F.col("__said") & ~F.col("__ok")}).drop("__pred", "__ok", "__said")
 
 
+def meta_pattern(think: Column, enabled: bool = True, last: int = 500) -> Column:
+    """The penalty for a guess that is hedged at the end of the thought; not among PENALTIES, as it is off by default."""
+    return F.when(F.lit(enabled) & F.right(F.coalesce(think, F.lit("")), F.lit(last)).rlike(META_PATTERN), META_PENALTY).otherwise(0.0)
+
+
 PENALTIES = ("length", "placeholder", "repetition", "monolithic", "tail_repeat", "leak", "sentinel", "contradiction", "malformed", "closure")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracelode.functions import tokens as K
+from tracelode.operators import groups as GR
 from tracelode.streaming import follow as V
 from tracelode.tables import shared_root, CANDIDATES_SQL as CAND
 from tracelode.tables import shared_root, candidates, table
@@ -59,10 +60,11 @@ def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def point_biserial(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M2: r and t of a measure and a 0/1 label; null where nothing varies."""
+    """M2: r, t and a two-sided p (by a normal distribution) of a measure and a 0/1 label; null where nothing varies."""
     s = _labelled(spark, sf_dir).agg(F.count("*").alias("n"), F.avg("y").alias("p"), F.avg(F.when(F.col("y") == 1, F.col("x"))).alias("m1"), F.avg(F.when(F.col("y") == 0, F.col("x"))).alias("m0"), F.stddev_pop("x").alias("sd"))
     r = F.try_divide(F.col("m1") - F.col("m0"), F.col("sd")) * F.sqrt(F.col("p") * (1 - F.col("p")))
-    return s.select("n", F.round(r, 6).alias("r"), F.round(r * F.sqrt(F.try_divide(F.col("n") - 2, 1 - r * r)), 4).alias("t"))
+    t = r * F.sqrt(F.try_divide(F.col("n") - 2, 1 - r * r))
+    return s.select("n", F.round(r, 6).alias("r"), F.round(t, 4).alias("t"), F.round(GR.erfc(F.abs(t) / 2**0.5), 4).alias("p"))
 
 
 def auc_youden(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,7 +138,8 @@ s AS (SELECT level, count(*) AS n, quantile_cont(x, 0.1) AS p1, quantile_cont(x,
 SELECT level, n, round(p1, 4) AS p10, round(p5, 4) AS p50, round(p9, 4) AS p90, round(sqrt(m2), 4) AS std, round((pow(m3 / pow(m2, 1.5), 2) + 1) / (m4 / pow(m2, 2)), 4) AS bimodality, round(mass, 6) AS mass FROM s""",
     "surprisal_hist": f"WITH {CAND} SELECT level, CAST(least(think_len // 10, 4) AS bigint) AS bin, count(*) AS n FROM cand GROUP BY 1, 2",
     "point_biserial": """WITH x AS (SELECT quality AS y, CAST(n_chars AS double) AS x FROM labels JOIN documents USING (doc_id)), s AS (SELECT count(*) AS n, avg(y) AS p, avg(x) FILTER (y = 1) AS m1, avg(x) FILTER (y = 0) AS m0, stddev_pop(x) AS sd FROM x),
-r AS (SELECT n, (m1 - m0) / sd * sqrt(p * (1 - p)) AS r FROM s) SELECT n, round(r, 6) AS r, round(r * sqrt((n - 2) / (1 - r * r)), 4) AS t FROM r""",
+r AS (SELECT n, (m1 - m0) / sd * sqrt(p * (1 - p)) AS r FROM s), z AS (SELECT n, r, r * sqrt((n - 2) / (1 - r * r)) AS t FROM r), e AS (SELECT *, abs(t) / sqrt(2.0) AS x, 1 / (1 + 0.5 * abs(t) / sqrt(2.0)) AS s FROM z)
+SELECT n, round(r, 6) AS r, round(t, 4) AS t, round(s * exp(-x * x - 1.26551223 + s * (1.00002368 + s * (0.37409196 + s * (0.09678418 + s * (-0.18628806 + s * (0.27886807 + s * (-1.13520398 + s * (1.48851587 + s * (-0.82215223 + s * 0.17087277))))))))), 4) AS p FROM e""",
     "auc_youden": """WITH x AS (SELECT quality AS y, CAST(n_chars AS double) AS x FROM labels JOIN documents USING (doc_id)), v AS (SELECT x, sum(y) AS pos, sum(1 - y) AS neg FROM x GROUP BY 1),
 c AS (SELECT *, coalesce(sum(pos) OVER w, 0) AS pb, coalesce(sum(neg) OVER w, 0) AS nb, (SELECT sum(pos) FROM v) AS np, (SELECT sum(neg) FROM v) AS nn FROM v WINDOW w AS (ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 j AS (SELECT *, round((np - pb) / np - (nn - nb) / nn, 9) AS j FROM c), b AS (SELECT x, j FROM j ORDER BY j DESC, x LIMIT 1)
