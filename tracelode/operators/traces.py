@@ -59,6 +59,11 @@ def without_a_step(body: Column, pick: Column) -> Column:
     return H.let(F.split(body, "\n", -1), out)
 
 
+def asserted(df: DataFrame, facts: DataFrame, test: Column, message: Column) -> DataFrame:
+    """df, if a test of facts (a single row) holds; else the job fails. The test is a filter, which the planner can't leave out as it could a column."""
+    return df.join(F.broadcast(facts.filter(F.assert_true(test, message).isNull()).select(F.lit(1).alias("__held")))).filter("__held = 1").drop("__held")
+
+
 PROMPTS, GOLDS, YEARS, NAMES = ("problem", "Problem", "Question", "question", "prompt"), ("answer", "Answer", "ground_truth", "gold", "expected_answer"), ("Year", "year"), ("ID", "id")
 
 
@@ -83,8 +88,7 @@ def eval_pool(sources: list[DataFrame], expected: dict[str, int | None] | None =
     }).filter((F.col("prompt") != "") & F.col("ground_truth").isNotNull())
     for suite, rows in (expected or {}).items():
         if rows is not None:
-            n = df.filter(F.col("suite") == suite).agg(F.count("*").alias("n")).select(F.assert_true(F.col("n") == rows, F.lit(f"{suite}: not the {rows} rows it is pinned to")).alias("ok"))
-            df = df.join(F.broadcast(n)).drop("ok")  # a single row
+            df = asserted(df, df.filter(F.col("suite") == suite).agg(F.count("*").alias("n")), F.col("n") == rows, F.lit(f"{suite}: not the {rows} rows it is pinned to"))
     return df
 
 
@@ -118,8 +122,7 @@ def flagged(df: DataFrame, seen: DataFrame, name: str) -> DataFrame:
 def present(asked: DataFrame, pool: DataFrame) -> DataFrame:
     """asked, all of which must be in the pool; else the job fails and says how many aren't."""
     missing = asked.select("uid").join(pool.select("uid"), "uid", "left_anti").agg(F.count("*").alias("n"))
-    checked = missing.select(F.assert_true(F.col("n") == 0, F.concat(F.col("n").cast("string"), F.lit(" aren't in the pool"))).alias("__ok"))
-    return asked.join(F.broadcast(checked)).drop("__ok")  # a single row
+    return asserted(asked, missing, F.col("n") == 0, F.concat(F.col("n").cast("string"), F.lit(" aren't in the pool")))
 
 
 def one_each(df: DataFrame, key: str, order: str) -> DataFrame:
