@@ -158,6 +158,15 @@ def _start(rows: DataFrame) -> DataFrame:
     return materialise(with_determinant(factored(robust.unionByName(plain))), "start")
 
 
+#: A table of groups of so many rows at most, each some 40 numbers, is broadcast; a larger one is joined by key.
+SMALL_ROWS = 50_000
+
+
+def _small(groups: DataFrame) -> DataFrame:
+    """Rows of a hot group then stay where they are, for the sums that follow."""
+    return F.broadcast(groups) if groups.count() <= SMALL_ROWS else groups
+
+
 def _moments(near: DataFrame) -> DataFrame:
     """Mean and covariance, with the ridge, of rows (__g, __s, __x, and __m to sum around, where sums lose no digits)."""
     off = [F.col(x) - F.col(f"__m{i}") for i, x in enumerate(_xs())]
@@ -172,10 +181,10 @@ def with_determinant(groups: DataFrame) -> DataFrame:
 
 def _step(rows: DataFrame, groups: DataFrame, alpha: float) -> DataFrame:
     """A concentration step: mean and covariance of the share alpha of a group's rows that is nearest to its centre."""
-    near = with_distance2(rows.join(groups.drop("__det", *(f"__c{i}{j}" for i, j in _pairs())), "__g")).withColumn("__bin", F.floor(F.log2(F.greatest(F.col("__d2"), F.lit(1e-12))) * BINS2))
+    near = with_distance2(rows.join(_small(groups.drop("__det", *(f"__c{i}{j}" for i, j in _pairs()))), "__g")).withColumn("__bin", F.floor(F.log2(F.greatest(F.col("__d2"), F.lit(1e-12))) * BINS2))
     limit = materialise(_reached(near.groupBy("__g", "__s", "__bin").agg(F.count("*").alias("__n")), ["__g", "__s"], [alpha]), "limits")
     # Not null-rejecting: else the planner would test the distance for null below the join, in a copy that repeats each term over and over.
-    near = near.join(limit, ["__g", "__s"]).filter(F.coalesce(F.col("__bin") <= F.col("__b0"), F.lit(False)))
+    near = near.join(_small(limit), ["__g", "__s"]).filter(F.coalesce(F.col("__bin") <= F.col("__b0"), F.lit(False)))
     out = materialise(with_determinant(factored(_moments(near))), "step")
     discard(limit)
     return out
@@ -237,7 +246,7 @@ def judge(docs: DataFrame, alpha: float = 0.75, tail: float = 1e-5, min_rows: in
     # The covariance of the nearest share is smaller than that of all, by a known factor.
     factor = alpha / chi2_cdf(chi2_quantile(alpha, DIM), DIM + 2)
     limit = chi2_quantile(1 - tail, DIM)
-    found = with_distance2(own.join(_shrunk(base, groups, min_rows, prior_rows), ["__lang", "__source"], "left"))
+    found = with_distance2(own.join(_small(_shrunk(base, groups, min_rows, prior_rows)), ["__lang", "__source"], "left"))
     found = found.withColumn("distance", F.when(~F.col("base_failed"), F.col("__d2") / factor))
     found = found.withColumn("kept", ~F.col("base_failed") & (F.col("distance") <= limit))
     return found.select(*names, *COUNTS, "base_failed", "distance", "kept")
