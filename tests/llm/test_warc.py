@@ -65,3 +65,20 @@ def test_url_keys():
     assert X.url_key("HTTP://WWW.Example.org:80/A/b?z=1&a=2#top") == "org,example)/a/b?a=2&z=1"
     assert X.url_key("https://m.example.net:8443") == "net,example,m:8443)/"
     assert X.url_key(None) == "-"
+
+
+def test_merges_in_pieces_keep_the_order(spark, tmp_path):
+    df = spark.createDataFrame(pages(), "page_id long, url string, html string").repartition(6)
+    archives = X.write_archives(df, f"file://{tmp_path}/w", file_bytes=2000)
+    runs = X.index_archives(archives, f"file://{tmp_path}/i", run_records=7)
+    whole = sorted(X.merge_runs(runs, f"file://{tmp_path}/i", fan_in=128).collect(), key=lambda r: (r["range"], r["place"]))
+    runs = X.index_archives(archives, f"file://{tmp_path}/j", run_records=7)
+    parts = sorted(X.merge_runs(runs, f"file://{tmp_path}/j", fan_in=2, range_records=20, piece=25).collect(), key=lambda r: (r["range"], r["place"]))
+    order = lambda rows: [(r["url_key"], r["captured_at"], r["page_id"], r["file"], r["file_offset"]) for r in rows]
+    assert order(parts) == order(whole) and len({r["range"] for r in parts}) > 3
+
+
+def test_a_long_page_and_clashing_columns(spark, tmp_path):
+    df = spark.createDataFrame([(1, "http://a.b/c", "x" * 3_000_000, "k", 1), (2, None, None, "k", 2)], "page_id long, url string, html string, url_key string, place int")
+    out = {r["page_id"]: r for r in X.capture_histories(df, path=f"file://{tmp_path}/a").collect()}
+    assert out[1]["payload_bytes"] == 3_000_000 and out[2]["payload_bytes"] == 0 and out[2]["url_key"] == "-"
