@@ -76,8 +76,8 @@ def communication_matrix(spark: SparkSession, counts: DataFrame, levels: int, n_
     return nodes.select(F.col("node").alias("block"), "sends")
 
 
-def uniform_shards(df: DataFrame, n_shards: int = 40, seed: int = 0, block_rows: int = 1024, max_levels: int = 13) -> DataFrame:
-    """df with shard (0 to n_shards - 1) and slot (from 0, without gaps, in a shard)."""
+def uniform_shards(df: DataFrame, n_shards: int = 40, seed: int = 0, block_rows: int = 1024, max_levels: int = 20) -> DataFrame:
+    """df with shard (0 to n_shards - 1) and slot (from 0, without gaps, in a shard). Blocks hold about block_rows rows up to 2**max_levels blocks; beyond that many rows they grow, and their sorts spill."""
     spark = df.sparkSession
     if n_shards < 1:
         raise ValueError("n_shards must be 1 at least")
