@@ -9,25 +9,36 @@ from tracelode.llm import bpe, decontaminate, line_dedup, minhash, toxicity
 from tracelode.llm.common import materialise, table
 
 
+def aside(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with other names for all columns but doc_id and text, so that none clashes with an operator's, and how to undo it."""
+    names = {c: f"__kept_{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
+    return docs.withColumnsRenamed(names), {v: k for k, v in names.items()}
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model rejects go. It learns from the labels that aren't held out, on the table of documents. Null and empty texts have the score of a text without words; rows that repeat are judged each; an empty table stays empty."""
     model = toxicity.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").filter(~toxicity.held_out(F.col("doc_id"))))
-    return toxicity.score(docs, model).filter("predicted = 0").select(*docs.columns)
+    own, names = aside(docs)
+    return toxicity.score(own, model).filter("predicted = 0").select(*own.columns).withColumnsRenamed(names).select(*docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that other documents have too stay in the document with the smallest id only; n_chars follows the text. A null text becomes an empty one; documents stay, even without lines."""
-    return line_dedup.dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    own, names = aside(docs)
+    out = line_dedup.dedup_lines(own).select(*own.columns).withColumnsRenamed(names)
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else out.select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that are near copies (five-word shingles, a similarity of 0.8 or more, and what that connects) the one with the smallest id stays. Null and empty texts have no words, are near nothing and stay."""
-    return minhash.drop_near_duplicates(docs, n=5, percent=80).select(*docs.columns)
+    own, names = aside(docs)
+    return minhash.drop_near_duplicates(own, n=5, percent=80).select(*own.columns).withColumnsRenamed(names).select(*docs.columns)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold benchmark passages go. Null and empty texts hold none and stay; an empty benchmark takes nothing."""
-    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).select(*docs.columns)
+    own, names = aside(docs)
+    return decontaminate.decontaminate(own, table(spark, sf_dir, "benchmark")).select(*own.columns).withColumnsRenamed(names).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

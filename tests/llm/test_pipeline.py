@@ -57,3 +57,13 @@ def test_run_is_all_stages(spark, sf_dir):
     assert [n for n, _ in P.STAGES] == ["toxicity", "line dedup", "MinHash near-dedup", "benchmark decontamination", "byte-level BPE"]
     rows = P.run(spark, sf_dir).select("doc_id", "n_tokens").collect()
     assert len(rows) > 180 and "pipeline" in entry.queries()
+
+
+def test_columns_named_like_the_results_stay(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("*", "'mine' AS score", "7 AS n_lines", "'g' AS `group`", "1.5D AS n_hit", "'k' AS kept", "array(1) AS segments")
+    want = {"score": "mine", "n_lines": 7, "group": "g", "n_hit": 1.5, "kept": "k", "segments": [1]}
+    for _, stage in P.STAGES[:-1]:
+        out = stage(spark, docs, sf_dir)
+        assert out.columns == docs.columns
+        rows = out.collect()
+        assert rows and all(r[c] == v for r in rows for c, v in want.items())
