@@ -148,14 +148,35 @@ def with_match(df: DataFrame, candidate: str, gold: str, out: str) -> DataFrame:
     return G.verified(df, "__boxed", gold, out).withColumn(out, F.col(out) & F.coalesce((F.col(candidate) != "") & (F.col(gold) != ""), F.lit(False))).drop("__boxed")
 
 
+def numerical_agree(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
+    """df with whether two answers agree, either as the gold answer of the other, or as numbers. A missing side agrees: without evidence there is no contradiction."""
+    df = with_match(with_match(df, a, b, "__ab"), b, a, "__ba")
+    number = lambda c: F.replace(F.col(c), F.lit(","), F.lit("")).try_cast("double")
+    both = F.col("__ab") | F.col("__ba") | G.close(number(a), number(b))
+    return df.withColumn(out, F.col(a).isNull() | F.col(b).isNull() | both).drop("__ab", "__ba")
+
+
+def worst_case() -> dict[str, float]:
+    """What the older reward's constants promise: a strictly right answer that trips every penalty against a lenient one that trips none."""
+    most = LENGTH_MOST + 0.15 + 0.20 + 0.15 + 0.15 + 0.05 + 0.05 + 0.05 + 0.10 - 0.02
+    strict, lenient = R_STRICT + max(0.10, S_CLOSED - most), R_LENIENT + S_CLOSED
+    return {"strict": strict, "lenient": lenient, "margin": strict - lenient}
+
+
+def invariants() -> dict[str, float]:
+    """The same of the reward with a budget: the worst right rollout, the best wrong one, and what structure can add at most."""
+    return {"floor": W_FORMAT, "worst_right": 1.0, "best_wrong": W_FORMAT, "margin": 1.0 - W_FORMAT, "most_structure": W_FORMAT + W_LENGTH + W_BAND}
+
+
 def tiers(df: DataFrame) -> DataFrame:
-    """split(text, gold) with tier: strict, lenient or wrong."""
+    """split(text, gold) with tier (strict, lenient or wrong), clean (the block is little more than an answer), in_window (the gold answer is near the end), accepted and by_prose (only as a sentence says it)."""
     df = G.verified(df.withColumn("__pred", G.extract_answer(F.col("text"))), "__pred", "gold", "__ok")
     df = with_match(df, "prose", "gold", "__said")
     rows = T.lines(F.col("block"))
     clean = (F.size(rows) > 0) & (F.size(rows) <= 3) & (F.col("boxed") | F.col("bare") | F.col("prose").isNotNull()) & ~F.exists(rows, lambda x: x.rlike(r"^\d+\.\s"))
     accepted = F.col("__ok") | F.col("__said")
-    df = df.withColumn("tier", F.when(accepted & clean, "strict").when(accepted & gold_in_window(F.col("tail"), F.col("gold")), "lenient").otherwise("wrong"))
+    df = df.withColumns({"clean": clean, "in_window": gold_in_window(F.col("tail"), F.col("gold"))})
+    df = df.withColumn("tier", F.when(accepted & F.col("clean"), "strict").when(accepted & F.col("in_window"), "lenient").otherwise("wrong"))
     return df.withColumns({"accepted": accepted, "by_prose": F.col("__said") & ~F.col("__ok")}).drop("__pred", "__ok", "__said")
 
 
@@ -176,9 +197,7 @@ def penalties_v1(df: DataFrame, variation: str | None = None) -> DataFrame:
     df = df.withColumn("__shapes", F.filter(F.transform("__look", T.template), lambda x: x != ""))
     # The last number of the thought's end against what the tail says.
     df = df.withColumns({"__number": F.try_element_at(F.regexp_extract_all(F.right(think, F.lit(200)), F.lit(NUMBER), 0), F.lit(-1)), "__told": F.when(tail != "", G.extract_answer(tail))})
-    df = with_match(with_match(df, "__number", "__told", "__ab"), "__told", "__number", "__ba")
-    number = lambda c: F.replace(F.col(c), F.lit(","), F.lit("")).try_cast("double")
-    agree = F.col("__ab") | F.col("__ba") | G.close(number("__number"), number("__told"))
+    df = numerical_agree(df, "__number", "__told", "__agree")
     size, excess = F.col("__size"), F.greatest(F.lit(0), F.size(F.filter(F.concat("__parts", T.chunks(tail)), placeholder)) - 2)
     looped = (F.coalesce(T.longest_run(F.col("__look")), F.lit(0)) >= 10) | (F.coalesce(T.longest_run(F.col("__shapes")), F.lit(0)) >= 5)
     outlier = F.coalesce(F.col(variation) > 100, F.lit(False)) if variation else F.lit(False)
@@ -193,11 +212,11 @@ def penalties_v1(df: DataFrame, variation: str | None = None) -> DataFrame:
         "tail_repeat": F.least(F.lit(0.15), 0.05 * F.aggregate(tails, F.lit(0), lambda a, b: a + b)),
         "leak": F.when(F.exists(T.lines(tail), lambda x: x.rlike(LEAK_V1) & prose_answer(x).isNull()), 0.05).otherwise(0.0),
         "sentinel": F.when(F.regexp_count(think, F.lit(SENTINEL)) >= 3, 0.05).otherwise(0.0),
-        "contradiction": F.when(F.col("__number").isNotNull() & F.col("__told").isNotNull() & ~agree, 0.05).otherwise(0.0),
+        "contradiction": F.when(~F.col("__agree"), 0.05).otherwise(0.0),
         "malformed": F.least(F.lit(0.10), 0.05 * boxes),
         "closure": F.when(F.col("closed"), -0.02).otherwise(0.0),
     })
-    return df.drop("__look", "__shapes", "__steps", "__number", "__told", "__ab", "__ba", "__size")
+    return df.drop("__look", "__shapes", "__steps", "__number", "__told", "__agree", "__size")
 
 
 def reward_v1(df: DataFrame, variation: str | None = None, strict_gate: bool = False) -> DataFrame:

@@ -198,6 +198,41 @@ f8 AS (SELECT *, CAST(closed AS int) * 0.15 + CAST(boxed AS int) * 0.1 + CAST(ba
 reward AS (SELECT *, accuracy + greatest(CASE WHEN closed THEN 0.1 ELSE 0 END, structure - penalty) AS total FROM f8)"""
 
 
+def answer_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a tier is made of, completion by completion."""
+    t = R.tiers(R.split(completions(spark, sf_dir)))
+    return t.select("key", "tier", "clean", "in_window", "accepted", "by_prose", "prose")
+
+
+def thought_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paragraphs, those that begin with a number, the greatest number of a line, their templates, the last number of the end, and boxes."""
+    s = R.split(completions(spark, sf_dir))
+    parts, think = T.chunks(F.col("think")), F.col("think")
+    n = F.transform(F.regexp_extract_all(think, F.lit(r"(?m)^\s*(\d+)\.\s"), 1), lambda x: x.try_cast("long"))
+    return s.select("key", F.size(parts).alias("parts"), F.size(F.filter(parts, lambda x: x.rlike(r"^\s*\d+\.\s"))).alias("numbered"), F.coalesce(F.array_max(n), F.lit(0)).alias("greatest"), F.array_join(F.transform(parts, T.template), "|").alias("templates"), F.try_element_at(F.regexp_extract_all(F.right(think, F.lit(200)), F.lit(R.NUMBER), 0), F.lit(-1)).alias("number"), F.regexp_count("block", F.lit(r"\\boxed\{")).alias("boxes"), F.contains("block", F.lit("{boxed{")).alias("malformed"))
+
+
+#: Two ways to write one value, or two, or nothing.
+PAIRS = r"""CASE o_orderkey % 12 WHEN 0 THEN concat('√', n) WHEN 1 THEN concat(b, 'frac{', n, '}{2}') WHEN 2 THEN concat(n, '.0') WHEN 3 THEN concat(n, ' ≤ x') WHEN 4 THEN '' WHEN 5 THEN concat('$', n, '$') WHEN 6 THEN concat('2·', n) WHEN 7 THEN concat(n, b, 'text{ cm}') WHEN 8 THEN NULL WHEN 9 THEN concat('−', n) WHEN 10 THEN concat('x = ', n) ELSE concat(n, ',000') END AS a,
+ CASE o_orderkey % 12 WHEN 0 THEN concat(b, 'sqrt{', n, '}') WHEN 1 THEN concat(n / 2.0) WHEN 2 THEN concat(n + o_orderkey % 2) WHEN 3 THEN concat(n, b, 'le x') WHEN 4 THEN concat(n) WHEN 5 THEN concat(n, '.') WHEN 6 THEN concat('2', b, 'times ', n) WHEN 7 THEN concat(n, 'cm') WHEN 8 THEN concat(n) WHEN 9 THEN concat('-', n + o_orderkey % 5) WHEN 10 THEN concat(n) ELSE concat(n, '000') END AS b"""
+
+
+def value_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether two values agree: true, false or undecided; and the rule by which a missing side agrees."""
+    o = table(spark, sf_dir, "orders").selectExpr("o_orderkey", "o_orderkey % 997 + 2 AS n", "char(92) AS b")
+    p = o.select(F.col("o_orderkey").alias("key"), *(F.expr(x).alias(y) for x, y in ((PAIRS.split(" AS a,")[0], "a"), (PAIRS.split(" AS a,")[1].removesuffix(" AS b"), "b"))))
+    return R.numerical_agree(p, "a", "b", "agree").select("key", R.one_notation(F.col("a")).alias("left"), R.values_agree(F.col("a"), F.col("b")).alias("decided"), "agree")
+
+
+def reward_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the constants promise, beside the worst right and the best wrong rollout that there are."""
+    c = completions(spark, sf_dir)
+    think, answer, g = (F.col("key") % 400).cast("int"), (F.col("key") % 700).cast("int"), F.when(F.col("shape") == 2, 0).otherwise(1)
+    r = R.budget_reward(c, think, answer, g, F.lit(150.0)).agg(F.round(F.min(F.when(F.col("accuracy") == 1, F.col("total"))), 6).alias("worst_right"), F.round(F.max(F.when(F.col("accuracy") == 0, F.col("total"))), 6).alias("best_wrong"))
+    promised, older = R.invariants(), R.worst_case()
+    return r.select("worst_right", "best_wrong", ((F.col("worst_right") >= promised["worst_right"]) & (F.col("best_wrong") <= promised["best_wrong"])).alias("kept"), F.lit(round(promised["margin"], 6)).alias("margin"), F.lit(round(older["margin"], 6)).alias("older_margin"))
+
+
 def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """key, ids, prompt: token arrays of ten shapes."""
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"))
@@ -244,7 +279,7 @@ def first_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("key", F.coalesce(K.first_difference(F.col("ids"), F.col("twin"), F.col("prompt")), F.lit(-1)).cast("long").alias("at"))
 
 
-_all = (grade_as_scored, grade_strict, grade_reason_counts, grade_extended, text_split, word_stutter, counter_restart, detector_flags, reward_stagec, reward_v1, reward_v1_strict_gate, penalty_breakdown, segments_parse, segment_totals, first_divergence)
+_all = (grade_as_scored, grade_strict, grade_reason_counts, grade_extended, text_split, word_stutter, counter_restart, detector_flags, reward_stagec, reward_v1, reward_v1_strict_gate, penalty_breakdown, answer_tiers, thought_structure, value_agreement, reward_margins, segments_parse, segment_totals, first_divergence)
 QUERIES = {f.__name__: f for f in _all}
 
 _graded = f"WITH {COMPLETIONS_SQL}, {G.sql_steps('comp')}"
@@ -263,6 +298,13 @@ SELECT key, length(thought) AS thought, length(tail) AS tail, length(block) AS b
     "reward_stagec": STAGEC_SQL,
     "reward_v1": f"WITH {COMPLETIONS_SQL}, {REWARD_V1_SQL.replace('{gate}', 'false')} SELECT shape, tier, count(*) AS n, round(avg(structure), 6) AS structure, round(avg(penalty), 6) AS penalty, round(avg(total), 6) AS total FROM reward GROUP BY 1, 2",
     "reward_v1_strict_gate": f"WITH {COMPLETIONS_SQL}, {REWARD_V1_SQL.replace('{gate}', 'true')} SELECT key, tier, round(total, 6) AS total FROM reward",
+    "answer_tiers": f"WITH {COMPLETIONS_SQL}, {REWARD_V1_SQL.replace('{gate}', 'false')} SELECT key, tier, clean, there AS in_window, ok OR said AS accepted, said AND NOT ok AS by_prose, prose FROM reward",
+    "thought_structure": f"""WITH {COMPLETIONS_SQL}, {PENALTIES_SQL} SELECT key, len(parts) AS parts, again_ AS numbered, coalesce(list_max(list_transform(regexp_extract_all(think, '(?m)^\\s*(\\d+)\\.\\s', 1), lambda x: TRY_CAST(x AS bigint))), 0) AS greatest, array_to_string(list_transform(parts, lambda x: {_template('x')}), '|') AS templates, number_ AS number,
+ len(regexp_extract_all(block, '\\\\boxed\\{{')) AS boxes, contains(block, '{{boxed{{') AS malformed FROM pen""",
+    "value_agreement": f"""WITH o AS (SELECT o_orderkey, o_orderkey % 997 + 2 AS n, chr(92) AS b FROM orders), p AS (SELECT o_orderkey AS key, {PAIRS} FROM o),{_matched('p', 'q', 'a', 'b', 'ab')},{_matched('q', 'r', 'b', 'a', 'ba')},
+s AS (SELECT *, {_one_notation('a')} AS x, {_one_notation('b')} AS y, TRY_CAST(replace(a, ',', '') AS double) AS fx, TRY_CAST(replace(b, ',', '') AS double) AS fy FROM r), t AS (SELECT *, {G.sql_numeric('x')} AS nx, {G.sql_numeric('y')} AS ny FROM s)
+SELECT key, x AS "left", CASE WHEN x = '' OR y = '' THEN NULL WHEN x = y THEN true WHEN nx IS NOT NULL AND ny IS NOT NULL THEN {G.sql_close('nx', 'ny')} END AS decided, a IS NULL OR b IS NULL OR ab OR ba OR {G.sql_close('fx', 'fy')} AS agree FROM t""",
+    "reward_margins": f"WITH m AS ({STAGEC_SQL}) SELECT round(min(total) FILTER (accuracy = 1), 6) AS worst_right, round(max(total) FILTER (accuracy = 0), 6) AS best_wrong, min(total) FILTER (accuracy = 1) >= 1 AND max(total) FILTER (accuracy = 0) <= 0.1 AS kept, CAST(0.9 AS double) AS margin, CAST(0.45 AS double) AS older_margin FROM m",
     "penalty_breakdown": f"WITH {COMPLETIONS_SQL}, {PENALTIES_SQL} SELECT shape, " + ", ".join(f"round(CAST(sum({"length_" if n == "length" else n}) AS double), 4) AS {n}" for n in R.PENALTIES) + " FROM pen GROUP BY 1",
     "segments_parse": SEGMENTS_SQL,
     "segment_totals": f"SELECT reason, count(*) AS n, CAST(sum(CASE WHEN g = 1 THEN think_end - think_start ELSE 0 END) AS bigint) AS think, CAST(sum(CASE WHEN g = 1 THEN answer_end - answer_start ELSE 0 END) AS bigint) AS answer FROM ({SEGMENTS_SQL}) GROUP BY 1",
