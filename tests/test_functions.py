@@ -109,3 +109,20 @@ def test_text_functions(spark):
 def test_erfc(spark):
     for x in (0.0, 0.5, 1.0, 2.0, 4.0):
         assert abs(spark.range(1).select(GR.erfc(F.lit(x))).first()[0] - math.erfc(x)) < 2e-7
+
+
+def test_promises_of_the_constants(spark):
+    older, now = R.worst_case(), R.invariants()
+    assert older["margin"] >= 0.30 and now["margin"] >= 0.30 and now["floor"] >= 0.10 and now["most_structure"] < 1.0
+
+
+def test_a_missing_side_agrees(spark):
+    df = spark.createDataFrame([(None, "3"), ("3", None), ("3", "3.0"), ("3", "4"), ("1,000", "1000")], "a string, b string")
+    assert [r["ok"] for r in R.numerical_agree(df, "a", "b", "ok").collect()] == [True, True, True, False, True]
+
+
+def test_hedged_ends(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([("x The common answer is 3",), ("Or A. or 3",), ("common answer" + " z" * 300,), (None,)], "t string")
+    assert [r[0] for r in df.select(R.meta_pattern(F.col("t"))).collect()] == [0.10, 0.10, 0.0, 0.0]

@@ -82,7 +82,7 @@ def test_stream_state(spark, tmp_path):
     at = f"{tmp_path}/in"
     spark.createDataFrame([("r", i, 4, 20.0 if i % 3 else 1.0) for i in range(9)], "run string, step long, n long, std double").coalesce(1).write.parquet(at)
     rows = spark.readStream.schema("run string, step long, n long, std double").parquet(at)
-    q = V.annealed_budget(rows).writeStream.outputMode("update").format("memory").queryName("budgets").trigger(availableNow=True).start()
+    q = V.annealed_budget(rows, least_std=10.0).writeStream.outputMode("update").format("memory").queryName("budgets").trigger(availableNow=True).start()
     q.awaitTermination()
     r = spark.table("budgets").first()
     assert r["moves"] == 6 and abs(r["budget"] - 400 * 0.995**6) < 1e-9
@@ -95,3 +95,44 @@ def test_windowed_stream(spark, tmp_path):
     events.write.parquet(f"{tmp_path}/in")
     V.windowed_rates(spark, f"{tmp_path}/in", events.schema, f"{tmp_path}/out", f"{tmp_path}/ck").awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/out").count() > 0
+
+
+def test_failed_keys_are_scored_when_they_come_again(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from tracelode.streaming import follow as V
+
+    root = f"file://{tmp_path}"
+    spark.createDataFrame([(1, 1.0), (2, -1.0), (2, -1.0), (1, 1.0)], "id long, value double").write.parquet(f"{root}/in")
+    score = lambda b: b.withColumn("score", F.when(F.col("value") > 0, F.col("value")))
+    run = lambda: V.follow(spark, f"{root}/in", "id long, value double", score, f"{root}/out", f"{root}/ck", ["id"]).awaitTermination()
+    run()
+    assert [(r["id"], r["score"]) for r in spark.read.parquet(f"{root}/out").collect()] == [(1, 1.0)]
+    assert [r["id"] for r in spark.read.parquet(f"{root}/out_errors").collect()] == [2]
+    spark.createDataFrame([(2, 5.0), (1, 7.0)], "id long, value double").write.mode("append").parquet(f"{root}/in")
+    run()
+    assert sorted((r["id"], r["score"]) for r in spark.read.parquet(f"{root}/out").collect()) == [(1, 1.0), (2, 5.0)]
+    assert V.retried(spark, score, f"{root}/out", ["id"]).collect() == []
+
+
+def test_requests_workers_and_rounds(spark):
+    from pyspark.sql import functions as F
+
+    from tracelode.streaming import follow as V
+
+    steps = lambda *x: spark.createDataFrame([(i,) for i in x], "step long")
+    got = {r["step"]: (r["state"], r["rows"]) for r in V.answered(steps(1, 2, 3), steps(1, 1, 2), steps(1)).collect()}
+    assert got == {1: ("answered", 2), 2: ("writing", 1), 3: ("waiting", 0)}
+    beats = spark.createDataFrame([("a", 100.0), ("a", 160.0), ("b", 10.0)], "worker string, s double").select("worker", F.col("s").cast("timestamp").alias("ts"))
+    workers = spark.createDataFrame([("a",), ("b",), ("c",)], "worker string")
+    got = {r["worker"]: (r["age"], r["state"]) for r in V.staleness(workers, beats, F.lit(170.0).cast("timestamp"), 60.0).collect()}
+    assert got == {"a": (10.0, "alive"), "b": (160.0, "stale"), "c": (None, "never started")}
+    assert [V.audit_due(n, m) for n, m in ((49, 0), (100, 5), (1000, 0), (100, 90))] == [0, 15, 40, 0]
+
+
+def test_cards(spark):
+    card = "# T\n### Exemplar 1\none\n### Exemplar 2\ntwo\n---\n\n## End\nend\n"
+    df = spark.createDataFrame([(card,)], "t string")
+    few, more = df.select(J.without_exemplars("t", 2), J.with_exemplars("t", ["new"])).first()
+    assert few == "# T\n### Exemplar 1\none\n---\n\n## End\nend\n"
+    assert more == card.rstrip() + "\n\n### Exemplar 3\n\nnew\n"
