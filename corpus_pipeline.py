@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelode.llm import bpe, decontaminate, line_dedup, minhash, toxicity
-from tracelode.llm.common import materialise, table
+from tracelode.llm.common import materialise, spread, table
 
 
 def aside(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
@@ -56,7 +56,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages one after another, each result written before the next reads it."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:

@@ -80,6 +80,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df in as many partitions as tasks can run at once, if it has fewer, as a small table in one file has; a larger one stays where it lies."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 def plain(pattern: str) -> re.Pattern:
     return re.compile(pattern)
 

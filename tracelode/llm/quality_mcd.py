@@ -162,9 +162,9 @@ def _start(rows: DataFrame) -> DataFrame:
 SMALL_ROWS = 50_000
 
 
-def _small(groups: DataFrame) -> DataFrame:
-    """Rows of a hot group then stay where they are, for the sums that follow."""
-    return F.broadcast(groups) if groups.count() <= SMALL_ROWS else groups
+def _small(groups: DataFrame, rows: int | None = None) -> DataFrame:
+    """Rows of a hot group then stay where they are, for the sums that follow. rows: how many groups there are at most, if that is known."""
+    return F.broadcast(groups) if (groups.count() if rows is None else rows) <= SMALL_ROWS else groups
 
 
 def _moments(near: DataFrame) -> DataFrame:
@@ -179,12 +179,12 @@ def with_determinant(groups: DataFrame) -> DataFrame:
     return groups.withColumn("__det", sum((2 * F.log(f"__l{i}{i}") for i in range(1, DIM)), 2 * F.log("__l00")))
 
 
-def _step(rows: DataFrame, groups: DataFrame, alpha: float) -> DataFrame:
+def _step(rows: DataFrame, groups: DataFrame, alpha: float, n_groups: int) -> DataFrame:
     """A concentration step: mean and covariance of the share alpha of a group's rows that is nearest to its centre."""
-    near = with_distance2(rows.join(_small(groups.drop("__det", *(f"__c{i}{j}" for i, j in _pairs()))), "__g")).withColumn("__bin", F.floor(F.log2(F.greatest(F.col("__d2"), F.lit(1e-12))) * BINS2))
+    near = with_distance2(rows.join(_small(groups.drop("__det", *(f"__c{i}{j}" for i, j in _pairs())), n_groups), "__g")).withColumn("__bin", F.floor(F.log2(F.greatest(F.col("__d2"), F.lit(1e-12))) * BINS2))
     limit = materialise(_reached(near.groupBy("__g", "__s", "__bin").agg(F.count("*").alias("__n")), ["__g", "__s"], [alpha]), "limits")
     # Not null-rejecting: else the planner would test the distance for null below the join, in a copy that repeats each term over and over.
-    near = near.join(_small(limit), ["__g", "__s"]).filter(F.coalesce(F.col("__bin") <= F.col("__b0"), F.lit(False)))
+    near = near.join(_small(limit, n_groups), ["__g", "__s"]).filter(F.coalesce(F.col("__bin") <= F.col("__b0"), F.lit(False)))
     out = materialise(with_determinant(factored(_moments(near))), "step")
     discard(limit)
     return out
@@ -193,8 +193,9 @@ def _step(rows: DataFrame, groups: DataFrame, alpha: float) -> DataFrame:
 def estimates(rows: DataFrame, alpha: float, warm: int, steps: int, tolerance: float) -> DataFrame:
     """__g with centre __m, covariance __c, its Cholesky factor __l and its log-determinant __det, for rows (__g, __x)."""
     groups = _start(rows)
+    n_groups = groups.count()
     for k in range(steps):
-        before, groups = groups, _step(rows, groups, alpha)
+        before, groups = groups, _step(rows, groups, alpha, n_groups)
         if k + 1 == warm:  # each group goes on with its better start
             every, least = groups, groups.groupBy("__g").agg(F.min(F.struct("__det", "__s")).alias("x")).select("__g", F.col("x.__s").alias("__s"))
             groups = materialise(every.join(least, ["__g", "__s"]), "chosen")

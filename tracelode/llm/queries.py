@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, decontaminate, license_scan, line_dedup, minhash, quality_mcd, sharding, suffix_dedup, toxicity, warc
-from .common import table, whole
+from .common import spread, table, whole
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,7 +15,7 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    docs, labels = spread(table(spark, sf_dir, "documents").select("doc_id", "text")), table(spark, sf_dir, "labels")
     model = toxicity.fit(docs, labels.filter(~toxicity.held_out(F.col("doc_id"))))
     out = toxicity.score(docs, model, keep_text=False)
     return out.select("doc_id", F.coalesce(toxicity.held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", "predicted", F.size("segments").alias("n_segments"))
@@ -27,13 +27,13 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontaminate.find_contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    found = decontaminate.find_contamination(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), table(spark, sf_dir, "benchmark"))
     digest = F.sha2(F.array_join(F.array_sort("items"), ",").cast("binary"), 256)
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), "contaminated")
 
 
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.with_components(minhash.near_duplicates(table(spark, sf_dir, "documents"), n=2, percent=80))
+    return minhash.with_components(minhash.near_duplicates(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), n=2, percent=80))
 
 
 def op6_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,23 +46,23 @@ def op6_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     out = bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep_text=False)
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), 400)
+    out = suffix_dedup.remove_repeats(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), 400)
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = license_scan.scan(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
     return out.select("doc_id", "n_paragraphs", "n_candidates", F.size("licences").cast("long").alias("n_licences"), F.array_join("families", ",").alias("families"))
 
 
 def op10_quality_mcd(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = quality_mcd.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    out = quality_mcd.judge(spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.round("distance", 3).alias("distance"), "kept")
 
 
