@@ -9,7 +9,7 @@ from tracelode.functions import grade as G
 from tracelode.functions import reward as R
 from tracelode.functions import text as T
 from tracelode.functions import tokens as K
-from tracelode.tables import table
+from tracelode.tables import spread, table
 
 #: The shapes, as SQL that both engines read: n is the number, and gold its text; lengths, repeats and values vary with the key.
 SHAPES = r"""CASE o_orderkey % 10
@@ -28,7 +28,7 @@ COMPLETIONS_SQL = f"comp AS (SELECT o_orderkey AS key, o_orderkey % 10 AS shape,
 
 def completions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """key, shape, gold, text"""
-    o = table(spark, sf_dir, "orders").select("o_orderkey").withColumns({"n": F.col("o_orderkey") % 997 + 2, "b": F.char(F.lit(92))})
+    o = spread(table(spark, sf_dir, "orders").select("o_orderkey")).withColumns({"n": F.col("o_orderkey") % 997 + 2, "b": F.char(F.lit(92))})
     return o.select(F.col("o_orderkey").alias("key"), (F.col("o_orderkey") % 10).alias("shape"), F.col("n").cast("string").alias("gold"), F.expr(SHAPES.replace("'⇒", "'⇒")).alias("text"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tracelode.functions import text as T
 from tracelode.operators import pool as P
-from tracelode.tables import table
+from tracelode.tables import spread, table
 
 NORM = "trim(regexp_replace(coalesce(text, ''), '[\\s\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+', ' ', 'g'))"
 TOKENS = f"regexp_extract_all(substr(lower({NORM}), 1, 400), '[\\p{{L}}\\p{{N}}_]+')"
@@ -44,7 +44,7 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def contamination_report(spark: SparkSession, sf_dir: str, threshold: float = 0.8) -> DataFrame:
     """Exact and near copies of benchmark items."""
-    return P.contamination(docs(spark, sf_dir), table(spark, sf_dir, "benchmark"), threshold)
+    return P.contamination(spread(docs(spark, sf_dir).select("doc_id", "text")), table(spark, sf_dir, "benchmark"), threshold)
 
 
 def contamination_report_t50(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,12 +72,12 @@ CONTROL = """(SELECT item_id AS doc_id, CASE item_id % 3 WHEN 0 THEN concat(chr(
 
 def near_dup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J2 within the pool, by the first 400 characters: documents that open alike, pairs of classes and their members."""
-    return P.near_pairs(docs(spark, sf_dir), first_chars=400)
+    return P.near_pairs(spread(docs(spark, sf_dir).select("doc_id", "text")), first_chars=400)
 
 
 def near_dup_pairs_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J2 within the pool, by whole texts: pairs of classes and their members."""
-    return P.near_pairs(docs(spark, sf_dir))
+    return P.near_pairs(spread(docs(spark, sf_dir).select("doc_id", "text")))
 
 
 def exact_dedup_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
