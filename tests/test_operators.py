@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from tracelode.operators import groups as G
 from tracelode.operators import pool as P
 from tracelode.operators import select as S
@@ -57,3 +59,25 @@ def test_diverse_by_word_runs(spark):
 def test_shared_draws_are_as_many_as_the_least(spark):
     df = spark.createDataFrame([(u, k) for u, n in ((1, 2), (2, 5), (3, 3)) for k in range(n)], "uid long, k int")
     assert sorted(tuple(x) for x in G.shared_draws(df).collect()) == [(u, k) for u in (1, 2, 3) for k in (0, 1)]
+
+
+def test_budget_over_blocks_is_the_fold(spark):
+    import random
+
+    r = random.Random(4)
+    rows = [(run, step, r.randint(1, 5), r.choice([5.0, 50.0])) for run in "ab" for step in r.sample(range(2000), 300)]
+    got = {(x["run"], x["step"]): x["budget"] for x in G.anneal(spark.createDataFrame(rows, "run string, step long, n int, std double"), "step", 400.0, block=37).collect()}
+    for run in "ab":
+        budget = 400.0
+        for _, step, n, std in sorted(x for x in rows if x[0] == run):
+            if n < 2 or std >= 40.0:
+                budget = max(120.0, budget * 0.995)
+            assert abs(got[run, step] - budget) < 1e-9
+
+
+def test_rows_in_turn(spark):
+    df = spark.createDataFrame([(i, "abc"[min(i % 7, 2)]) for i in range(60)], "id long, cell string")
+    got = [(x["cell"], x["id"]) for x in P.round_robin(df, "cell", [F.col("id")], 8).collect()]
+    cells = {c: sorted(i for i in range(60) if "abc"[min(i % 7, 2)] == c) for c in "abc"}
+    want = [(c, cells[c][t]) for t in range(3) for c in "abc"][:8]
+    assert got == want

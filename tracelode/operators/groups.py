@@ -97,11 +97,18 @@ def effective_budget(c: DataFrame, budget: float, floor: float = 120.0, share: f
     return g.select("uid", F.when(F.col("most").isNull(), F.lit(max(budget, floor))).otherwise(F.greatest(F.least(F.lit(budget), F.col("most")), F.col("low"), F.lit(1.0))).alias("budget"))
 
 
-def anneal(groups: DataFrame, order: str, start: float, floor: float = 120.0, rate: float = 0.995, least_std: float = 40.0) -> DataFrame:
-    """The budget after each group in order: a group of little spread leaves it, any other lowers it. As only the number of lowering groups before matters, a running count replaces the fold."""
-    w = W.partitionBy("run").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    moved = F.sum(F.when((F.col("n") >= 2) & (F.col("std") < least_std), 0).otherwise(1)).over(w)
-    return groups.withColumn("moves", moved).withColumn("budget", F.greatest(F.lit(floor), F.lit(start) * F.pow(F.lit(rate), F.col("moves"))))
+def anneal(groups: DataFrame, order: str, start: float, floor: float = 120.0, rate: float = 0.995, least_std: float = 40.0, block: int = 100_000) -> DataFrame:
+    """The budget after each group in order (a whole number): a group of little spread leaves it, any other lowers it.
+
+    As only the number of lowering groups before matters, a running count replaces the fold. It is counted within blocks of
+    the order and over blocks, so that a run of any length is dealt to many tasks.
+    """
+    g = groups.withColumns({"__move": F.when((F.col("n") >= 2) & (F.col("std") < least_std), 0).otherwise(1), "__block": F.floor(F.col(order) / block)})
+    before = W.partitionBy("run").orderBy("__block").rowsBetween(W.unboundedPreceding, -1)
+    blocks = g.groupBy("run", "__block").agg(F.sum("__move").alias("__sum")).withColumn("__before", F.coalesce(F.sum("__sum").over(before), F.lit(0))).drop("__sum")
+    within = W.partitionBy("run", "__block").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    moved = g.withColumn("__within", F.sum("__move").over(within)).join(blocks, ["run", "__block"]).withColumn("moves", F.col("__within") + F.col("__before"))
+    return moved.withColumn("budget", F.greatest(F.lit(floor), F.lit(start) * F.pow(F.lit(rate), F.col("moves")))).drop("__move", "__block", "__within", "__before")
 
 
 def length_multiplier(length: Column, budget: Column | float) -> Column:

@@ -78,9 +78,10 @@ def near_pairs(docs: DataFrame, threshold: float = 0.8, n: int = 8, first_chars:
 
 
 def first_of(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """One row for each key, the first in an order: a fixed choice, unlike dropDuplicates()."""
-    w = W.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
+    """One row for each key, the first in an order: a fixed choice, unlike dropDuplicates(), and a minimum, so that a large key isn't sorted."""
+    rest = [c for c in df.columns if c not in keys]
+    least = F.min_by(F.struct(*rest), F.struct(*(c.alias(f"o{i}") for i, c in enumerate(order))))
+    return df.groupBy(*keys).agg(least.alias("__x")).select(*keys, "__x.*")
 
 
 def stratified_sample(df: DataFrame, stratum: str, key: Column, n: int, seed: str = "0") -> DataFrame:
@@ -102,8 +103,8 @@ def stratified_sample(df: DataFrame, stratum: str, key: Column, n: int, seed: st
 
 
 def top_by(df: DataFrame, keys: list[str], order: list[str], most: Column, deals: int = 64) -> DataFrame:
-    """The first ``most`` rows of each key in an order, which begins with a digest. A key's rows are dealt by it, and only the first of each deal are sorted together: a few large keys don't end in a few tasks."""
-    dealt = df.withColumn("__deal", F.pmod(F.xxhash64(order[0]), F.lit(deals)))
+    """The first ``most`` rows of each key in an order. A key's rows are dealt by all that orders them, and only the first of each deal are sorted together: a few large keys don't end in a few tasks."""
+    dealt = df.withColumn("__deal", F.pmod(F.xxhash64(*order), F.lit(deals)))
     few = dealt.withColumn("__n", F.row_number().over(W.partitionBy(*keys, "__deal").orderBy(*order))).filter(F.col("__n") <= most)
     return few.withColumn("__n", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter(F.col("__n") <= most).drop("__n", "__deal")
 
@@ -118,8 +119,10 @@ def apportion(sizes: DataFrame, key: str, n: int) -> DataFrame:
 
 
 def round_robin(df: DataFrame, cell: str, order: list[Column], n: int) -> DataFrame:
-    """n rows, one of each cell in turn."""
-    return df.withColumn("turn", F.row_number().over(W.partitionBy(cell).orderBy(*order))).orderBy("turn", cell).limit(n)
+    """n rows, one of each cell in turn; of a cell no more than its first n can be among them."""
+    names = {f"__o{i}": c for i, c in enumerate(order)}
+    few = top_by(df.withColumns(names), [cell], list(names), F.lit(n))
+    return few.withColumn("turn", F.row_number().over(W.partitionBy(cell).orderBy(*names))).orderBy("turn", cell).limit(n).drop(*names)
 
 
 def split_by_hash(key: Column, seed: str) -> Column:

@@ -62,8 +62,8 @@ def finalize_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def capped_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five examples of each kind."""
-    e = table(spark, sf_dir, "events")
-    return e.withColumn("n", F.row_number().over(W.partitionBy("event_type").orderBy(F.md5(F.col("event_id").cast("string")), "event_id"))).filter("n <= 5").select("event_type", "event_id")
+    e = table(spark, sf_dir, "events").select("event_type", "event_id", F.md5(F.col("event_id").cast("string")).alias("h"))
+    return P.top_by(e, ["event_type"], ["h", "event_id"], F.lit(5)).select("event_type", "event_id")
 
 
 def curriculum_bands(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -124,8 +124,8 @@ def floor_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """20 documents of each language, those with a label first."""
     labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.lit(1).alias("has"))
     d = docs(spark, sf_dir).select("doc_id", "lang").join(labels, "doc_id", "left").withColumn("labelled", F.coalesce("has", F.lit(0)))
-    w = W.partitionBy("lang").orderBy(F.desc("labelled"), F.md5(F.concat(F.lit("f"), F.col("doc_id").cast("string"))), "doc_id")
-    return d.withColumn("place", F.row_number().over(w)).filter("place <= 20").select("doc_id", "lang", F.col("labelled").cast("long").alias("labelled"))
+    d = d.withColumns({"unlabelled": 1 - F.col("labelled"), "h": F.md5(F.concat(F.lit("f"), F.col("doc_id").cast("string")))})
+    return P.top_by(d, ["lang"], ["unlabelled", "h", "doc_id"], F.lit(20)).select("doc_id", "lang", F.col("labelled").cast("long").alias("labelled"))
 
 
 def round_robin_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,8 +151,8 @@ def staged_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F8: labelled documents in a digest's order; the first stage takes low levels only, later ones add what is left of them and higher levels."""
     d = docs(spark, sf_dir).select("doc_id", (F.col("n_chars") % 10 + 1).alias("level"))
     d = d.withColumn("band", F.when(F.col("level") <= 4, "low").when(F.col("level") >= 7, "high").otherwise("mid"))
-    w = W.partitionBy("band").orderBy(F.md5(F.concat(F.lit("c"), F.col("doc_id").cast("string"))), "doc_id")
-    d = d.withColumn("place", F.row_number().over(w))
+    d = P.top_by(d.withColumn("h", F.md5(F.concat(F.lit("c"), F.col("doc_id").cast("string")))), ["band"], ["h", "doc_id"], F.lit(440))  # no stage goes further
+    d = d.withColumn("place", F.row_number().over(W.partitionBy("band").orderBy("h", "doc_id")))
     low, place = F.col("band") == "low", F.col("place")
     stage = F.when(low & (place <= 200), 1).when(low & (place <= 340), 2).when((F.col("band") == "mid") & (place <= 60), 2).when(low & (place <= 440), 3).when((F.col("band") == "mid") & (place <= 110), 3).when((F.col("band") == "high") & (place <= 50), 3)
     return d.withColumn("stage", stage).filter("stage is not null").groupBy("stage", "band").agg(F.count("*").alias("n"), F.sum("doc_id").alias("id_sum"))
