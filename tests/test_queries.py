@@ -39,6 +39,11 @@ def test_import_without_the_corpus_operators(tmp_path):
     assert run.returncode == 0, run.stderr
 
 
+def test_import_without_a_library_of_the_corpus_operators():
+    run = subprocess.run([sys.executable, "-c", "import sys; sys.modules['xxhash'] = None; import __spark_entry__ as e; assert e.queries() and 'pipeline' not in e.queries()"], cwd=ROOT, capture_output=True, text=True)
+    assert run.returncode == 0, run.stderr
+
+
 def test_json_lines(spark, tmp_path):
     at = f"file://{tmp_path}/a"
     df = spark.createDataFrame([("u1", 1, "x"), ("u2", 2, "ü")], "_uid string, _private int, text string")
