@@ -1,9 +1,10 @@
 """Licence paragraphs, by a trained classifier.
 
 Paragraphs (lines) are turned into sparse word 1- and 2-grams and classified by a
-multinomial logistic regression into licence families and a class for anything else. A second logistic regression, on
-examples that the first hasn't seen, turns the best family's log-odds into the probability that it is right; under
-``min_probability`` the paragraph is unknown. The family's templates must confirm it: most of the paragraph's word
+multinomial logistic regression into licence families and a class for anything else. A second logistic regression turns
+the best family's log-odds into the probability that it is right; under ``min_probability`` the paragraph is unknown. It
+learns from what the first hasn't seen: licence texts with a part of their words gone (a quarter, a half and three
+quarters), as paragraphs that are worded otherwise are, and a third of all other sentences and paragraphs. The family's templates must confirm it: most of the paragraph's word
 pairs come from them, or the paragraph holds most of one of them.
 
 The model learns from the templates below, whole and in pieces, from sentences that use the same words otherwise, and
@@ -140,7 +141,7 @@ class Model:
 
 
 def examples(spark: SparkSession, docs: DataFrame, max_negatives: int) -> DataFrame:
-    """family and __terms: templates whole and in pieces, other sentences, and paragraphs of the documents."""
+    """family and __w (words): templates whole and in pieces, other sentences, and paragraphs of the documents."""
     known = with_terms(_literal(spark, [(f, t) for f, ts in TEMPLATES.items() for t in ts]), "paragraph")
     pieces = known.select("family", F.explode(F.expr("concat(array(__w), flatten(transform(array(10, 16, 24), n -> if(size(__w) > n, transform(sequence(1, size(__w) - n + 1, 3), i -> slice(__w, i, n)), cast(array() as array<array<string>>)))))")).alias("__w"))
     pieces = pieces.union(pieces.filter(F.size("__w") < 24).withColumn("__w", F.concat(F.array(F.lit("the"), F.lit("software")), "__w")))
@@ -152,12 +153,18 @@ def examples(spark: SparkSession, docs: DataFrame, max_negatives: int) -> DataFr
     lines = lines.select("h", F.explode(F.split("text", "\n", -1)).alias("paragraph")).orderBy(F.xxhash64("h", "paragraph"), "paragraph").limit(max_negatives)
     lines = lines.withColumn("__w", words(F.col("paragraph"))).filter(~F.arrays_overlap(grams("__w", 3), runs))
     lines = lines.select(F.lit(UNKNOWN).alias("family"), "__w")
-    out = pieces.unionByName(others).unionByName(lines).filter(F.size("__w") > 0)
-    return out.withColumn("__two", grams("__w", 2)).select("family", F.concat("__w", "__two").alias("__terms"))
+    return pieces.unionByName(others).unionByName(lines).filter(F.size("__w") > 0)
+
+
+def thinned(rows: DataFrame) -> DataFrame:
+    """Examples with a quarter, a half and three quarters of their words gone, by a hash of the word and its place."""
+    gone = F.explode(F.array(F.lit(1), F.lit(2), F.lit(3)))
+    left = rows.withColumn("__gone", gone).withColumn("__w", F.expr("filter(__w, (x, i) -> pmod(xxhash64(x, i, __gone), 4) >= __gone)"))
+    return left.filter(F.size("__w") > 0).drop("__gone")
 
 
 def fit(docs: DataFrame, max_negatives: int = 1000) -> Model:
-    """Learns from the templates and at most max_negatives paragraphs; a third of the examples are for the calibration."""
+    """Learns from the templates and at most max_negatives paragraphs; the calibration from thinned templates and a third of what is no licence."""
     spark = docs.sparkSession
     label = F.array_position(F.array(*map(F.lit, FAMILIES)), F.col("family")).cast("double") - 1
     rows = materialise(examples(spark, docs.select("doc_id", "text"), max_negatives).withColumn("label", label).coalesce(1), "examples")
@@ -165,10 +172,11 @@ def fit(docs: DataFrame, max_negatives: int = 1000) -> Model:
     vocabulary = with_terms(_literal(spark, [(f, t) for f, ts in [*TEMPLATES.items(), (UNKNOWN, OTHERS)] for t in ts]), "paragraph").select(F.explode("__terms").alias("t")).distinct().orderBy("t")
     terms = CountVectorizerModel.from_vocabulary([r["t"] for r in vocabulary.collect()], "__terms", "__vector")
     terms.setBinary(True)
-    ready = terms.transform(rows).withColumn("__part", F.pmod(F.xxhash64("__terms"), F.lit(3)))
+    ready = lambda df: terms.transform(df.withColumn("__two", grams("__w", 2)).withColumn("__terms", F.concat("__w", "__two")).drop("__two"))
+    other, kept_out = F.col("family") == UNKNOWN, F.pmod(F.xxhash64("__w"), F.lit(3)) == 0
     learn = lambda df: LogisticRegression(featuresCol="__vector", labelCol="label", predictionCol="__label", probabilityCol="__probability", rawPredictionCol="__raw", family="multinomial", maxIter=60, regParam=0.002, elasticNetParam=0.5).fit(df)
-    first = learn(ready.filter("__part != 0"))
-    seen = first.transform(ready.filter("__part = 0")).withColumn("__p", vector_to_array("__probability"))
+    first = learn(ready(rows.filter(~(other & kept_out))))
+    seen = first.transform(ready(thinned(rows.filter(~other)).unionByName(rows.filter(other & kept_out)))).withColumn("__p", vector_to_array("__probability"))
     best = F.array_max(F.transform(F.slice("__p", 1, len(FAMILIES) - 1), lambda p, i: F.struct(p.alias("p"), (-i).alias("i"))))
     seen = seen.withColumn("__best", best).select(F.when(-F.col("__best.i") == F.col("label"), 1.0).otherwise(0.0).alias("right"), array_to_vector(F.array(F.log(F.greatest(F.col("__best.p"), F.lit(1e-12)) / F.greatest(1 - F.col("__best.p"), F.lit(1e-12))))).alias("__one"))
     right = LogisticRegression(featuresCol="__one", labelCol="right", predictionCol="__right_label", probabilityCol="__right", rawPredictionCol="__right_raw", family="binomial", maxIter=60, regParam=0.01).fit(seen)
