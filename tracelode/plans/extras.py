@@ -18,7 +18,7 @@ from tracelode.tables import candidates, table
 
 
 def gold_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first marked number, and all that follows the last mark."""
+    """The first marked number, and all that follows the last mark."""
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"))
     s = F.concat(F.lit("a #### "), F.col("key").cast("string"), F.lit(" b #### "), (F.col("key") + 1).cast("string"))
     return o.select("key", F.regexp_extract(s, r"####\s*(-?\d+)", 1).alias("first"), T.strip(F.substring_index(s, "####", -1)).alias("last"))
@@ -67,7 +67,7 @@ def capped_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def curriculum_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Problems by pass rate, and the share that still teaches."""
+    """Problems by pass rate, and the share that still teaches."""
     b = GR.buckets(candidates(spark, sf_dir))
     band = F.when(F.col("p_hat") >= 0.625, "high").when(F.col("p_hat") >= 0.375, "mid").when(F.col("p_hat") > 0, "low").otherwise("zero")
     return b.groupBy(band.alias("band")).agg(F.count("*").alias("n"), F.round(F.avg((F.col("bucket") == "mixed").cast("int")), 6).alias("mixed"))

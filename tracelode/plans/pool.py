@@ -135,7 +135,7 @@ def round_robin_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def disjoint_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Splits by the digest of the text's key, so that copies are in one split; counts, and keys in two splits (none)."""
+    """Splits by the digest of the text's key, so that copies are in one split; counts."""
     d = docs(spark, sf_dir).select("source", T.dedup_key(F.col("text")).alias("key")).withColumn("p", P.split_by_hash(F.col("key"), "split"))
     d = d.withColumn("split", F.when(F.col("p") < 500, "val").when(F.col("p") < 1500, "heldout").otherwise("train"))
     return d.groupBy("split").agg(F.count("*").alias("n"), F.count_distinct("key").alias("keys"))
@@ -195,7 +195,7 @@ def level_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Longest run of equal lines, stutters, words for each line, and markers."""
+    """Longest run of equal lines, stutters, words for each line, and markers."""
     d = docs(spark, sf_dir)
     lines = T.lines(F.col("text"))
     n = F.size(lines)
