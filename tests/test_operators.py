@@ -81,3 +81,11 @@ def test_rows_in_turn(spark):
     cells = {c: sorted(i for i in range(60) if "abc"[min(i % 7, 2)] == c) for c in "abc"}
     want = [(c, cells[c][t]) for t in range(3) for c in "abc"][:8]
     assert got == want
+
+
+def test_sums_below_in_blocks(spark):
+    r = random.Random(2)
+    rows = [(float(x), r.randint(0, 5)) for x in r.sample(range(-500, 500), 200)]
+    got = {x["x"]: x["n_below"] for x in G.sums_below(spark.createDataFrame(rows, "x double, n int"), "x", ["n"], blocks=9).collect()}
+    assert got == {x: sum(n for y, n in rows if y < x) for x, _ in rows}
+    assert G.sums_below(spark.createDataFrame([], "x double, n int"), "x", ["n"]).collect() == []

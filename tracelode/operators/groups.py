@@ -68,6 +68,21 @@ def pareto(points: DataFrame, acc: str, cost: str) -> DataFrame:
     return points.withColumn("__least", F.min(cost).over(before)).filter(F.col("__least").isNull() | (F.col(cost) < F.col("__least"))).drop("__least")
 
 
+def sums_below(df: DataFrame, order: str, columns: list[str], blocks: int = 256) -> DataFrame:
+    """df with, for each column, its sum over all rows that are lower in an order (``name_below``); equal rows aren't lower than each other if each value of the order is one row.
+
+    The order is cut into blocks at approximate quantiles, which only decide how even the blocks are: a running sum within
+    each, and one over the few blocks, so that no task sorts all rows.
+    """
+    cuts = sorted({x for x in df.agg(F.percentile_approx(order, [i / blocks for i in range(1, blocks)], 10_000)).first()[0] or []})
+    place = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(order))) if cuts else F.lit(0)
+    g = df.withColumn("__block", place)
+    before, within = W.orderBy("__block").rowsBetween(W.unboundedPreceding, -1), W.partitionBy("__block").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    sums = g.groupBy("__block").agg(*(F.sum(c).alias(f"__{c}") for c in columns)).withColumns({f"__{c}_before": F.coalesce(F.sum(f"__{c}").over(before), F.lit(0)) for c in columns}).drop(*(f"__{c}" for c in columns))
+    g = g.withColumns({f"__{c}_within": F.coalesce(F.sum(c).over(within), F.lit(0)) for c in columns}).join(F.broadcast(sums), "__block")  # a row for each block
+    return g.withColumns({f"{c}_below": F.col(f"__{c}_within") + F.col(f"__{c}_before") for c in columns}).drop("__block", *(f"__{c}_{x}" for c in columns for x in ("within", "before")))
+
+
 def advantages(c: DataFrame, reward: str, eps: float = 1e-6) -> DataFrame:
     """The reward less its group's mean, as it is and in units of the group's deviation."""
     w = W.partitionBy("uid")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracelode.functions import tokens as K
@@ -70,8 +69,7 @@ def point_biserial(spark: SparkSession, sf_dir: str) -> DataFrame:
 def auc_youden(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M3: the area by counts of distinct values, ties as halves, and the smallest threshold with the greatest J; never a pair of rows."""
     v = _labelled(spark, sf_dir).groupBy("x").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
-    below = W.orderBy("x").rowsBetween(W.unboundedPreceding, -1)
-    v = v.withColumns({"pos_below": F.coalesce(F.sum("pos").over(below), F.lit(0)), "neg_below": F.coalesce(F.sum("neg").over(below), F.lit(0))})
+    v = GR.sums_below(v, "x", ["pos", "neg"])
     total = v.agg(F.sum("pos").alias("np"), F.sum("neg").alias("nn"))
     v = v.join(F.broadcast(total))
     j = (F.col("np") - F.col("pos_below")) / F.col("np") - (F.col("nn") - F.col("neg_below")) / F.col("nn")
