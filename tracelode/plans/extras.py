@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tracelode.functions import grade as G
 from tracelode.functions import text as T
 from tracelode.operators import groups as GR
 from tracelode.operators import pool as P
@@ -34,7 +32,7 @@ def mcq_render(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def label_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels at the start of lines go, what is before them stays; and how many there were."""
+    """Labels that a pattern describes, at the start of lines, go, what is before them stays; and how many there were."""
     pattern = r"^(\s*)(?:goal|chk|sub|let|case)\s*\d*\s*:\s?"
     c = completions(spark, sf_dir).withColumn("rows", F.split("text", "\n"))
     return c.select("key", F.array_join(F.transform("rows", lambda x: F.regexp_replace(x, pattern, "$1")), "\n").alias("text"), F.size(F.filter("rows", lambda x: x.rlike(pattern))).cast("long").alias("labels"))

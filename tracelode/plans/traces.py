@@ -3,11 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracelode.functions import grade as G
-from tracelode.functions import reward as R
 from tracelode.functions import shaping as H
 from tracelode.functions import structure as S
 from tracelode.functions import text as T
