@@ -52,3 +52,36 @@ def test_frames(spark):
     back = bpe.decode_ids(spark.createDataFrame([(1, [15496]), (2, None)], "a int, ids array<int>"), PATH, PATTERN).collect()
     assert [r["decoded"] for r in sorted(back)] == ["Hello", ""]
     assert bpe.encode_decode(df.limit(0), PATH, PATTERN).collect() == []
+
+
+def test_ascii_texts_are_split_alike():
+    import regex
+
+    ours, theirs = bpe.ascii_pattern(PATTERN), regex.compile(PATTERN)
+    assert ours is not None and bpe.ascii_pattern(r"\p{Lu}+") is None and bpe.ascii_pattern(r"(?i:'s)|x") is None
+    r = random.Random(4)
+    for _ in range(5000):
+        t = "".join(chr(r.choice([r.randrange(128), 32, 39, 115, 9, 10, 28, 31, 65, 48])) for _ in range(r.randrange(14)))
+        assert ours.findall(t) == theirs.findall(t)
+
+
+def test_tokens_come_while_a_long_piece_is_read():
+    ranks = bpe.read_ranks(PATH)
+    t = bpe.Transducer(ranks)
+    r = random.Random(5)
+    data = bytes(r.choice(b"abcdefghij") for _ in range(20 * t.longest))
+    read, seen = 0, []
+
+    def bytes_read():
+        nonlocal read
+        for b in data:
+            read += 1
+            yield b
+
+    for token in t.stream(bytes_read()):
+        seen.append((read, len(t.token[token])))
+    out = 0
+    for at, size in seen:
+        out += size
+        assert at == len(data) or at - out < 4 * t.longest
+    assert seen[0][0] < len(data) and out == len(data)
