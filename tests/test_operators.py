@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from tracelode.operators import groups as G
 from tracelode.operators import pool as P
 from tracelode.operators import select as S
+from tracelode.plans import files, groups
 
 
 def test_pairs_are_judged_by_whole_texts(spark):
@@ -97,3 +98,14 @@ def test_gap_of_rewards_is_what_decimals_give(spark):
     df = spark.sql(f"SELECT gid, member, tier, total, 1.0D AS accuracy, total AS fmt, {rest} FROM VALUES {rows} AS t(gid, member, tier, total)")
     got = {x["gid"]: x["gap"] for x in G.diagnostics(df).select("gid", F.round("strict_vs_lenient_gap", 6).alias("gap")).collect()}
     assert got == {1: 0.948688, 2: 0.378638}  # of 0.9486875 and 0.3786375
+
+
+def test_budgets_where_deviations_are_just_at_the_limit(spark, tmp_path):
+    r, lengths = random.Random(3), [21, 36, 30, 34, 34, 41, 27, 12, 11]  # a variance of 100, which running means give as less in some orders
+    rows = [(uid, i, 1, i, float(x), 1.0, 0.0, 0.0, "R", "F") for uid in range(200) for i, x in enumerate(r.sample(lengths, len(lengths)))]
+    lines = spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string")
+    lines.coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(uid, "1-URGENT", "F") for uid in range(200)], "o_orderkey long, o_orderpriority string, o_orderstatus string").write.parquet(f"{tmp_path}/orders.parquet")
+    assert [(x["run"], x["moves"]) for x in files.budget_stream(spark, str(tmp_path)).collect()] == [("1", 200)]
+    budgets = [x["budget"] for x in groups.think_budget_anneal(spark, str(tmp_path)).sort("uid").collect()]
+    assert budgets == [round(400 * 0.995**i, 6) for i in range(1, 201)]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracelode.functions import grade as G
 from tracelode.functions import text as T
+from tracelode.operators import groups as GR
 from tracelode.operators import pool as P
 from tracelode.sources import jsonl as J
 from tracelode.streaming import follow as V
@@ -123,7 +124,7 @@ def scores_after_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
 def budget_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The budget of each run as its groups come in; the state is two numbers for a run."""
     root = shared_root(spark, "budget")
-    g = candidates(spark, sf_dir).groupBy(F.col("level").alias("run"), F.col("uid").alias("step")).agg(F.count("*").alias("n"), F.stddev_pop("think_len").alias("std"))
+    g = candidates(spark, sf_dir).groupBy(F.col("level").alias("run"), F.col("uid").alias("step")).agg(F.count("*").alias("n"), GR.whole_deviation("think_len").alias("std"))
     g.write.parquet(f"{root}/in")
     rows = spark.readStream.schema("run string, step long, n long, std double").parquet(f"{root}/in")
     sink = lambda batch, number: batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{root}/out/batch={number}")

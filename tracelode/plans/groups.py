@@ -106,7 +106,7 @@ def think_budget_group(spark: SparkSession, sf_dir: str) -> DataFrame:
 def think_budget_anneal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups in the order of problems, a run for each level."""
     c = candidates(spark, sf_dir)
-    g = c.groupBy(F.col("level").alias("run"), "uid").agg(F.count("*").alias("n"), F.stddev_pop("think_len").alias("std"))
+    g = c.groupBy(F.col("level").alias("run"), "uid").agg(F.count("*").alias("n"), G.whole_deviation("think_len").alias("std"))
     return G.anneal(g, "uid", 400.0, least_std=10.0).select("run", "uid", F.round("budget", 6).alias("budget"))
 
 
