@@ -81,3 +81,14 @@ def test_nulls_and_no_rows(spark):
     rows = sorted(map(tuple, M.with_components(M.near_duplicates(df, n=2)).collect()), key=str)
     assert rows == sorted([(None, 2, 5, False), (5, 2, 5, True), (None, 0, None, True)], key=str)
     assert M.near_duplicates(df.limit(0)).collect() == []
+
+
+def test_nothing_is_broadcast(spark, monkeypatch):
+    """The planner takes a node's hundred keys for one row, so a table of buckets went to the driver as a whole."""
+    plans, write = [], M.materialise
+    shown = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(M, "materialise", lambda df, name: (plans.append((name, shown(df))), write(df, name))[1])
+    df = spark.createDataFrame(list(enumerate(corpus(4))), "doc_id long, text string")
+    plans.append(("result", shown(M.near_duplicates(df, n=2, m=3, t=1))))
+    assert {"active", "texts", "links", "pairs", "edges", "named"} <= {name for name, _ in plans}
+    assert [name for name, plan in plans if "Broadcast" in plan] == []

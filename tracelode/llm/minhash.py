@@ -11,7 +11,7 @@ them. Nodes of buckets that still hold several components may have links that jo
 exact filter: any two of them, of different components, whose sets can be similar enough are compared too. So no pair
 of a bucket is left out that matters, and all pairs of a bucket are never written.
 
-No bucket is ever gathered: leads are minima, members find them by a join that splits hot keys.
+No bucket is ever gathered: leads are minima, members find them by a join that splits hot keys. Nothing is broadcast.
 
 Defined results: A-Z are lower-cased, words are parted by ASCII white space. A set holds the distinct runs of ``n`` words;
 a text of fewer words is one run; one without words (or null) has the empty set and is linked with nothing. Rows that
@@ -113,15 +113,21 @@ def buckets(nodes: DataFrame, m: int) -> DataFrame:
     return both.select(F.xxhash64("i", "j", "g", "h").alias("key"), "node")
 
 
+def met(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """A join by shuffles only. A broadcast goes through the driver, and the planner's estimates are far too low for what comes from arrays: a node's hundred keys count as one."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def texts_of(nodes: DataFrame, ids: DataFrame, docs: DataFrame) -> DataFrame:
     """node, text for the nodes that are candidates: the only time that whole texts are shuffled."""
-    wanted = nodes.join(ids, "node").select("node", "doc", "own")
-    return materialise(keyed(docs).join(wanted, ["doc", "own"]).select("node", "text").dropDuplicates(["node"]), "texts")
+    wanted = met(nodes, ids, "node").select("node", "doc", "own")
+    return materialise(met(keyed(docs), wanted, ["doc", "own"]).select("node", "text").dropDuplicates(["node"]), "texts")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
     """Those of the pairs (a, b) with 100 * intersection >= percent * union, by the sets of the whole texts."""
-    both = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("second")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("first")), "a").select("a", "b", "first", "second")
+    half = met(pairs, texts.select(F.col("node").alias("b"), F.col("text").alias("second")), "b")
+    both = met(half, texts.select(F.col("node").alias("a"), F.col("text").alias("first")), "a").select("a", "b", "first", "second")
 
     def run(batches):
         claim("minhash")
@@ -172,7 +178,7 @@ def across(texts: DataFrame, n: int, percent: int) -> DataFrame:
     common = materialise(tokens.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1"), "common")
     bits = [F.coalesce(F.expr(f"bit_or(if((token & {WORDS - 1}) = {k}, shiftleft(1L, cast(shiftright(token, 8) & 63 as int)), 0L))"), F.lit(0)).alias(f"b{k}") for k in range(WORDS)]
     held = [f"b{k}" for k in range(WORDS)]
-    rows = tokens.join(common, "token").groupBy("node", "root", "size").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("own"), *bits)
+    rows = met(tokens, common, "token").groupBy("node", "root", "size").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("own"), *bits)
     # size - ceil(percent * size / 100) + 1 shingles come first, those that no other set has at the front of them.
     first = F.col("size") - F.ceil(F.col("size") * percent / 100) + 1 - (F.col("size") - F.size("own"))
     rows = rows.withColumn("first", first.cast("int")).filter("first > 0")
@@ -184,20 +190,20 @@ def across(texts: DataFrame, n: int, percent: int) -> DataFrame:
     main = materialise(main.select("token", F.col("m.root").alias("main")), "main")
     # Sets that are similar enough differ in size by a factor of 100 / percent at most: by one class of sizes.
     size_class = F.floor(F.log("size") / F.log(F.lit(100 / percent) * (1 + 1e-9))).cast("int")
-    rows = materialise(rows.join(main, "token").withColumn("cls", size_class), "first")
+    rows = materialise(met(rows, main, "token").withColumn("cls", size_class), "first")
     # A frequent token's sets of a class are dealt to several tasks, and those they are compared with go to each of them.
     classes = materialise(rows.groupBy("token", "cls").agg(F.count("*").alias("n")).withColumn("deals", F.ceil(F.col("n") / DEALT)), "classes")
-    l = rows.filter("root != main").withColumn("cls", F.explode(F.sequence(F.col("cls") - 1, F.col("cls") + 1))).join(classes, ["token", "cls"])
+    l = met(rows.filter("root != main").withColumn("cls", F.explode(F.sequence(F.col("cls") - 1, F.col("cls") + 1))), classes, ["token", "cls"])
     work = l.agg(F.sum("n")).first()[0] or 0
     tasks = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(20_000, -(-int(work) // WORK)))
     l = l.withColumn("deal", F.explode(F.sequence(F.lit(0).cast("long"), F.col("deals") - 1))).repartition(tasks, "token", "cls", "deal").alias("l")
-    r = rows.join(classes, ["token", "cls"]).withColumn("deal", F.pmod(F.xxhash64("node"), F.col("deals"))).repartition(tasks, "token", "cls", "deal").alias("r")
+    r = met(rows, classes, ["token", "cls"]).withColumn("deal", F.pmod(F.xxhash64("node"), F.col("deals"))).repartition(tasks, "token", "cls", "deal").alias("r")
     # Over arrays, so that the join's loop stays small enough to be compiled; it is reached by few pairs.
     apart = lambda a, b: F.aggregate(F.zip_with(f"{a}.bits", f"{b}.bits", lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y)))), F.lit(0), lambda x, y: x + y)
     enough = lambda most: 100 * most >= percent * (F.col("l.size") + F.col("r.size") - most)
     # The cheap tests come first: most pairs fail them.
     fits = (F.col("l.root") != F.col("r.root")) & ((F.col("r.root") == F.col("r.main")) | (F.col("l.node") < F.col("r.node"))) & enough(F.least("l.most", "r.most")) & enough(F.col("l.known") - apart("l", "r")) & enough(F.col("r.known") - apart("r", "l"))
-    pairs = l.join(r, (F.col("l.token") == F.col("r.token")) & (F.col("l.cls") == F.col("r.cls")) & (F.col("l.deal") == F.col("r.deal")) & fits).select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")).distinct()
+    pairs = met(l, r, (F.col("l.token") == F.col("r.token")) & (F.col("l.cls") == F.col("r.cls")) & (F.col("l.deal") == F.col("r.deal")) & fits).select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")).distinct()
     out = materialise(pairs, "pairs")
     for t in (tokens, common, main, rows, classes):
         discard(t)
@@ -210,12 +216,12 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
+        large = met(both, least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
         large = materialise(large, "edges")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").union(least.select("u", F.col("m").alias("v"))).distinct()
+        small = met(large, least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").union(least.select("u", F.col("m").alias("v"))).distinct()
         small = materialise(small, "edges")
-        same = edges.count() == small.count() and edges.join(small, ["u", "v"], "left_anti").isEmpty()
+        same = edges.count() == small.count() and met(edges, small, ["u", "v"], "left_anti").isEmpty()
         discard(edges)
         discard(large)
         edges = small
@@ -225,7 +231,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
-    return rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return met(rows, roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
 def linked(docs: DataFrame, nodes: DataFrame, n: int, m: int, percent: int) -> DataFrame:
@@ -234,7 +240,7 @@ def linked(docs: DataFrame, nodes: DataFrame, n: int, m: int, percent: int) -> D
     shared = materialise(table.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("last"), F.count("*").alias("n")).filter("n > 1"), "shared")
     # Two nodes are a pair at once; more are found again by their key.
     many = shared.filter("n > 2").select("key", "lead")
-    active = materialise(table.join(many, "key").filter("node != lead"), "active")
+    active = materialise(met(table, many, "key").filter("node != lead"), "active")
     pairs = materialise(shared.filter("n = 2").select(F.col("lead").alias("a"), F.col("last").alias("b")).union(active.select("lead", "node")).distinct(), "pairs")
     discard(shared)
     texts = texts_of(nodes, pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), docs)
@@ -244,8 +250,8 @@ def linked(docs: DataFrame, nodes: DataFrame, n: int, m: int, percent: int) -> D
     # The lead was compared with all others; what else a bucket of several components holds may still be linked.
     rows = _rooted(active.select("key", "node"), roots)
     open_ = materialise(rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("key"), "open")
-    left = _rooted(rows.select("key", "node").join(open_, "key").select("node").distinct(), roots)
-    more = verified(across(texts.join(left, "node"), n, percent), texts, n, percent)
+    left = _rooted(met(rows.select("key", "node"), open_, "key").select("node").distinct(), roots)
+    more = verified(across(met(texts, left, "node"), n, percent), texts, n, percent)
     discard(active)
     return components(links.union(more))
 
@@ -260,8 +266,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, m: int = 10,
     roots = linked(source, nodes.select("node", "doc", "own", "halves"), n, m, percent)
     named = _rooted(nodes.select("node", "digest", "doc"), roots)
     first = materialise(named.groupBy("root").agg(F.min("doc").alias("component")), "components")
-    named = materialise(named.join(first, "root").select("digest", "root", "component"), "named")
-    out = marks.select("doc", "own", "n_shingles", "digest").join(named, "digest", "left")
+    named = materialise(met(named, first, "root").select("digest", "root", "component"), "named")
+    out = met(marks.select("doc", "own", "n_shingles", "digest"), named, "digest", "left")
     return out.select("doc", "own", "n_shingles", F.coalesce("component", "doc").alias("component"), F.col("root").alias("group"))
 
 
